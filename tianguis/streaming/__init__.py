@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The analyses this library reproduces are batch reports over finished orders;
+none of them reads a stream, keeps state between batches or handles late
+events ("late" in the plans means a late *delivery*). Marts are refreshed by
+re-running the batch plans (see ``plans.marts``).
+"""
