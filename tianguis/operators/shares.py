@@ -1,4 +1,14 @@
-"""Shares of a total and cumulative shares."""
+"""Shares of a total and cumulative shares, over already-aggregated rows.
+
+The total is ``SUM(measure) OVER ()`` on the grouped result. Every share in
+the analyses is taken over a bounded key set (order statuses, payment types,
+bands, hours, weekdays, months, states, categories, seller segments), so the
+window's single partition holds at most a few hundred rows however large the
+fact tables grow; the heavy work (scans, joins, partial and final aggregates)
+stays partitioned below it. A scalar subquery would also work, but it
+re-executes the whole input (column pruning makes its plan differ from the
+main one, so no exchange is reused).
+"""
 
 from __future__ import annotations
 
@@ -7,21 +17,20 @@ from pyspark.sql import functions as F
 
 from tianguis.functions.numeric import pct, round_half_up
 
+_ALL_ROWS = Window.partitionBy()
 
-def grand_total(df: DataFrame, measure: str) -> Column:
-    """SUM(measure) over all rows of ``df`` as a scalar subquery column.
 
-    The subquery runs once and its single value is used as a literal, so the
-    grouped rows stay partitioned (no single-partition window, no join)."""
-    return df.select(F.sum(F.col(measure))).scalar()
+def grand_total(measure: str) -> Column:
+    """SUM(measure) over all rows of the (aggregated) DataFrame it is used on."""
+    return F.sum(F.col(measure)).over(_ALL_ROWS)
 
 
 def share_of_total(df: DataFrame, measure: str, alias: str, digits: int) -> DataFrame:
-    """Add ``alias`` = round(measure * 100 / SUM(measure over all rows), digits).
+    """Add ``alias`` = round(measure * 100 / SUM(measure) OVER (), digits).
 
-    Call it on the full grouped result, *before* any top-k, so the denominator
-    covers every group."""
-    return df.withColumn(alias, round_half_up(pct(F.col(measure), grand_total(df, measure)), digits))
+    ``df`` must be a grouped result over a bounded key set; call it *before*
+    any top-k cut, so the denominator covers every group."""
+    return df.withColumn(alias, round_half_up(pct(F.col(measure), grand_total(measure)), digits))
 
 
 def distribution(df: DataFrame, by: list[str | Column], measures: dict[str, Column],
@@ -38,8 +47,8 @@ def cumulative_share(df: DataFrame, measure: str, running_alias: str, total_alia
     """Running SUM(measure) ordered by measure DESC with the default RANGE frame
     (tied values share one running total), plus the grand total.
 
-    The window has no PARTITION BY, so it runs in one task: use it only on
-    already-aggregated rows with a bounded key set (states, months)."""
+    Like the total, the running sum has no PARTITION BY: it is meant for
+    aggregated rows over a bounded key set (states, months)."""
     w = Window.orderBy(F.col(measure).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (df.withColumn(running_alias, F.sum(F.col(measure)).over(w))
-              .withColumn(total_alias, grand_total(df, measure)))
+              .withColumn(total_alias, grand_total(measure)))

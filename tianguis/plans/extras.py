@@ -36,11 +36,13 @@ def top_seller_share(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def _top_n_share(df: DataFrame, key: str, measure: str, n: int, label: str) -> DataFrame:
-    top = top_k(df.select(key, measure), [F.col(measure).desc(), F.col(key).asc()], n)
-    total = grand_total(df, measure)
-    return top.agg(F.sum(measure).alias("_top"), F.count(F.lit(1)).alias("top_n")).select(
+    """``df`` holds one row per group of a bounded key set (states, categories)."""
+    with_total = df.select(key, measure, grand_total(measure).alias("_total"))
+    top = top_k(with_total, [F.col(measure).desc(), F.col(key).asc()], n)
+    return top.agg(F.sum(measure).alias("_top"), F.count(F.lit(1)).alias("top_n"),
+                   F.max("_total").alias("_total")).select(
         F.lit(label).alias("dimension"), F.col("top_n").cast("bigint").alias("top_n"),
-        round_half_up(pct("_top", total), 1).alias("pct_revenue"))
+        round_half_up(pct("_top", "_total"), 1).alias("pct_revenue"))
 
 
 def top_n_share(mk: Marketplace, p: Params) -> DataFrame:

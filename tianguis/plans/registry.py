@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tianguis.params import FIXTURE_PARAMS, Params
 from tianguis.plans import core, extras, geo, quality, sellers, temporal
-from tianguis.sources.fixture import from_tpch
+from tianguis.sources.fixture import from_tpch, materialize
 from tianguis.sources.model import Marketplace
 
 Plan = Callable[[Marketplace, Params], DataFrame]
@@ -81,12 +84,45 @@ PLANS: dict[str, Plan] = {
 }
 
 
+_MARKETPLACES: dict[tuple[str, str], Marketplace] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for written intermediate tables:
+    ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only when
+    neither is set (local runs, tests) a fresh folder under /tmp is used."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="tianguis-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(d)
+        d = spark.sparkContext.getCheckpointDir() or d
+    return d
+
+
+def fixture_marketplace(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Marketplace:
+    """The marketplace derived from the test tables in ``sf_dir``, once per
+    Spark application.
+
+    With ``materialized`` the derived tables are written once to the shared
+    folder (see ``materialize``) and every query scans those files in full;
+    otherwise the lazy mapping is re-evaluated inside each query."""
+    k = (spark.sparkContext.applicationId, sf_dir, materialized)
+    mk = _MARKETPLACES.get(k)
+    if mk is None:
+        mk = from_tpch(spark, sf_dir)
+        if materialized:
+            base = f"{shared_dir(spark)}/fixture-{uuid.uuid4().hex}/{os.path.basename(sf_dir.rstrip('/'))}"
+            mk = materialize(spark, mk, base, max(1, spark.sparkContext.defaultParallelism))
+        _MARKETPLACES[k] = mk
+    return mk
+
+
 def fixture_query(name: str, params: Params = FIXTURE_PARAMS) -> Callable[[SparkSession, str], DataFrame]:
     """(spark, sf_dir) -> DataFrame over the marketplace derived from the test tables."""
     plan = PLANS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan(from_tpch(spark, sf_dir), params)
+        return plan(fixture_marketplace(spark, sf_dir), params)
 
     run.__name__ = name
     run.__doc__ = plan.__doc__

@@ -11,14 +11,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tianguis.sources.model import Marketplace
 
 CREDIT_CARD_PRIORITIES = ("1-URGENT", "3-MEDIUM", "4-NOT SPECIFIED")
 
 
-def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+_L, _I, _D, _S, _TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+
+# Declared schemas of the raw test tables (only the columns the mapping reads);
+# declaring them skips Parquet schema inference, which costs a Spark job per read.
+RAW_SCHEMAS = {
+    "orders": _schema(("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
+                      ("o_orderdate", _TS), ("o_orderpriority", _S)),
+    "lineitem": _schema(("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I),
+                        ("l_quantity", _D), ("l_extendedprice", _D)),
+    "customer": _schema(("c_custkey", _L), ("c_nationkey", _I)),
+    "supplier": _schema(("s_suppkey", _L), ("s_nationkey", _I)),
+    "part": _schema(("p_partkey", _L), ("p_brand", _S), ("p_size", _I)),
+    "nation": _schema(("n_nationkey", _I), ("n_name", _S)),
+}
+
+
+def _raw(spark: SparkSession, sf_dir: str, name: str, min_splits: int = 0) -> DataFrame:
+    """Read one raw table. When the scan yields fewer input splits than
+    ``min_splits`` (a file written as a single row group cannot be split), the
+    rows are spread round-robin so the mapping and everything up to the first
+    shuffle run on all cores; with many splits (large inputs) nothing changes."""
+    df = spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    if min_splits and df.rdd.getNumPartitions() < min_splits:
+        df = df.repartition(min_splits)
+    return df
 
 
 def _orders(o: DataFrame) -> DataFrame:
@@ -139,11 +167,31 @@ def _translation(p: DataFrame) -> DataFrame:
                      .alias("product_category_name_english")))
 
 
-def from_tpch(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``."""
-    o = _raw(spark, sf_dir, "orders")
-    li = _raw(spark, sf_dir, "lineitem")
-    nation = _raw(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+def materialize(spark: SparkSession, mk: Marketplace, base_dir: str, files: int) -> Marketplace:
+    """Write each table of ``mk`` once as Parquet (``files`` files per table, so
+    later scans split across cores/executors) and return the marketplace read
+    back with the same declared schemas (no inference). Cuts the lineage of the
+    derived tables: later queries scan stored columns instead of recomputing
+    the mapping."""
+    out = {}
+    for field, df in (("orders", mk.orders), ("items", mk.items), ("payments", mk.payments),
+                      ("customers", mk.customers), ("reviews", mk.reviews), ("products", mk.products),
+                      ("sellers", mk.sellers), ("translation", mk.translation)):
+        path = f"{base_dir}/{field}"
+        df.repartition(files).write.mode("errorifexists").parquet(path)
+        out[field] = spark.read.schema(df.schema).parquet(path)
+    return Marketplace(**out)
+
+
+def from_tpch(spark: SparkSession, sf_dir: str, spread: bool = False) -> Marketplace:
+    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``.
+
+    ``spread``: spread the two fact tables over the session's default
+    parallelism when their files give fewer input splits than that."""
+    splits = spark.sparkContext.defaultParallelism if spread else 0
+    o = _raw(spark, sf_dir, "orders", splits)
+    li = _raw(spark, sf_dir, "lineitem", splits)
+    nation = _raw(spark, sf_dir, "nation")
     orders_m = _orders(o)
     items_m = _items(li)
     return Marketplace(
@@ -153,6 +201,6 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> Marketplace:
         customers=_customers(_raw(spark, sf_dir, "customer"), nation),
         reviews=_reviews(orders_m),
         products=_products(_raw(spark, sf_dir, "part")),
-        sellers=_sellers(items_m, _raw(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), nation),
+        sellers=_sellers(items_m, _raw(spark, sf_dir, "supplier"), nation),
         translation=_translation(_raw(spark, sf_dir, "part")),
     )
