@@ -17,12 +17,9 @@ from pyspark.sql import functions as F
 
 from tianguis.functions.numeric import pct, round_half_up
 
-_ALL_ROWS = Window.partitionBy()
-
-
 def grand_total(measure: str) -> Column:
     """SUM(measure) over all rows of the (aggregated) DataFrame it is used on."""
-    return F.sum(F.col(measure)).over(_ALL_ROWS)
+    return F.sum(F.col(measure)).over(Window.partitionBy())
 
 
 def share_of_total(df: DataFrame, measure: str, alias: str, digits: int) -> DataFrame:
