@@ -28,8 +28,10 @@ DEFAULT_ACCURACY = 50000
 
 @dataclass(frozen=True)
 class RankHistogram:
-    n: Column              # number of non-NULL values (scalar subquery)
-    total: Column          # their sum (scalar subquery)
+    n: Column              # number of non-NULL values
+    total: Column          # their sum
+    minimum: Column
+    maximum: Column
     hist: DataFrame        # v, c, cum (rows <= v), cum_sum (sum of values <= v), below
 
 
@@ -38,12 +40,17 @@ def rank_histogram(df: DataFrame, col: str, fraction: float,
     v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
     eps = 4.0 / accuracy
     p_lo, p_hi = max(0.0, fraction - eps), min(1.0, fraction + eps)
-    n = v.select(F.count(F.lit(1))).scalar()
-    total = v.select(F.sum("v")).scalar()
-    lo = v.select(F.percentile_approx("v", p_lo, accuracy)).scalar()
-    hi = v.select(F.percentile_approx("v", p_hi, accuracy)).scalar()
+    # pass 1: one aggregate, one scalar subquery (a struct), reused wherever
+    # its fields appear
+    first = v.select(F.struct(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"),
+        F.min("v").alias("mn"), F.max("v").alias("mx"),
+        F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("q"))).scalar()
+    n, total = first.getField("n"), first.getField("total")
+    lo, hi = first.getField("q").getItem(0), first.getField("q").getItem(1)
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)
     below = F.col("v") < lo
+    # pass 2: bracket values grouped by value, plus count/sum below the bracket
     grouped = (v.select(F.when(inside, F.col("v")).alias("b"),
                         F.when(below, F.lit(1)).otherwise(F.lit(0)).alias("is_below"),
                         F.when(below, F.col("v")).alias("below_v"))
@@ -63,17 +70,14 @@ def rank_histogram(df: DataFrame, col: str, fraction: float,
                         + F.sum(F.col("b") * F.col("c")).over(running))
             .select(F.col("b").alias("v"), "c", "cum", "cum_sum",
                     F.coalesce(F.col("below"), F.lit(0)).alias("below")))
-    return RankHistogram(n=n, total=total, hist=hist)
+    return RankHistogram(n=n, total=total, minimum=first.getField("mn"), maximum=first.getField("mx"), hist=hist)
 
 
 def _checked(value: Column, ok: Column, what: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(f"order statistic outside the bracket: {what}")))
 
 
-def exact_median(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row ``median`` = PERCENTILE_CONT(0.5): the mean of the values at
-    ranks floor((n+1)/2) and floor(n/2)+1. NULL on empty input."""
-    rh = rank_histogram(df, col, 0.5, accuracy)
+def _median_row(rh: RankHistogram) -> DataFrame:
     r1 = F.floor((rh.n + F.lit(1)) / F.lit(2))
     r2 = F.floor(rh.n / F.lit(2)) + F.lit(1)
     stats = rh.hist.agg(
@@ -81,13 +85,18 @@ def exact_median(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> D
         F.min(F.when(F.col("cum") >= r2, F.col("v"))).alias("b"),
         F.max("cum").alias("max_cum"),
         F.min("below").alias("below"),
-        F.count(F.lit(1)).alias("bins"),
     )
     ok = (rh.n == 0) | ((F.col("below") < r1) & (F.col("max_cum") >= r2))
     med = (F.col("a") + F.col("b")) / F.lit(2)
     return stats.select(_checked(F.when(rh.n > 0, med), ok, "median").alias("median"))
 
 
+def exact_median(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """One row ``median`` = PERCENTILE_CONT(0.5): the mean of the values at
+    ranks floor((n+1)/2) and floor(n/2)+1. NULL on empty input."""
+    return _median_row(rank_histogram(df, col, 0.5, accuracy))
+
+
 def exact_top_sum(df: DataFrame, col: str, fraction: float,
                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row (n, k, top_sum, total) with k = ceil(fraction * n) and top_sum the
@@ -116,13 +125,9 @@ def exact_top_sum(df: DataFrame, col: str, fraction: float,
 
 
 def summary_stats(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row: mean (exact sum / count), min, max and exact median of ``col``."""
-    v = df.select(F.col(col).alias("v"))
-    n = v.select(F.count("v")).scalar()
-    s = v.select(F.sum("v")).scalar()
-    mn = v.select(F.min("v")).scalar()
-    mx = v.select(F.max("v")).scalar()
-    med = exact_median(df, col, accuracy)
-    return med.select(
-        (s.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).alias("mean"),
-        mn.alias("min"), mx.alias("max"), F.col("median"))
+    """One row: mean (exact sum / count), min, max and exact median of ``col``,
+    from the same two passes as the median."""
+    rh = rank_histogram(df, col, 0.5, accuracy)
+    return _median_row(rh).select(
+        (rh.total.cast("double") / F.nullif(rh.n.cast("double"), F.lit(0.0))).alias("mean"),
+        rh.minimum.alias("min"), rh.maximum.alias("max"), F.col("median"))
