@@ -26,108 +26,109 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 50000
 
 
-@dataclass(frozen=True)
-class RankHistogram:
-    n: Column              # number of non-NULL values
-    total: Column          # their sum
-    minimum: Column
-    maximum: Column
-    hist: DataFrame        # v, c, cum (rows <= v), cum_sum (sum of values <= v), below
-
-
 def rank_histogram(df: DataFrame, col: str, fraction: float,
-                   accuracy: int = DEFAULT_ACCURACY) -> RankHistogram:
+                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Rows (b, c, cum, cum_sum, below, s):
+
+    * ``s``: struct(n, total, mn, mx, q=[lo, hi]) from pass 1, the same on every
+      row (one scalar subquery, attached once as a column);
+    * one row per distinct value ``b`` inside [lo, hi] with its count ``c``,
+      ``cum`` = number of values <= b, ``cum_sum`` = sum of values <= b;
+    * one row with ``b`` NULL for the values outside the bracket (``below`` and
+      ``below_sum`` count and sum those under lo, on every row).
+    """
     v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
     eps = 4.0 / accuracy
     p_lo, p_hi = max(0.0, fraction - eps), min(1.0, fraction + eps)
-    # pass 1: one aggregate, one scalar subquery (a struct), reused wherever
-    # its fields appear
     first = v.select(F.struct(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"),
         F.min("v").alias("mn"), F.max("v").alias("mx"),
         F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("q"))).scalar()
-    n, total = first.getField("n"), first.getField("total")
-    lo, hi = first.getField("q").getItem(0), first.getField("q").getItem(1)
-    inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-    below = F.col("v") < lo
-    # pass 2: bracket values grouped by value, plus count/sum below the bracket
-    grouped = (v.select(F.when(inside, F.col("v")).alias("b"),
-                        F.when(below, F.lit(1)).otherwise(F.lit(0)).alias("is_below"),
-                        F.when(below, F.col("v")).alias("below_v"))
-                .groupBy("b")
-                .agg(F.count(F.lit(1)).alias("c"),
-                     F.sum("is_below").alias("nb"),
-                     F.sum("below_v").alias("sb")))
+    x = F.col("v")
+    lo, hi = F.col("s.q").getItem(0), F.col("s.q").getItem(1)
+    grouped = (v.select("v", first.alias("s"))
+               .groupBy(F.when((x >= lo) & (x <= hi), x).alias("b"))
+               .agg(F.count(F.lit(1)).alias("c"),
+                    F.count(F.when(x < lo, F.lit(1))).alias("nb"),
+                    F.sum(F.when(x < lo, x)).alias("sb"),
+                    F.any_value("s").alias("s")))
     # bounded rows: the distinct values of the bracket plus one NULL-key row
     whole = Window.partitionBy()
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (grouped
-            .withColumn("below", F.sum(F.when(F.col("b").isNull(), F.col("nb"))).over(whole))
-            .withColumn("below_sum", F.sum(F.when(F.col("b").isNull(), F.col("sb"))).over(whole))
-            .where(F.col("b").isNotNull())
-            .withColumn("cum", F.coalesce(F.col("below"), F.lit(0)) + F.sum("c").over(running))
-            .withColumn("cum_sum", F.coalesce(F.col("below_sum"), F.lit(0))
-                        + F.sum(F.col("b") * F.col("c")).over(running))
-            .select(F.col("b").alias("v"), "c", "cum", "cum_sum",
-                    F.coalesce(F.col("below"), F.lit(0)).alias("below")))
-    return RankHistogram(n=n, total=total, minimum=first.getField("mn"), maximum=first.getField("mx"), hist=hist)
+    running = Window.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding,
+                                                                        Window.currentRow)
+    inner = F.col("b").isNotNull()
+    below = F.coalesce(F.sum(F.when(~inner, F.col("nb"))).over(whole), F.lit(0))
+    below_sum = F.coalesce(F.sum(F.when(~inner, F.col("sb"))).over(whole), F.lit(0))
+    return grouped.select(
+        "b", "c", "s", below.alias("below"),
+        (below + F.coalesce(F.sum(F.when(inner, F.col("c"))).over(running), F.lit(0))).alias("cum"),
+        (below_sum + F.coalesce(F.sum(F.when(inner, F.col("b") * F.col("c"))).over(running), F.lit(0)))
+        .alias("cum_sum"))
 
 
 def _checked(value: Column, ok: Column, what: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(f"order statistic outside the bracket: {what}")))
 
 
-def _median_row(rh: RankHistogram) -> DataFrame:
-    r1 = F.floor((rh.n + F.lit(1)) / F.lit(2))
-    r2 = F.floor(rh.n / F.lit(2)) + F.lit(1)
-    stats = rh.hist.agg(
-        F.min(F.when(F.col("cum") >= r1, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") >= r2, F.col("v"))).alias("b"),
-        F.max("cum").alias("max_cum"),
-        F.min("below").alias("below"),
-    )
-    ok = (rh.n == 0) | ((F.col("below") < r1) & (F.col("max_cum") >= r2))
-    med = (F.col("a") + F.col("b")) / F.lit(2)
-    return stats.select(_checked(F.when(rh.n > 0, med), ok, "median").alias("median"))
+def _median_stats(hist: DataFrame) -> DataFrame:
+    """One row: median (NULL on empty input) and s (the pass-1 statistics)."""
+    n = F.col("s.n")
+    r1 = F.floor((n + F.lit(1)) / F.lit(2))
+    r2 = F.floor(n / F.lit(2)) + F.lit(1)
+    inner = F.col("b").isNotNull()
+    stats = hist.agg(
+        F.min(F.when(inner & (F.col("cum") >= r1), F.col("b"))).alias("a"),
+        F.min(F.when(inner & (F.col("cum") >= r2), F.col("b"))).alias("b2"),
+        F.max(F.when(inner, F.col("cum"))).alias("max_cum"),
+        F.max("below").alias("below"),
+        F.any_value("s").alias("s"))
+    ok = F.coalesce(F.col("s.n"), F.lit(0)) == 0
+    ok = ok | ((F.col("below") < F.floor((F.col("s.n") + 1) / 2)) & (F.col("max_cum") >= F.floor(F.col("s.n") / 2) + 1))
+    med = (F.col("a") + F.col("b2")) / F.lit(2)
+    return stats.select(_checked(F.when(F.col("s.n") > 0, med), ok, "median").alias("median"), "s")
 
 
 def exact_median(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row ``median`` = PERCENTILE_CONT(0.5): the mean of the values at
     ranks floor((n+1)/2) and floor(n/2)+1. NULL on empty input."""
-    return _median_row(rank_histogram(df, col, 0.5, accuracy))
+    return _median_stats(rank_histogram(df, col, 0.5, accuracy)).select("median")
 
 
 def exact_top_sum(df: DataFrame, col: str, fraction: float,
                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row (n, k, top_sum, total) with k = ceil(fraction * n) and top_sum the
     sum of the k largest values (ties at the cut do not change the sum)."""
-    rh = rank_histogram(df, col, 1.0 - fraction, accuracy)
-    k = F.ceil(rh.n * F.lit(fraction))
-    r = rh.n - k + F.lit(1)                       # ascending rank of the k-th largest
-    at_r = F.col("cum") >= r
-    stats = rh.hist.agg(
-        F.min(F.when(at_r, F.col("v"))).alias("t"),
-        F.min_by(F.col("cum"), F.when(at_r, F.col("v"))).alias("cum_t"),
-        F.min_by(F.col("cum_sum"), F.when(at_r, F.col("v"))).alias("cum_sum_t"),
-        F.max("cum").alias("max_cum"),
-        F.min("below").alias("below"),
-    )
+    hist = rank_histogram(df, col, 1.0 - fraction, accuracy)
+    n = F.col("s.n")
+    k = F.ceil(n * F.lit(fraction))
+    r = n - k + F.lit(1)                       # ascending rank of the k-th largest
+    at_r = F.col("b").isNotNull() & (F.col("cum") >= r)
+    stats = hist.agg(
+        F.min(F.when(at_r, F.col("b"))).alias("t"),
+        F.min_by(F.col("cum"), F.when(at_r, F.col("b"))).alias("cum_t"),
+        F.min_by(F.col("cum_sum"), F.when(at_r, F.col("b"))).alias("cum_sum_t"),
+        F.max(F.when(F.col("b").isNotNull(), F.col("cum"))).alias("max_cum"),
+        F.max("below").alias("below"),
+        F.any_value("s").alias("s"))
+    n, total = F.coalesce(F.col("s.n"), F.lit(0)), F.col("s.total")
+    k = F.ceil(n * F.lit(fraction))
+    r = n - k + F.lit(1)
     # values > t: n - cum_t of them, summing to total - cum_sum_t; the rest of the
     # top k are copies of t
-    top = (rh.total - F.col("cum_sum_t")) + (k - (rh.n - F.col("cum_t"))) * F.col("t")
-    ok = (rh.n == 0) | (k == 0) | ((F.col("below") < r) & (F.col("max_cum") >= r))
+    top = (total - F.col("cum_sum_t")) + (k - (n - F.col("cum_t"))) * F.col("t")
+    ok = (n == 0) | (k == 0) | ((F.col("below") < r) & (F.col("max_cum") >= r))
     return stats.select(
-        rh.n.cast("bigint").alias("n"),
+        n.cast("bigint").alias("n"),
         k.cast("bigint").alias("k"),
-        _checked(F.when(k > 0, top).when(rh.n >= 0, F.lit(0)), ok, "top-k").alias("top_sum"),
-        rh.total.alias("total"),
+        _checked(F.when(k > 0, top).otherwise(F.lit(0)), ok, "top-k").alias("top_sum"),
+        total.alias("total"),
     )
 
 
 def summary_stats(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row: mean (exact sum / count), min, max and exact median of ``col``,
     from the same two passes as the median."""
-    rh = rank_histogram(df, col, 0.5, accuracy)
-    return _median_row(rh).select(
-        (rh.total.cast("double") / F.nullif(rh.n.cast("double"), F.lit(0.0))).alias("mean"),
-        rh.minimum.alias("min"), rh.maximum.alias("max"), F.col("median"))
+    m = _median_stats(rank_histogram(df, col, 0.5, accuracy))
+    return m.select(
+        (F.col("s.total").cast("double") / F.nullif(F.col("s.n").cast("double"), F.lit(0.0))).alias("mean"),
+        F.col("s.mn").alias("min"), F.col("s.mx").alias("max"), "median")
