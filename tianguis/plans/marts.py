@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from tianguis.params import Params
 from tianguis.plans import geo, sellers, temporal
+from tianguis.session import shared_dir
 from tianguis.sources.model import Marketplace
 from tianguis.sources.sinks import write_mart
 
@@ -41,6 +42,7 @@ def seller_report(mk: Marketplace, p: Params) -> dict[str, DataFrame]:
     ``spark.checkpoint.dir``), so the four outputs read it instead of
     re-joining items, orders and reviews, and a lost executor does not
     recompute the join."""
+    shared_dir(mk.orders.sparkSession)           # checkpoint folder: the cluster's shared one
     base = sellers.seller_performance(mk, p).checkpoint(eager=True)
     return {
         "scorecard": sellers.seller_scorecard(mk, p, base),

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tianguis.params import FIXTURE_PARAMS, Params
+from tianguis.session import shared_dir
 from tianguis.plans import core, extras, geo, quality, sellers, temporal
 from tianguis.sources.fixture import from_tpch, materialize
 from tianguis.sources.model import Marketplace
@@ -87,18 +87,6 @@ PLANS: dict[str, Plan] = {
 _MARKETPLACES: dict[tuple[str, str], Marketplace] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for written intermediate tables:
-    ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only when
-    neither is set (local runs, tests) a fresh folder under /tmp is used."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="tianguis-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(d)
-        d = spark.sparkContext.getCheckpointDir() or d
-    return d
-
-
 def fixture_marketplace(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Marketplace:
     """The marketplace derived from the test tables in ``sf_dir``, once per
     Spark application.

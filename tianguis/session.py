@@ -6,9 +6,26 @@ Only settings the plans rely on are set here; cluster-level settings
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for written intermediate tables and
+    checkpoints: ``spark.checkpoint.dir`` (or the context's checkpoint
+    directory). Only when neither is set (local runs, tests) a fresh folder
+    under /tmp is created and registered as the checkpoint directory."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="tianguis-", dir="/tmp")
+        sc.setCheckpointDir(d)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return d
+
+
 def configure(builder: SparkSession.Builder, cores: int | None = None) -> SparkSession.Builder:
     """Adaptive execution on (runtime coalescing of shuffle partitions, runtime
     broadcast of sides measured small, skewed-partition splitting), timestamps
