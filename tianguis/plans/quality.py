@@ -13,7 +13,7 @@ from tianguis.functions.numeric import mean, pct, round_half_up
 from tianguis.functions.rules import bucketize
 from tianguis.operators.kpi import kpi_table
 from tianguis.operators.quality import duplicate_keys, missing_children, null_profile, orphan_keys, row_counts
-from tianguis.operators.shares import share_of_total
+from tianguis.operators.shares import distribution, share_of_total
 from tianguis.params import Params
 from tianguis.plans.common import DELIVERED_AT, ESTIMATED_AT, as_long, flag, is_late
 from tianguis.sources.model import Marketplace
@@ -68,8 +68,9 @@ def orphan_reviews(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def status_distribution(mk: Marketplace, p: Params) -> DataFrame:
-    g = mk.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("cantidad"))
-    return share_of_total(g, "cantidad", "porcentaje", 2).orderBy(F.col("cantidad").desc())
+    return (distribution(mk.orders, ["order_status"], {"cantidad": F.count(F.lit(1))},
+                         [("cantidad", "porcentaje", 2)])
+            .orderBy(F.col("cantidad").desc()))
 
 
 def payment_distribution(mk: Marketplace, p: Params) -> DataFrame:

@@ -19,7 +19,7 @@ from tianguis.functions import labels as L
 from tianguis.functions.numeric import pct, round_dec, round_half_up, safe_div
 from tianguis.functions.rules import bucketize, classify
 from tianguis.operators.ranking import top_k
-from tianguis.operators.shares import share_of_total
+from tianguis.operators.shares import distribution, share_of_total
 from tianguis.operators.periods import in_window
 from tianguis.functions.dates import year_month
 from tianguis.params import Params
@@ -65,9 +65,9 @@ def _delivery_band():
 
 def delivery_histogram(mk: Marketplace, p: Params) -> DataFrame:
     """Orders per delivery-time band (grouped by band)."""
-    g = (_delivered(mk, p).groupBy(_delivery_band().alias("rango_entrega"))
-         .agg(F.count(F.lit(1)).alias("pedidos")))
-    return share_of_total(g, "pedidos", "pct_pedidos", 1).orderBy("rango_entrega")
+    return (distribution(_delivered(mk, p), [_delivery_band().alias("rango_entrega")],
+                         {"pedidos": F.count(F.lit(1))}, [("pedidos", "pct_pedidos", 1)])
+            .orderBy("rango_entrega"))
 
 
 def late_vs_score(mk: Marketplace, p: Params) -> DataFrame:

@@ -17,7 +17,7 @@ from tianguis.functions.dates import month_label, week_monday_first, weekday_nam
 from tianguis.functions.numeric import round_dec, round_half_up, safe_div
 from tianguis.functions.rules import bucketize
 from tianguis.operators.periods import in_window, period_metrics, period_over_period, years_months
-from tianguis.operators.shares import share_of_total
+from tianguis.operators.shares import distribution, share_of_total
 from tianguis.params import Params
 from tianguis.plans.common import PTS, in_scope, valid_payments
 from tianguis.sources.model import Marketplace
@@ -85,10 +85,10 @@ def hour_profile(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def daypart_profile(mk: Marketplace, p: Params) -> DataFrame:
-    g = period_metrics(_scoped_since_start(mk, p),
-                       {"franja": bucketize(F.hour(PTS), L.HOUR_PARTS_NUMBERED, L.HOUR_PART_NUMBERED_OTHER)},
-                       {"pedidos": F.countDistinct("order_id")})
-    return share_of_total(g, "pedidos", "pct_pedidos", 1).orderBy("franja")
+    part = bucketize(F.hour(PTS), L.HOUR_PARTS_NUMBERED, L.HOUR_PART_NUMBERED_OTHER)
+    return (distribution(_scoped_since_start(mk, p), [part.alias("franja")],
+                         {"pedidos": F.countDistinct("order_id")}, [("pedidos", "pct_pedidos", 1)])
+            .orderBy("franja"))
 
 
 def peak_weeks(mk: Marketplace, p: Params) -> DataFrame:

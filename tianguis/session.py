@@ -39,3 +39,36 @@ def configure(builder: SparkSession.Builder, cores: int | None = None) -> SparkS
         # local runs: a few shuffle partitions per core; AQE coalesces small ones.
         b = b.config("spark.sql.shuffle.partitions", str(max(8, 2 * cores)))
     return b
+
+
+def cluster_settings(largest_shuffle_bytes: int, total_cores: int,
+                     partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings for large inputs, sized from the biggest shuffle.
+
+    The biggest shuffle of the plans is the projected item rows hashed by
+    ``order_id`` (items x delivered orders). ``partition_bytes`` is the target
+    size of one shuffle partition (and of one input split): small enough to
+    sort and aggregate in executor memory without spilling much, large enough
+    to keep task counts manageable. The initial partition count covers that
+    shuffle at the target size and is at least two waves of all cores; adaptive
+    execution then coalesces small stages down to the advisory size, splits
+    skewed join partitions, and turns joins into broadcasts only when a side
+    measured at run time is under its threshold.
+
+    Example: 100 TB of input, 30 TB in the item shuffle, 1000 executors x 8
+    cores -> 120,000 partitions of 256 MB (15 waves of 8,000 tasks).
+    """
+    waves_min = 2 * total_cores
+    parts = max(waves_min, -(-largest_shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    }
