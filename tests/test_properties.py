@@ -93,7 +93,7 @@ values = st.lists(st.integers(min_value=-50, max_value=50), min_size=0, max_size
 @given(xs=values)
 def test_exact_median_equals_brute_force(spark, xs):
     df = spark.createDataFrame([(Decimal(x) / 4,) for x in xs], "v decimal(18,2)")
-    got = exact_median(df, "v", accuracy=100).collect()[0]["median"]
+    got = exact_median(df, "v").collect()[0]["median"]
     if not xs:
         assert got is None
     else:
@@ -104,7 +104,7 @@ def test_exact_median_equals_brute_force(spark, xs):
 @given(xs=values, frac=st.sampled_from([0.1, 0.25, 0.5, 0.9]))
 def test_exact_top_sum_equals_brute_force(spark, xs, frac):
     df = spark.createDataFrame([(Decimal(x),) for x in xs], "v decimal(18,2)")
-    r = exact_top_sum(df, "v", frac, accuracy=100).collect()[0]
+    r = exact_top_sum(df, "v", frac).collect()[0]
     k = math.ceil(len(xs) * frac)
     assert r["n"] == len(xs) and r["k"] == k
     expected = sum(sorted(xs, reverse=True)[:k]) if xs else 0
@@ -116,3 +116,17 @@ def test_hot_value_collapses_in_the_bracket(spark):
     xs = [7] * 400 + list(range(800))
     df = spark.createDataFrame([(Decimal(x),) for x in xs], "v decimal(18,2)")
     assert exact_median(df, "v").collect()[0]["median"] == Decimal(_brute_median(xs))
+
+
+wide = st.lists(st.integers(min_value=-10**8, max_value=10**8), min_size=1, max_size=80)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(xs=wide, frac=st.sampled_from([0.1, 0.5]))
+def test_order_statistics_across_many_buckets(spark, xs, frac):
+    vals = [Decimal(x) / 100 for x in xs]                      # cents up to +-1,000,000.00
+    df = spark.createDataFrame([(v,) for v in vals], "v decimal(18,2)")
+    assert Decimal(str(exact_median(df, "v").collect()[0]["median"])) == Decimal(str(_brute_median(vals)))
+    k = math.ceil(len(vals) * frac)
+    r = exact_top_sum(df, "v", frac).collect()[0]
+    assert Decimal(r["top_sum"]) == sum(sorted(vals, reverse=True)[:k])

@@ -1,134 +1,138 @@
 """Summary statistics with an exact, distributed median, and exact top-k sums.
 
 Spark's exact ``median``/``percentile`` keeps a value->count map of the whole
-input in one final task. Here exact order statistics take two passes and never
-sort or hold the full column in one place:
-
-1. one aggregate pass (scalar subqueries, merged by Catalyst into one job):
-   n, SUM, MIN, MAX and two approximate quantiles ``lo``/``hi`` that bracket
-   the target fraction (rank error of ``percentile_approx`` <= n/accuracy, and
-   the bracket is 4/accuracy wide on each side, so the wanted ranks lie in it);
-2. one histogram pass: values inside [lo, hi] grouped by value (ties collapse,
-   so a hot value costs one row), plus the count and sum of values below lo.
-
-Only the bracket histogram (about 8n/accuracy distinct values at most) is
-ordered, in one small window; a bracket that misses the wanted rank raises an
-error instead of returning a wrong value.
+input in one final task, and ``percentile_approx`` in a global aggregate sends
+one quantile summary per task to a single merging task. Here exact order
+statistics take two passes of plain group-bys, each partially aggregated
+map-side:
+
+1. bucket histogram: every value goes to a logarithmic bucket (256 buckets per
+   power of two, so one bucket spans 0.27% of its value range, split by sign);
+   per bucket: count, sum, min, max. Only populated buckets exist (a few
+   thousand at most for money or day counts), so the running counts over them
+   are a window over a bounded number of rows. It gives n, the total, min, max
+   and the bucket holding each wanted rank.
+2. value histogram inside the wanted bucket(s): values grouped by value (ties
+   collapse, so a value held by a third of all rows is one row), with the
+   count and sum of everything in lower buckets.
+
+The result is exact (no approximation, no sampling). The second histogram is
+bounded by the distinct values within 0.27% of the wanted value: for cents or
+whole days that is at most a few thousand even for large values.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 50000
+BUCKETS_PER_OCTAVE = 256
+_OFFSET = 1 << 22
+
 
+def value_bucket(x: Column) -> Column:
+    """Monotone bucket id: negatives < 0 < positives, 256 buckets per power of two."""
+    mag = F.floor(F.log2(F.abs(x).cast("double")) * F.lit(BUCKETS_PER_OCTAVE)).cast("long")
+    return (F.when(x > 0, F.lit(_OFFSET) + mag)
+             .when(x < 0, -(F.lit(_OFFSET) + mag))
+             .otherwise(F.lit(0)).cast("long"))
 
-def rank_histogram(df: DataFrame, col: str, fraction: float,
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Rows (b, c, cum, cum_sum, below, s):
 
-    * ``s``: struct(n, total, mn, mx, q=[lo, hi]) from pass 1, the same on every
-      row (one scalar subquery, attached once as a column);
-    * one row per distinct value ``b`` inside [lo, hi] with its count ``c``,
-      ``cum`` = number of values <= b, ``cum_sum`` = sum of values <= b;
-    * one row with ``b`` NULL for the values outside the bracket (``below`` and
-      ``below_sum`` count and sum those under lo, on every row).
-    """
+def _values(df: DataFrame, col: str) -> DataFrame:
     v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    eps = 4.0 / accuracy
-    p_lo, p_hi = max(0.0, fraction - eps), min(1.0, fraction + eps)
-    first = v.select(F.struct(
-        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"),
-        F.min("v").alias("mn"), F.max("v").alias("mx"),
-        F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("q"))).scalar()
-    x = F.col("v")
-    lo, hi = F.col("s.q").getItem(0), F.col("s.q").getItem(1)
-    grouped = (v.select("v", first.alias("s"))
-               .groupBy(F.when((x >= lo) & (x <= hi), x).alias("b"))
-               .agg(F.count(F.lit(1)).alias("c"),
-                    F.count(F.when(x < lo, F.lit(1))).alias("nb"),
-                    F.sum(F.when(x < lo, x)).alias("sb"),
-                    F.any_value("s").alias("s")))
-    # bounded rows: the distinct values of the bracket plus one NULL-key row
+    return v.select("v", value_bucket(F.col("v")).alias("k"))
+
+
+def _bucket_table(v: DataFrame) -> DataFrame:
+    """Per populated bucket: c, s, cum (values in buckets <= k), cum_s, and the
+    totals n, total, mn, mx on every row."""
+    b = v.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"),
+                           F.min("v").alias("bmin"), F.max("v").alias("bmax"))
+    run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy()
-    running = Window.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding,
-                                                                        Window.currentRow)
-    inner = F.col("b").isNotNull()
-    below = F.coalesce(F.sum(F.when(~inner, F.col("nb"))).over(whole), F.lit(0))
-    below_sum = F.coalesce(F.sum(F.when(~inner, F.col("sb"))).over(whole), F.lit(0))
-    return grouped.select(
-        "b", "c", "s", below.alias("below"),
-        (below + F.coalesce(F.sum(F.when(inner, F.col("c"))).over(running), F.lit(0))).alias("cum"),
-        (below_sum + F.coalesce(F.sum(F.when(inner, F.col("b") * F.col("c"))).over(running), F.lit(0)))
-        .alias("cum_sum"))
-
-
-def _checked(value: Column, ok: Column, what: str) -> Column:
-    return F.when(ok, value).otherwise(F.raise_error(F.lit(f"order statistic outside the bracket: {what}")))
-
-
-def _median_stats(hist: DataFrame) -> DataFrame:
-    """One row: median (NULL on empty input) and s (the pass-1 statistics)."""
-    n = F.col("s.n")
-    r1 = F.floor((n + F.lit(1)) / F.lit(2))
-    r2 = F.floor(n / F.lit(2)) + F.lit(1)
-    inner = F.col("b").isNotNull()
-    stats = hist.agg(
-        F.min(F.when(inner & (F.col("cum") >= r1), F.col("b"))).alias("a"),
-        F.min(F.when(inner & (F.col("cum") >= r2), F.col("b"))).alias("b2"),
-        F.max(F.when(inner, F.col("cum"))).alias("max_cum"),
-        F.max("below").alias("below"),
-        F.any_value("s").alias("s"))
-    ok = F.coalesce(F.col("s.n"), F.lit(0)) == 0
-    ok = ok | ((F.col("below") < F.floor((F.col("s.n") + 1) / 2)) & (F.col("max_cum") >= F.floor(F.col("s.n") / 2) + 1))
-    med = (F.col("a") + F.col("b2")) / F.lit(2)
-    return stats.select(_checked(F.when(F.col("s.n") > 0, med), ok, "median").alias("median"), "s")
-
-
-def exact_median(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    return b.select("k", "c", "s",
+                    F.sum("c").over(run).alias("cum"), F.sum("s").over(run).alias("cum_s"),
+                    F.sum("c").over(whole).alias("n"), F.sum("s").over(whole).alias("total"),
+                    F.min("bmin").over(whole).alias("mn"), F.max("bmax").over(whole).alias("mx"))
+
+
+def _locate(buckets: DataFrame, ranks: dict[str, Column]) -> Column:
+    """Scalar subquery: struct of n, total, mn, mx and, per named rank r, the
+    bucket ``k_<name>`` holding it with the count ``below_<name>`` and sum
+    ``below_s_<name>`` of the values in lower buckets. ``ranks`` are
+    expressions of the column ``n``."""
+    aggs = [F.max("n").alias("n"), F.max("total").alias("total"),
+            F.max("mn").alias("mn"), F.max("mx").alias("mx")]
+    for name, r in ranks.items():
+        hit = F.when(F.col("cum") >= r, F.col("k"))
+        aggs += [F.min(hit).alias(f"k_{name}"),
+                 F.min_by(F.col("cum") - F.col("c"), hit).alias(f"below_{name}"),
+                 F.min_by(F.col("cum_s") - F.col("s"), hit).alias(f"below_s_{name}")]
+    return buckets.agg(*aggs).select(F.struct("*")).scalar()
+
+
+def _value_table(v: DataFrame, loc: Column, lo_name: str, hi_name: str) -> DataFrame:
+    """Values of buckets k_lo..k_hi grouped by value, with ``cum`` = number of
+    values <= v in those buckets and ``cum_s`` their sum; ``loc`` attached."""
+    inside = (F.col("k") >= loc.getField(f"k_{lo_name}")) & (F.col("k") <= loc.getField(f"k_{hi_name}"))
+    g = v.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.select("v", "c", F.sum("c").over(run).alias("cum"),
+                    F.sum(F.col("v") * F.col("c")).over(run).alias("cum_s"))
+
+
+def _median_row(df: DataFrame, col: str) -> DataFrame:
+    """One row: median (PERCENTILE_CONT(0.5), NULL on empty input) and loc."""
+    v = _values(df, col)
+    n = F.col("n")
+    loc = _locate(_bucket_table(v), {"r1": F.floor((n + 1) / 2), "r2": F.floor(n / 2) + 1})
+    t = _value_table(v, loc, "r1", "r2")
+    nn = loc.getField("n")
+    r1, r2 = F.floor((nn + 1) / 2), F.floor(nn / 2) + 1
+    below = loc.getField("below_r1")              # values in buckets below k_r1
+    a = F.min(F.when(below + F.col("cum") >= r1, F.col("v")))
+    b = F.min(F.when(below + F.col("cum") >= r2, F.col("v")))
+    return t.agg(((a + b) / F.lit(2)).alias("median"), F.any_value(loc).alias("loc"))
+
+
+def exact_median(df: DataFrame, col: str) -> DataFrame:
     """One row ``median`` = PERCENTILE_CONT(0.5): the mean of the values at
     ranks floor((n+1)/2) and floor(n/2)+1. NULL on empty input."""
-    return _median_stats(rank_histogram(df, col, 0.5, accuracy)).select("median")
+    return _median_row(df, col).select("median")
 
 
-def exact_top_sum(df: DataFrame, col: str, fraction: float,
-                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def summary_stats(df: DataFrame, col: str) -> DataFrame:
+    """One row: mean (exact sum / count), min, max and exact median of ``col``."""
+    m = _median_row(df, col)
+    loc = F.col("loc")
+    return m.select(
+        (loc.getField("total").cast("double") / F.nullif(loc.getField("n").cast("double"), F.lit(0.0)))
+        .alias("mean"),
+        loc.getField("mn").alias("min"), loc.getField("mx").alias("max"), "median")
+
+
+def exact_top_sum(df: DataFrame, col: str, fraction: float) -> DataFrame:
     """One row (n, k, top_sum, total) with k = ceil(fraction * n) and top_sum the
     sum of the k largest values (ties at the cut do not change the sum)."""
-    hist = rank_histogram(df, col, 1.0 - fraction, accuracy)
-    n = F.col("s.n")
-    k = F.ceil(n * F.lit(fraction))
-    r = n - k + F.lit(1)                       # ascending rank of the k-th largest
-    at_r = F.col("b").isNotNull() & (F.col("cum") >= r)
-    stats = hist.agg(
-        F.min(F.when(at_r, F.col("b"))).alias("t"),
-        F.min_by(F.col("cum"), F.when(at_r, F.col("b"))).alias("cum_t"),
-        F.min_by(F.col("cum_sum"), F.when(at_r, F.col("b"))).alias("cum_sum_t"),
-        F.max(F.when(F.col("b").isNotNull(), F.col("cum"))).alias("max_cum"),
-        F.max("below").alias("below"),
-        F.any_value("s").alias("s"))
-    n, total = F.coalesce(F.col("s.n"), F.lit(0)), F.col("s.total")
-    k = F.ceil(n * F.lit(fraction))
-    r = n - k + F.lit(1)
-    # values > t: n - cum_t of them, summing to total - cum_sum_t; the rest of the
-    # top k are copies of t
-    top = (total - F.col("cum_sum_t")) + (k - (n - F.col("cum_t"))) * F.col("t")
-    ok = (n == 0) | (k == 0) | ((F.col("below") < r) & (F.col("max_cum") >= r))
-    return stats.select(
-        n.cast("bigint").alias("n"),
-        k.cast("bigint").alias("k"),
-        _checked(F.when(k > 0, top).otherwise(F.lit(0)), ok, "top-k").alias("top_sum"),
-        total.alias("total"),
-    )
-
-
-def summary_stats(df: DataFrame, col: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row: mean (exact sum / count), min, max and exact median of ``col``,
-    from the same two passes as the median."""
-    m = _median_stats(rank_histogram(df, col, 0.5, accuracy))
-    return m.select(
-        (F.col("s.total").cast("double") / F.nullif(F.col("s.n").cast("double"), F.lit(0.0))).alias("mean"),
-        F.col("s.mn").alias("min"), F.col("s.mx").alias("max"), "median")
+    v = _values(df, col)
+    n = F.col("n")
+    r = n - F.ceil(n * F.lit(fraction)) + 1            # ascending rank of the k-th largest
+    loc = _locate(_bucket_table(v), {"r": r})
+    t = _value_table(v, loc, "r", "r")
+    nn = F.coalesce(loc.getField("n"), F.lit(0))
+    k = F.ceil(nn * F.lit(fraction))
+    rr = nn - k + 1
+    below, below_s = loc.getField("below_r"), loc.getField("below_s_r")
+    at_r = below + F.col("cum") >= rr
+    stats = t.agg(F.min(F.when(at_r, F.col("v"))).alias("t"),
+                  F.min_by(F.col("cum"), F.when(at_r, F.col("v"))).alias("cum_t"),
+                  F.min_by(F.col("cum_s"), F.when(at_r, F.col("v"))).alias("cum_s_t"))
+    total = loc.getField("total")
+    # values <= t: below + cum_t of them, summing to below_s + cum_s_t; the
+    # values > t are all in the top k, the rest of the top k are copies of t
+    above_n = nn - (below + F.col("cum_t"))
+    above_s = total - (below_s + F.col("cum_s_t"))
+    top = above_s + (k - above_n) * F.col("t")
+    return stats.select(nn.cast("bigint").alias("n"), k.cast("bigint").alias("k"),
+                        F.when(k > 0, top).otherwise(F.lit(0)).alias("top_sum"),
+                        total.alias("total"))
