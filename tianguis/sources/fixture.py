@@ -38,15 +38,8 @@ RAW_SCHEMAS = {
 }
 
 
-def _raw(spark: SparkSession, sf_dir: str, name: str, min_splits: int = 0) -> DataFrame:
-    """Read one raw table. When the scan yields fewer input splits than
-    ``min_splits`` (a file written as a single row group cannot be split), the
-    rows are spread round-robin so the mapping and everything up to the first
-    shuffle run on all cores; with many splits (large inputs) nothing changes."""
-    df = spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    if min_splits and df.rdd.getNumPartitions() < min_splits:
-        df = df.repartition(min_splits)
-    return df
+def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders(o: DataFrame) -> DataFrame:
@@ -183,14 +176,11 @@ def materialize(spark: SparkSession, mk: Marketplace, base_dir: str, files: int)
     return Marketplace(**out)
 
 
-def from_tpch(spark: SparkSession, sf_dir: str, spread: bool = False) -> Marketplace:
-    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``.
-
-    ``spread``: spread the two fact tables over the session's default
-    parallelism when their files give fewer input splits than that."""
-    splits = spark.sparkContext.defaultParallelism if spread else 0
-    o = _raw(spark, sf_dir, "orders", splits)
-    li = _raw(spark, sf_dir, "lineitem", splits)
+def from_tpch(spark: SparkSession, sf_dir: str) -> Marketplace:
+    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``
+    (lazily; ``materialize`` writes them out once)."""
+    o = _raw(spark, sf_dir, "orders")
+    li = _raw(spark, sf_dir, "lineitem")
     nation = _raw(spark, sf_dir, "nation")
     orders_m = _orders(o)
     items_m = _items(li)
