@@ -1,5 +1,7 @@
 """Hand-made edge rows with expected values worked out from the original SQL."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from helpers import item, marketplace, order, payment, review, table
@@ -30,7 +32,7 @@ def test_same_day_late_delivery_counts_as_late_with_null_band(spark):
 def test_delivery_band_edges_and_negative_days(spark):
     days = [0, 7, 8, 14, 15, 21, 22, 30, 31, -1]
     orders = [order(f"o{i}", pts="2017-05-10 10:00:00",
-                    delivered=f"{(__import__('datetime').date(2017, 5, 10) + __import__('datetime').timedelta(days=d))} 11:00:00",
+                    delivered=f"{dt.date(2017, 5, 10) + dt.timedelta(days=d)} 11:00:00",
                     estimated="2017-07-01 00:00:00") for i, d in enumerate(days)]
     mk = marketplace(spark, orders=orders)
     got = {r["rango_entrega"]: r["pedidos"] for r in rows(sellers.delivery_histogram(mk, P))}
