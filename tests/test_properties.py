@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from tianguis.operators.stats import exact_median, exact_top_sum
 from tianguis.params import FIXTURE_PARAMS as P
-from tianguis.plans import geo, quality, sellers, temporal
+from tianguis.plans import geo, quality, sellers
 from tianguis.plans.registry import fixture_marketplace
 from tianguis.sources.model import Marketplace
 

@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from helpers import item, marketplace, order, payment, review
 from tianguis.params import FIXTURE_PARAMS, Params
 from tianguis.plans import marts, sellers, temporal
 from tianguis.plans.registry import fixture_marketplace

@@ -15,7 +15,7 @@ from tianguis.operators.kpi import kpi_table
 from tianguis.operators.quality import duplicate_keys, missing_children, null_profile, orphan_keys, row_counts
 from tianguis.operators.shares import distribution, share_of_total
 from tianguis.params import Params
-from tianguis.plans.common import DELIVERED_AT, ESTIMATED_AT, as_long, flag, is_late
+from tianguis.plans.common import DELIVERED_AT, ESTIMATED_AT, flag, is_late
 from tianguis.sources.model import Marketplace
 
 
