@@ -91,9 +91,3 @@ mk_translation AS (
 )
 """
 
-
-def with_fixture(body: str) -> str:
-    """Prefix a statement with the fixture CTEs. ``body`` may start with more
-    CTE definitions (``name AS (...), ...``) followed by the final SELECT; in that
-    case pass them via ``ctes``."""
-    return "WITH " + FIXTURE_CTES.strip() + "\n" + body
