@@ -113,6 +113,8 @@ def test_state_balance_keeps_buyer_states_only(spark):
     mk = marketplace(spark, orders=orders, customers=customers, payments=pays, items=its, sellers=sel)
     got = {r["estado"]: r["balance"] for r in rows(geo.state_balance(mk, P))}
     assert got == {"X": -30.0, "Y": 10.0}
+    full = {r["estado"]: r["balance"] for r in rows(geo.state_balance(mk, P.with_(balance_join="full")))}
+    assert full == {"X": -30.0, "Y": 10.0, "Z": -5.0}
 
 
 def test_missing_and_untranslated_category_share_one_label(spark):

@@ -39,6 +39,9 @@ class Params:
     # seller scorecards
     scorecard_min_orders: int = 20
     scorecard_mart_min_orders: int = 10
+    # state balance: "left" lists buyer states only (as written); "full" also
+    # lists states that only sell
+    balance_join: str = "left"
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -93,12 +93,12 @@ def seller_state_revenue(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def state_balance(mk: Marketplace, p: Params) -> DataFrame:
-    """Purchases minus sales per buyer state (left join: states that only
-    sell are not listed)."""
+    """Purchases minus sales per buyer state (``balance_join`` "left", the
+    default: states that only sell are not listed; "full" lists them too)."""
     buy = _buyer_state_revenue(mk, p, "revenue_compras")
     sell = _seller_state_base(mk, p).select(F.col("estado_vendedor").alias("estado"),
                                             round_dec("_rev", 2).alias("revenue_ventas"))
-    b = balance(buy, sell, "estado", "revenue_compras", "revenue_ventas", "balance", how="left")
+    b = balance(buy, sell, "estado", "revenue_compras", "revenue_ventas", "balance", how=p.balance_join)
     return (b.select("estado", F.col("revenue_compras").cast("double").alias("revenue_compras"),
                      F.col("revenue_ventas").cast("double").alias("revenue_ventas"), "balance")
             .orderBy(F.col("balance").desc()))
