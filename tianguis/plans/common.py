@@ -42,7 +42,3 @@ def delivery_days() -> Column:
 def flag(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END) building block (NULL counts as 0)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
-
-
-def as_long(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
