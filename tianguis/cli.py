@@ -68,10 +68,11 @@ def run(spark: SparkSession, tables: str, out: str, fmt: str = "parquet", output
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="tianguis", description=__doc__.splitlines()[0])
-    ap.add_argument("--tables", required=True)
-    ap.add_argument("--out", required=True)
-    ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-    ap.add_argument("--output-format", default="parquet", choices=["parquet", "csv"])
+    ap.add_argument("--tables", required=True, help="folder with one folder/file per table")
+    ap.add_argument("--out", required=True, help="folder for the results (one per analysis)")
+    ap.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="format of the tables")
+    ap.add_argument("--output-format", default="parquet", choices=["parquet", "csv"],
+                    help="format of the results")
     ap.add_argument("--queries", default="", help="comma-separated keys (default: all)")
     ap.add_argument("--param", action="append", default=[], help="name=value override of Params")
     a = ap.parse_args(argv)
