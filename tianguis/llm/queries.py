@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tianguis.llm import chat
 from tianguis.llm.bpe import op9_bpe
+from tianguis.llm.chat import op5_chat
+from tianguis.llm.language import op6_langid
+from tianguis.llm.licenses import op8_licenses
 from tianguis.llm.near_dedup import op10_minhash
 from tianguis.llm.packing import op2_packing
+from tianguis.llm.pii import op1_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op5_chat": op5_chat,
+    "op6_langid": op6_langid,
+    "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": chat.ORACLE,
+}
