@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,31 +107,49 @@ def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     return dict(sorted(out.items()))
 
 
+class Judge:
+    """Languages and scores of texts, by cosine with the learned vectors."""
+
+    def __init__(self, learned: dict[str, np.ndarray]):
+        self.names = [*learned]
+        self.unit = np.stack([v / np.linalg.norm(v) for v in learned.values()]) if learned else np.zeros((0, DIMENSIONS))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        hd, lang, score = letters(), [], []
+        for t in texts:
+            v = hd.of_text(t) if self.names else None
+            n = 0.0 if v is None else float(np.linalg.norm(v))
+            cosines = self.unit @ v / n if n else np.zeros(len(self.names))
+            best = int(np.argmax(cosines)) if v is not None else -1
+            lang.append(self.names[best] if best >= 0 else UNDETERMINED)
+            score.append(float(min(1.0, max(0.0, cosines[best]))) if best >= 0 else 0.0)
+        return lang, score
+
+
 def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` (doc_id, text, any others) as (doc_id, lang_pred, score)."""
-    names = [*learned]
-    unit = np.stack([v / np.linalg.norm(v) for v in learned.values()]) if names else np.zeros((0, DIMENSIONS))
+    judge = Judge(learned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hd = letters()
         for b in batches:
-            lang, score = [], []
-            for t in b["text"].where(b["text"].notna(), None):
-                v = hd.of_text(t) if names else None
-                n = 0.0 if v is None else float(np.linalg.norm(v))
-                if v is None:
-                    lang.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                cosines = unit @ v / n if n else np.zeros(len(names))
-                best = int(np.argmax(cosines))
-                lang.append(names[best])
-                score.append(float(min(1.0, max(0.0, cosines[best]))))
+            lang, score = judge(b["text"].where(b["text"].notna(), None).tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").array, "lang_pred": lang, "score": score})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def determined(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, as they are."""
+    judge = Judge(learned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _ = judge(b.column("text").to_pylist())
+            yield b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """True for the documents that training must not see; null ids are not trained on."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
