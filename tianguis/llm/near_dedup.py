@@ -44,7 +44,7 @@ DEPTH = 6
 #: Deeper signature values that order the nodes of a region.
 DEEPER = 4
 #: Neighbours that each node proposes.
-PROPOSALS = 4
+PROPOSALS = 8
 #: Standard deviations that the sketch bound leaves.
 SIGMAS = 5
 WORDS_KEPT = 1_000_000
@@ -110,7 +110,8 @@ def shingler(words: int) -> Shingler:
 
 
 def describe(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Region keys and deeper order values per tree, and the bit sketch, of signatures (rows)."""
+    """Region keys and deeper order values per tree, and the sketch (two bits of
+    each value), of signatures (rows)."""
     n = len(sig)
     wide = np.concatenate([sig, sig[:, : DEPTH + DEEPER]], axis=1).astype(np.uint64)
     f, keys = odd_constants(DEPTH + 1, 14, 64), np.zeros((n, TREES), np.uint64)
@@ -120,7 +121,8 @@ def describe(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.zeros((n, TREES), np.uint64)
     for j in range(DEEPER):
         order = order << np.uint64(16) | wide[:, DEPTH + j : DEPTH + j + SIZE : DEPTH] >> np.uint64(16)
-    bit = (sig ^ (sig >> np.uint32(7)) ^ (sig >> np.uint32(15))) & np.uint32(1)
+    two = sig ^ (sig >> np.uint32(7)) ^ (sig >> np.uint32(15))
+    bit = np.stack([two & np.uint32(1), (two >> np.uint32(1)) & np.uint32(1)], axis=2).reshape(n, -1)
     bits = np.packbits(bit.astype(np.uint8), axis=1).view(">u8").astype(np.int64)
     return keys.view(np.int64), order.view(np.int64), bits
 
@@ -142,7 +144,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def neighbours(forest: DataFrame) -> DataFrame:
-    """(key, label, prev) of the rows that share their region with a neighbour in
+    """(key, tree, label, prev) of the rows that share their region with a neighbour in
     the sorted order; prev is the neighbour before, in the same region. The
     first and last row of a task are kept too: theirs may be in another task."""
 
@@ -151,16 +153,15 @@ def neighbours(forest: DataFrame) -> DataFrame:
         first = True
         for b in batches:
             f = b if held is None else pd.concat([held, b])
-            key, label = f["key"].to_numpy(), f["label"].to_numpy()
-            same = key[1:] == key[:-1]
             lo = 0 if held is None else len(held) - 1
-            yield given(key, label, same, lo, len(f) - 1, first, False)
+            yield given(f, lo, len(f) - 1, first, False)
             first, held = first and len(f) < 2, f.iloc[-2:]
         if held is not None:
-            key, label = held["key"].to_numpy(), held["label"].to_numpy()
-            yield given(key, label, key[1:] == key[:-1], len(held) - 1, len(held), first, True)
+            yield given(held, len(held) - 1, len(held), first, True)
 
-    def given(key: np.ndarray, label: np.ndarray, same: np.ndarray, lo: int, hi: int, first: bool, last: bool) -> pd.DataFrame:
+    def given(f: pd.DataFrame, lo: int, hi: int, first: bool, last: bool) -> pd.DataFrame:
+        key, label = f["key"].to_numpy(), f["label"].to_numpy()
+        same = key[1:] == key[:-1]
         before, after = np.r_[False, same], np.r_[same, False]
         prev = np.where(before, np.r_[0, label[:-1]], 0)
         keep = before | after
@@ -171,9 +172,9 @@ def neighbours(forest: DataFrame) -> DataFrame:
         at = lo + np.flatnonzero(keep[lo:hi])
         p = pd.array(prev[at], "Int64")
         p[~before[at]] = pd.NA
-        return pd.DataFrame({"key": key[at], "label": label[at], "prev": p})
+        return pd.DataFrame({"key": key[at], "tree": f["tree"].to_numpy()[at], "label": label[at], "prev": p})
 
-    return forest.mapInPandas(run, "key long, label long, prev long")
+    return forest.mapInPandas(run, "key long, tree int, label long, prev long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -222,20 +223,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     first = {c: F.first(c).alias(c) for c in ("n_shingles", "keys", "orders", "sketch")}
     nodes = cut(sigs.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("label"), *first.values()), "nodes")
 
-    forest = nodes.select("label", F.explode(F.arrays_zip("keys", "orders")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.orders").alias("ord"), "label")
+    forest = nodes.select("label", F.posexplode(F.arrays_zip("keys", "orders")).alias("tree", "x")).select(F.col("x.keys").alias("key"), F.col("x.orders").alias("ord"), "label", "tree")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["key", "ord", "label"]
     active = cut(neighbours(forest.repartitionByRange(width, *order).sortWithinPartitions(*order)), "active")
 
-    share = num / den
-    differ = (1 - share) / 2
+    differ = (1 - num / den) * 3 / 4  # unequal values still agree in their two bits one time in four
     most = int(SIZE * differ + SIGMAS * (SIZE * differ * (1 - differ)) ** 0.5)
-    facts = nodes.select("label", "n_shingles", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SIZE // 64)))
+    longs = 2 * SIZE // 64
+    facts = nodes.select("label", "n_shingles", "keys", *(F.col("sketch")[i].alias(f"s{i}") for i in range(longs)))
 
     def side(name: str) -> DataFrame:
         return facts.toDF(*(f"{name}_{c}" if c != "label" else name for c in facts.columns))
 
-    apart = " + ".join(f"bit_count(a_s{i} ^ b_s{i})" for i in range(SIZE // 64))
+    apart = " + ".join(f"bit_count(((a_s{i} ^ b_s{i}) | shiftrightunsigned(a_s{i} ^ b_s{i}, 1)) & {0x5555555555555555}L)" for i in range(longs))
     near = f"{num} * greatest(a_n_shingles, b_n_shingles) <= {den} * least(a_n_shingles, b_n_shingles) AND {apart} <= {most}"
 
     labels = active.select("label").distinct()
@@ -243,20 +244,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sets = cut(full_sets(docs.join(F.broadcast(labels) if small else labels, F.col("doc_id") == F.col("label")), words), "sets")
 
     pairs = active.filter("prev <> label").select(F.least("label", "prev").alias("a"), F.greatest("label", "prev").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", F.expr(apart).alias("apart"))
+    pairs = pairs.join(side("a").drop("a_keys"), "a").join(side("b").drop("b_keys"), "b").filter(near).select("a", "b", F.expr(apart).alias("apart"))
     ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
     best = W.partitionBy("end").orderBy("apart", "a", "b")
     proposed = cut(ends.withColumn("r", F.row_number().over(best)).filter(f"r <= {PROPOSALS}").select("a", "b").distinct(), "proposed")
     linked = cut(confirm(proposed, sets, num, den), "linked")
     comp = components(linked)
 
-    placed = active.select("key", "label").distinct().join(comp, "label", "left").select("key", F.col("label").alias("a"), F.coalesce("component", "label").alias("comp"))
+    placed = active.select("key", "tree", "label").distinct().join(comp, "label", "left").select("key", "tree", F.col("label").alias("a"), F.coalesce("component", "label").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1").select("key", F.col("top.comp").alias("top"))
     placed = cut(placed.join(mixed, "key").join(side("a"), "a"), "placed")
-    other = placed.toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in placed.columns))
+    other = placed.drop("tree").toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in placed.columns if c != "tree"))
+    # A pair that shares several regions comes up in the first of them only.
+    first_shared = "array_position(zip_with(a_keys, b_keys, (x, y) -> x = y), true) = tree + 1"
     open_pairs = (placed.filter("comp <> top").join(other, "key")
-                  .filter(f"comp <> b_comp AND (b_comp = b_top OR a < b) AND {near}")
+                  .filter(f"comp <> b_comp AND (b_comp = b_top OR a < b) AND {near} AND {first_shared}")
                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                   .join(proposed, ["a", "b"], "left_anti"))
     linked = linked.unionByName(cut(confirm(open_pairs, sets, num, den), "linked"))
