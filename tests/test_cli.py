@@ -2,7 +2,7 @@
 
 import tempfile
 
-from tianguis.cli import _params, run
+from tianguis.cli import _params, _table_paths, run
 from tianguis.params import FIXTURE_PARAMS
 from tianguis.plans.registry import PLANS, fixture_marketplace
 
@@ -18,6 +18,11 @@ def test_runner_over_stored_tables(spark):
     p = _params(["analysis_start=1996-01-01", "compare_years=1999,2000", "quadrant_price=53000",
                  "quadrant_units=2200"])
     assert p.compare_years == (1999, 2000) and p.quadrant_units == 2200
+    assert _params(["quadrant_price=129.5"]).quadrant_price == 129.5
+    assert set(_table_paths(spark, f"file://{d}/tables", "parquet")) == set(names)
+    mk.translation.write.parquet(f"{d}/suffix/category_translation.parquet")
+    assert _table_paths(spark, f"file://{d}/suffix", "parquet") == {
+        "category_translation": f"file://{d}/suffix/category_translation.parquet"}
     done = run(spark, f"{d}/tables", f"{d}/out", queries=["f3_monthly", "f5_seller_scorecard"], params=p,
                output_format="csv")
     assert done == ["f3_monthly", "f5_seller_scorecard"]

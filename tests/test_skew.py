@@ -88,3 +88,20 @@ def test_hot_product_category_totals_are_exact(spark):
              .groupBy(F.col("product_category_name").alias("c"))
              .agg(F.count("order_item_id").alias("u"), F.sum("price").alias("r")).collect())
     assert got == {"Sin categoría": (sum(r["u"] for r in brute), float(sum(r["r"] for r in brute)))}
+
+
+def test_hot_order_collapses_before_the_order_shuffle(spark):
+    """Below the order_id exchange of the items stands a partial aggregate, and no task
+    behind it gets a row per item of the hot order."""
+    mk = _hot_marketplace(spark)
+    for plan in (sellers.seller_scorecard, sellers.seller_segments):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            text = plan(mk, P)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        lines = text.splitlines()
+        below = [lines[i + 1] for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(order_id#\d+, seller_id", line)]
+        assert below and all("partial_" in line for line in below), text
+    big = sellers._items_per_order_and_seller(mk).where("order_id = 'big'").collect()
+    assert len(big) == 1 and big[0].n_items == mk.items.where("order_id = 'big'").count()

@@ -3,10 +3,13 @@
 import os
 import tempfile
 
+import pytest
+
 from tianguis.params import FIXTURE_PARAMS, Params
-from tianguis.plans import marts, sellers, temporal
+from tianguis.plans import marts, quality, sellers, temporal
 from tianguis.plans.registry import fixture_marketplace
 from tianguis.sources.files import load_tables
+from tianguis.sources.schema import SCHEMAS
 
 
 def _write_csv(path, header, lines):
@@ -34,7 +37,7 @@ def test_csv_loader_reads_declared_types_and_empty_as_null(spark):
                            "customer_state"],
              "order_reviews": ["review_id", "order_id", "review_score", "review_comment_title",
                                "review_comment_message", "review_creation_date", "review_answer_timestamp"],
-             "products": ["product_id", "product_category_name"],
+             "products": ["product_id", "product_category_name", "product_weight_g"],
              "sellers": ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"],
              "category_translation": ["product_category_name", "product_category_name_english"]}
     for name, header in empty.items():
@@ -50,6 +53,62 @@ def test_csv_loader_reads_declared_types_and_empty_as_null(spark):
     assert [(r.mes, r.pedidos, r.revenue, r.ticket_promedio) for r in got] == [("2017-01", 1, 120.75, 60.38)]
 
 
+def _load(spark, d):
+    return load_tables(spark, {n: f"{d}/{n}.csv" for n in SCHEMAS}, fmt="csv")
+
+
+def _csv_folder():
+    d = tempfile.mkdtemp(prefix="tianguis-csv-", dir="/tmp")
+    for name, schema in SCHEMAS.items():
+        _write_csv(f"{d}/{name}.csv", [f.name for f in schema.fields], [])
+    return d
+
+
+def test_csv_quoted_line_breaks_and_doubled_quotes(spark):
+    d = _csv_folder()
+    with open(f"{d}/order_reviews.csv", "w") as f:
+        f.write("review_id,order_id,review_score,review_comment_title,review_comment_message,"
+                "review_creation_date,review_answer_timestamp\n"
+                'r1,o1,5,"good ""very""","first line\nsecond, line",2017-01-05 00:00:00,2017-01-06 10:00:00\n'
+                "r2,o2,1,,,2017-01-05 00:00:00,\n")
+    mk = _load(spark, d)
+    assert mk.reviews.count() == 2
+    r = mk.reviews.orderBy("review_id").first()
+    assert (r.review_comment_title, r.review_comment_message) == ('good "very"', "first line\nsecond, line")
+    nulls = quality.review_nulls(mk, Params()).first()
+    assert (nulls.total, nulls.sin_titulo, nulls.sin_mensaje) == (2, 1, 1)
+    counts = {x.tabla: x.total_filas for x in quality.row_count_report(mk, Params()).collect()}
+    assert counts["order_reviews"] == 2
+    # the same rows as Parquet give the same results
+    mk.reviews.write.parquet(f"{d}/parquet")
+    back = load_tables(spark, {**{n: f"{d}/{n}.csv" for n in SCHEMAS}}, fmt="csv")
+    assert spark.read.parquet(f"{d}/parquet").exceptAll(back.reviews).count() == 0
+
+
+def test_csv_columns_are_found_by_name(spark):
+    d = _csv_folder()
+    _write_csv(f"{d}/category_translation.csv", ["product_category_name_english", "product_category_name"],
+               [["toys", "brinquedos"]])
+    t = _load(spark, d).translation.first()
+    assert (t.product_category_name, t.product_category_name_english) == ("brinquedos", "toys")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_missing_columns_are_named(spark, fmt):
+    d = _csv_folder()
+    if fmt == "csv":
+        _write_csv(f"{d}/orders.csv", ["order_id"], [["o1"]])
+        paths = {n: f"{d}/{n}.csv" for n in SCHEMAS}
+    else:
+        paths = {}
+        for n, schema in SCHEMAS.items():
+            df = spark.createDataFrame([], schema)
+            (df.select("order_id") if n == "orders" else df).write.parquet(f"{d}/{n}")
+            paths[n] = f"{d}/{n}"
+    with pytest.raises(ValueError, match="orders: columns missing.*customer_id"):
+        load_tables(spark, paths, fmt=fmt)
+
+
 def test_export_marts_parquet_and_csv(spark):
     mk = fixture_marketplace(spark, "/root/testdata/sf0.001")
     d = tempfile.mkdtemp(prefix="tianguis-marts-", dir="/tmp")

@@ -7,7 +7,6 @@ Layout:
               consolidation, exact order statistics, period metrics, top-k, ...)
   plans/      one function per analysis statement, built from the operators
   oracle/     independent DuckDB SQL used only to check the plans
-  streaming/  intentionally empty (the analyses are batch only)
 """
 
 from tianguis.params import FIXTURE_PARAMS, Params

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -29,11 +28,15 @@ from tianguis.sources.schema import SCHEMAS
 from tianguis.sources.sinks import write_mart
 
 
-def _table_paths(base: str, fmt: str) -> dict[str, str]:
+def _table_paths(spark: SparkSession, base: str, fmt: str) -> dict[str, str]:
+    """The folder or file of each table, looked up in whatever file system ``base`` is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
     out = {}
     for name in SCHEMAS:
         for cand in (f"{base}/{name}", f"{base}/{name}.{fmt}"):
-            if os.path.exists(cand) or "://" in base:
+            path = hadoop(cand)
+            if path.getFileSystem(conf).exists(path):
                 out[name] = cand
                 break
     return out
@@ -51,13 +54,13 @@ def _params(pairs: list[str]) -> Params:
         if isinstance(current, tuple):
             updates[key] = tuple(int(x) for x in raw.split(","))
         else:
-            updates[key] = type(current)(raw)
+            updates[key] = (float if fields[key].type == "float" else type(current))(raw)
     return p.with_(**updates)
 
 
 def run(spark: SparkSession, tables: str, out: str, fmt: str = "parquet", output_format: str = "parquet",
         queries: list[str] | None = None, params: Params | None = None) -> list[str]:
-    mk = load_tables(spark, _table_paths(tables, fmt), fmt=fmt)
+    mk = load_tables(spark, _table_paths(spark, tables, fmt), fmt=fmt)
     p = params or Params()
     written = []
     for name in queries or list(PLANS):

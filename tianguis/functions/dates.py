@@ -1,4 +1,5 @@
-"""Date expressions on TIMESTAMP_NTZ columns (no time zone is involved)."""
+"""Date expressions on TIMESTAMP_NTZ columns. Names are built from the fields
+(year, month, weekday), as formatting a timestamp would go through the session's time zone."""
 
 from __future__ import annotations
 
@@ -7,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tianguis.functions.numeric import _c, ColumnOrName
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
 
 def ts_literal(value: str) -> Column:
     """Typed TIMESTAMP_NTZ literal, so comparisons stay on the raw column and push down."""
@@ -19,19 +23,28 @@ def days_between(end: ColumnOrName, start: ColumnOrName) -> Column:
     return F.datediff(_c(end), _c(start))
 
 
+def _named(number: Column, names: tuple[str, ...]) -> Column:
+    """The name with a number from 1."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), number)
+
+
+def _year(ts: ColumnOrName) -> Column:
+    return F.lpad(F.year(_c(ts)).cast("string"), 4, "0")
+
+
 def year_month(ts: ColumnOrName) -> Column:
     """'YYYY-MM'."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    return F.concat(_year(ts), F.lit("-"), F.lpad(F.month(_c(ts)).cast("string"), 2, "0"))
 
 
 def month_label(ts: ColumnOrName) -> Column:
     """English 'Mon YYYY', e.g. 'Nov 2017'."""
-    return F.date_format(_c(ts), "MMM yyyy")
+    return F.concat(_named(F.month(_c(ts)), MONTHS), F.lit(" "), _year(ts))
 
 
 def weekday_name(ts: ColumnOrName) -> Column:
     """Full English weekday name, e.g. 'Monday'."""
-    return F.date_format(_c(ts), "EEEE")
+    return _named(F.dayofweek(_c(ts)), WEEKDAYS)
 
 
 def weekday_number(ts: ColumnOrName) -> Column:

@@ -2,23 +2,21 @@
 
 Spark's exact ``median``/``percentile`` keeps a value->count map of the whole
 input in one final task, and ``percentile_approx`` in a global aggregate sends
-one quantile summary per task to a single merging task. Here exact order
-statistics take two passes of plain group-bys, each partially aggregated
-map-side:
-
-1. bucket histogram: every value goes to a logarithmic bucket (256 buckets per
-   power of two, so one bucket spans 0.27% of its value range, split by sign);
-   per bucket: count, sum, min, max. Only populated buckets exist (a few
-   thousand at most for money or day counts), so the running counts over them
-   are a window over a bounded number of rows. It gives n, the total, min, max
-   and the bucket holding each wanted rank.
-2. value histogram inside the wanted bucket(s): values grouped by value (ties
-   collapse, so a value held by a third of all rows is one row), with the
-   count and sum of everything in lower buckets.
-
-The result is exact (no approximation, no sampling). The second histogram is
-bounded by the distinct values within 0.27% of the wanted value: for cents or
-whole days that is at most a few thousand even for large values.
+one quantile summary per task to a single merging task. Here the input is
+reduced once, to a histogram of (value, count); ties collapse map-side, so a value
+held by a third of all rows is one row. Everything else reads that histogram,
+whose exchange is shared:
+
+1. buckets: 256 per power of two, split by sign, so one spans 0.27% of its
+   value range. Their running counts give n, the total, min, max and
+   the bucket that holds the wanted rank.
+2. cells: that bucket, cut into 4,096 equal parts. Their running counts give the cell.
+3. values of that cell, in order.
+
+Buckets and cells are bounded in number, and a cell holds at most as many values as
+fit into 0.27% / 4,096 of the wanted value (for cents, one value in a cell up to
+R$ 15,000, 66 at a million), however many rows or keys there are.
+The result is exact: no approximation, no sampling.
 """
 
 from __future__ import annotations
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 256
 _OFFSET = 1 << 22
+CELLS = 4096
 
 
 def value_bucket(x: Column) -> Column:
@@ -38,101 +37,87 @@ def value_bucket(x: Column) -> Column:
              .otherwise(F.lit(0)).cast("long"))
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
+def _histogram(df: DataFrame, col: str) -> DataFrame:
+    """(v, c, k): distinct values with their counts and buckets. The bucket is an
+    aggregate, so that choosing one stays above the shared exchange."""
     v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    return v.select("v", value_bucket(F.col("v")).alias("k"))
-
-
-def _bucket_table(v: DataFrame) -> DataFrame:
-    """Per populated bucket: c, s, cum (values in buckets <= k), cum_s, and the
-    totals n, total, mn, mx on every row."""
-    b = v.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"),
-                           F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-    run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    return b.select("k", "c", "s",
-                    F.sum("c").over(run).alias("cum"), F.sum("s").over(run).alias("cum_s"),
-                    F.sum("c").over(whole).alias("n"), F.sum("s").over(whole).alias("total"),
-                    F.min("bmin").over(whole).alias("mn"), F.max("bmax").over(whole).alias("mx"))
-
-
-def _locate(buckets: DataFrame, ranks: dict[str, Column]) -> Column:
-    """Scalar subquery: struct of n, total, mn, mx and, per named rank r, the
-    bucket ``k_<name>`` holding it with the count ``below_<name>`` and sum
-    ``below_s_<name>`` of the values in lower buckets. ``ranks`` are
-    expressions of the column ``n``."""
-    aggs = [F.max("n").alias("n"), F.max("total").alias("total"),
-            F.max("mn").alias("mn"), F.max("mx").alias("mx")]
-    for name, r in ranks.items():
-        hit = F.when(F.col("cum") >= r, F.col("k"))
-        aggs += [F.min(hit).alias(f"k_{name}"),
-                 F.min_by(F.col("cum") - F.col("c"), hit).alias(f"below_{name}"),
-                 F.min_by(F.col("cum_s") - F.col("s"), hit).alias(f"below_s_{name}")]
-    return buckets.agg(*aggs).select(F.struct("*")).scalar()
-
-
-def _value_table(v: DataFrame, loc: Column, lo_name: str, hi_name: str) -> DataFrame:
-    """Values of buckets k_lo..k_hi grouped by value, with ``cum`` = number of
-    values <= v in those buckets and ``cum_s`` their sum; ``loc`` attached."""
-    inside = (F.col("k") >= loc.getField(f"k_{lo_name}")) & (F.col("k") <= loc.getField(f"k_{hi_name}"))
-    g = v.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select("v", "c", F.sum("c").over(run).alias("cum"),
-                    F.sum(F.col("v") * F.col("c")).over(run).alias("cum_s"))
+    return v.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max(value_bucket(F.col("v"))).alias("k"))
+
+
+_WHOLE = ["n", "total", "mn", "mx", "r1", "r2"]
+
+
+def _holding_ranks(parts: DataFrame, by: str, within: list[str]) -> DataFrame:
+    """Of ``parts`` (by, c, s, below, below_s and the columns of the whole input), at most
+    two that hold the ranks r1 to r2, with the count and sum of all values before each.
+    ``below`` comes in as what lies before the parts' common range (``within``)."""
+    run = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(
+        "*", (F.col("below") + F.coalesce(F.sum("c").over(run), F.lit(0))).alias("_b"),
+        (F.col("below_s") + F.coalesce(F.sum("s").over(run), F.lit(0))).alias("_bs"))
+    return (before.where((F.col("_b") + F.col("c") >= F.col("r1")) & (F.col("_b") < F.col("r2")))
+            .drop("below", "below_s").withColumnsRenamed({"_b": "below", "_bs": "below_s"}))
+
+
+def _values_at(h: DataFrame, first: Column, last: Column) -> DataFrame:
+    """The one or two distinct values at the ascending ranks first to last
+    (expressions of n, at most one apart): v, c, s, below, below_s (count and sum of the
+    smaller values) and n, total, mn, mx of the whole input. No row on empty input.
+
+    What is broadcast is at most two rows (buckets, then cells)."""
+    sums = [F.sum("c").alias("c"), F.sum(F.col("v") * F.col("c")).alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    every = Window.partitionBy()
+    buckets = h.groupBy("k").agg(*sums).select(
+        "*", F.lit(0).cast("bigint").alias("below"), (F.col("s") * 0).alias("below_s"),
+        F.sum("c").over(every).alias("n"), F.sum("s").over(every).alias("total"),
+        F.min("lo").over(every).alias("mn"), F.max("hi").over(every).alias("mx"))
+    bucket = _holding_ranks(buckets.withColumns({"r1": first, "r2": last}), "k", []).drop("c", "s")
+
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    share = (F.col("v").cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0))
+    cell = F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0))
+    inside = h.join(F.broadcast(bucket), "k").withColumn("cell", cell)
+    keep = ["below", "below_s", *_WHOLE]
+    cells = inside.groupBy("k", "cell").agg(*sums[:2], *[F.first(c).alias(c) for c in keep])
+    chosen = _holding_ranks(cells, "cell", ["k"]).select("k", "cell", F.col("below").alias("b"), F.col("below_s").alias("bs"))
+
+    values = (inside.join(F.broadcast(chosen), ["k", "cell"])
+              .select("k", "cell", "v", "c", (F.col("v") * F.col("c")).alias("s"), F.col("b").alias("below"),
+                      F.col("bs").alias("below_s"), *_WHOLE))
+    return _holding_ranks(values, "v", ["k", "cell"])
 
 
 def _median_row(df: DataFrame, col: str) -> DataFrame:
-    """One row: median (PERCENTILE_CONT(0.5), NULL on empty input) and loc."""
-    v = _values(df, col)
+    """One row: n, total, mn, mx and the median, the mean of the values at ranks
+    floor((n+1)/2) and floor(n/2)+1 (one value or two). NULLs on empty input."""
     n = F.col("n")
-    loc = _locate(_bucket_table(v), {"r1": F.floor((n + 1) / 2), "r2": F.floor(n / 2) + 1})
-    t = _value_table(v, loc, "r1", "r2")
-    nn = loc.getField("n")
-    r1, r2 = F.floor((nn + 1) / 2), F.floor(nn / 2) + 1
-    below = loc.getField("below_r1")              # values in buckets below k_r1
-    a = F.min(F.when(below + F.col("cum") >= r1, F.col("v")))
-    b = F.min(F.when(below + F.col("cum") >= r2, F.col("v")))
-    return t.agg(((a + b) / F.lit(2)).alias("median"), F.any_value(loc).alias("loc"))
+    at = _values_at(_histogram(df, col), F.floor((n + 1) / 2), F.floor(n / 2) + 1)
+    return at.agg(*[F.max(c).alias(c) for c in ("n", "total", "mn", "mx")],
+                  ((F.min("v") + F.max("v")) / F.lit(2)).alias("median"))
 
 
 def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """One row ``median`` = PERCENTILE_CONT(0.5): the mean of the values at
-    ranks floor((n+1)/2) and floor(n/2)+1. NULL on empty input."""
+    """One row ``median`` = PERCENTILE_CONT(0.5); NULL on empty input."""
     return _median_row(df, col).select("median")
 
 
 def summary_stats(df: DataFrame, col: str) -> DataFrame:
     """One row: mean (exact sum / count), min, max and exact median of ``col``."""
-    m = _median_row(df, col)
-    loc = F.col("loc")
-    return m.select(
-        (loc.getField("total").cast("double") / F.nullif(loc.getField("n").cast("double"), F.lit(0.0)))
-        .alias("mean"),
-        loc.getField("mn").alias("min"), loc.getField("mx").alias("max"), "median")
+    return _median_row(df, col).select(
+        (F.col("total").cast("double") / F.nullif(F.col("n").cast("double"), F.lit(0.0))).alias("mean"),
+        F.col("mn").alias("min"), F.col("mx").alias("max"), "median")
 
 
 def exact_top_sum(df: DataFrame, col: str, fraction: float) -> DataFrame:
     """One row (n, k, top_sum, total) with k = ceil(fraction * n) and top_sum the
     sum of the k largest values (ties at the cut do not change the sum)."""
-    v = _values(df, col)
-    n = F.col("n")
-    r = n - F.ceil(n * F.lit(fraction)) + 1            # ascending rank of the k-th largest
-    loc = _locate(_bucket_table(v), {"r": r})
-    t = _value_table(v, loc, "r", "r")
-    nn = F.coalesce(loc.getField("n"), F.lit(0))
-    k = F.ceil(nn * F.lit(fraction))
-    rr = nn - k + 1
-    below, below_s = loc.getField("below_r"), loc.getField("below_s_r")
-    at_r = below + F.col("cum") >= rr
-    stats = t.agg(F.min(F.when(at_r, F.col("v"))).alias("t"),
-                  F.min_by(F.col("cum"), F.when(at_r, F.col("v"))).alias("cum_t"),
-                  F.min_by(F.col("cum_s"), F.when(at_r, F.col("v"))).alias("cum_s_t"))
-    total = loc.getField("total")
-    # values <= t: below + cum_t of them, summing to below_s + cum_s_t; the
-    # values > t are all in the top k, the rest of the top k are copies of t
-    above_n = nn - (below + F.col("cum_t"))
-    above_s = total - (below_s + F.col("cum_s_t"))
-    top = above_s + (k - above_n) * F.col("t")
-    return stats.select(nn.cast("bigint").alias("n"), k.cast("bigint").alias("k"),
-                        F.when(k > 0, top).otherwise(F.lit(0)).alias("top_sum"),
-                        total.alias("total"))
+    rank = F.col("n") - F.ceil(F.col("n") * F.lit(fraction)) + 1     # of the k-th largest value
+    at = _values_at(_histogram(df, col), rank, rank)
+    t = at.agg(*[F.max(c).alias(c) for c in ("n", "total", "v", "c", "s", "below", "below_s")])
+    n = F.coalesce(F.col("n"), F.lit(0))
+    k = F.ceil(n * F.lit(fraction))
+    # the values above v are all in the top k, the rest of the top k are copies of v
+    above_n, above_s = n - F.col("below") - F.col("c"), F.col("total") - F.col("below_s") - F.col("s")
+    top = above_s + (k - above_n) * F.col("v")
+    return t.select(n.cast("bigint").alias("n"), k.cast("bigint").alias("k"),
+                    F.when(k > 0, top).otherwise(F.lit(0)).alias("top_sum"), "total")

@@ -9,7 +9,7 @@ mk_orders_base AS (
                 ELSE 'delivered' END AS order_status,
            o_orderdate + INTERVAL '1' SECOND * CAST((o_orderkey * 7919) % 86400 AS INT)
                AS order_purchase_timestamp
-    FROM orders
+    FROM orders JOIN (VALUES (1), (2)) AS copy(nr) ON nr = 1 OR o_orderkey % 375 = 76
 ),
 mk_orders AS (
     SELECT order_id, customer_id, order_status, order_purchase_timestamp,
@@ -26,7 +26,7 @@ mk_orders AS (
     FROM mk_orders_base
 ),
 mk_items AS (
-    SELECT l_orderkey AS order_id,
+    SELECT CASE WHEN l_orderkey % 250 = 51 THEN -l_orderkey ELSE l_orderkey END AS order_id,
            l_linenumber AS order_item_id,
            l_partkey AS product_id,
            l_suppkey * 100 + CASE WHEN l_partkey % 100 < 50 THEN 0
@@ -38,7 +38,7 @@ mk_items AS (
     FROM lineitem
 ),
 mk_payments AS (
-    SELECT o_orderkey AS order_id,
+    SELECT CASE WHEN o_orderkey % 500 = 52 THEN -o_orderkey ELSE o_orderkey END AS order_id,
            1 AS payment_sequential,
            CASE WHEN o_orderkey % 300 = 9 THEN 'not_defined'
                 WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM', '4-NOT SPECIFIED') THEN 'credit_card'
@@ -54,7 +54,7 @@ mk_payments AS (
     FROM orders WHERE o_orderkey % 20 = 1
 ),
 mk_reviews AS (
-    SELECT order_id,
+    SELECT CASE WHEN order_id % 400 = 103 THEN -order_id ELSE order_id END AS order_id,
            CAST(CASE WHEN order_delivered_customer_date > order_estimated_delivery_date
                      THEN 1 + order_id % 3 ELSE 4 + order_id % 2 END AS INT) AS review_score,
            CASE WHEN order_id % 8 = 0 THEN 't' END AS review_comment_title,
@@ -69,6 +69,7 @@ mk_customers AS (
            CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS customer_unique_id,
            n_name AS customer_state
     FROM customer JOIN nation ON c_nationkey = n_nationkey
+         JOIN (VALUES (1), (2)) AS copy(nr) ON nr = 1 OR c_custkey % 60 = 31
     WHERE c_nationkey <> 3
 ),
 mk_sellers AS (

@@ -24,7 +24,7 @@ class Params:
     peak_start: str = "2017-11-01"
     peak_end: str = "2017-12-01"
     # category price x volume quadrants
-    quadrant_price: float = 130
+    quadrant_price: float = 130.0
     quadrant_units: int = 4000
     quadrant_min_units: int = 100
     # top-k sizes
@@ -42,6 +42,9 @@ class Params:
     # state balance: "left" lists buyer states only (as written); "full" also
     # lists states that only sell
     balance_join: str = "left"
+    # seller scorecards: False repeats an item for each review of its order (as
+    # written); True counts prices, delivery days and late items once per item
+    one_review_row_per_item: bool = False
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
@@ -54,7 +57,7 @@ FIXTURE_PARAMS = Params(
     compare_years=(1999, 2000),
     peak_start="1997-11-01",
     peak_end="1997-12-01",
-    quadrant_price=53000,
+    quadrant_price=53000.0,
     quadrant_units=2200,
     quadrant_min_units=100,
 )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tianguis.functions import labels as L
 from tianguis.functions.numeric import mean, pct, round_half_up, safe_div
 from tianguis.operators.consolidate import Agg, consolidate
+from tianguis.operators.distinct import count_two_distinct
 from tianguis.operators.kpi import kpi_table
 from tianguis.operators.shares import share_of_total
 from tianguis.operators.stats import exact_median, summary_stats
@@ -18,41 +19,44 @@ from tianguis.params import Params
 from tianguis.plans.common import flag, in_scope, valid_payments
 from tianguis.sources.model import Marketplace
 
+#: Type of per-order ratios.
+RATIO = "decimal(38,10)"
+
 
 def paid_per_order(mk: Marketplace, p: Params, exclude_type: bool = False) -> DataFrame:
     """One row per delivered order: total paid (exact DECIMAL sum of its payments)."""
     pays = valid_payments(mk, p, "payment_value") if exclude_type else mk.payments.select("order_id", "payment_value")
-    return consolidate(pays, in_scope(mk, p), "order_id", {"total_pagado": Agg("sum", "payment_value")})
+    return consolidate(pays, in_scope(mk, p), "order_id", {"order_total": Agg("sum", "payment_value")})
 
 
 def items_per_order(mk: Marketplace, p: Params) -> DataFrame:
     """One row per delivered order with items: item revenue, freight, item count
     (= MAX(order_item_id), item numbers are sequential)."""
     return consolidate(mk.items, in_scope(mk, p), "order_id", {
-        "revenue_items": Agg("sum", "price"),
-        "costo_flete": Agg("sum", "freight_value"),
+        "items_revenue": Agg("sum", "price"),
+        "items_freight": Agg("sum", "freight_value"),
         "cantidad_items": Agg("max", "order_item_id"),
     })
 
 
 def revenue_total(mk: Marketplace, p: Params) -> DataFrame:
     t = paid_per_order(mk, p)
-    return t.agg(round_half_up(F.sum("total_pagado"), 2).alias("revenue_total"),
+    return t.agg(round_half_up(F.sum("order_total"), 2).alias("revenue_total"),
                  F.count(F.lit(1)).alias("total_pedidos"),
-                 round_half_up(mean("total_pagado"), 2).alias("ticket_promedio"))
+                 round_half_up(mean("order_total"), 2).alias("ticket_promedio"))
 
 
 def order_volume(mk: Marketplace, p: Params) -> DataFrame:
     j = in_scope(mk, p, "customer_id").join(mk.customers.select("customer_id", "customer_unique_id"),
                                             "customer_id", "inner")
-    a = j.agg(F.countDistinct("order_id").alias("total_pedidos_entregados"),
-              F.countDistinct("customer_unique_id").alias("clientes_unicos"))
+    a = count_two_distinct(j, [], ("order_id", "total_pedidos_entregados"),
+                           ("customer_unique_id", "clientes_unicos"), [])
     return a.select("*", round_half_up(safe_div("total_pedidos_entregados", "clientes_unicos"), 2)
                     .alias("pedidos_por_cliente"))
 
 
 def ticket_stats(mk: Marketplace, p: Params) -> DataFrame:
-    s = summary_stats(paid_per_order(mk, p), "total_pagado")
+    s = summary_stats(paid_per_order(mk, p), "order_total")
     return s.select(round_half_up("mean", 2).alias("ticket_promedio"),
                     round_half_up("min", 2).alias("ticket_minimo"),
                     round_half_up("max", 2).alias("ticket_maximo"),
@@ -63,19 +67,17 @@ def ticket_median_by_rank(mk: Marketplace, p: Params) -> DataFrame:
     """Median as the mean of the middle value(s) by rank, unrounded. The exact
     value has at most three decimals; it is fixed to three decimals so the DOUBLE
     carries no representation noise."""
-    m = exact_median(paid_per_order(mk, p), "total_pagado")
+    m = exact_median(paid_per_order(mk, p), "order_total")
     return m.select(round_half_up("median", 3).alias("ticket_mediana"))
 
 
 def price_and_freight(mk: Marketplace, p: Params) -> DataFrame:
-    per_order = consolidate(mk.items, in_scope(mk, p), "order_id", {
-        "sp": Agg("sum", "price"), "np": Agg("count", "price"),
-        "sf": Agg("sum", "freight_value"), "nf": Agg("count", "freight_value"),
-        "minp": Agg("min", "price"), "maxp": Agg("max", "price"),
-    })
-    a = per_order.agg(F.sum("sp").alias("sp"), F.sum("np").alias("np"),
-                      F.sum("sf").alias("sf"), F.sum("nf").alias("nf"),
-                      F.min("minp").alias("minp"), F.max("maxp").alias("maxp"))
+    """Global means need no row per order: the narrow item rows of delivered
+    orders are aggregated as they leave the join."""
+    sold = mk.items.select("order_id", "price", "freight_value").join(in_scope(mk, p), "order_id", "inner")
+    a = sold.agg(F.sum("price").alias("sp"), F.count("price").alias("np"),
+                 F.sum("freight_value").alias("sf"), F.count("freight_value").alias("nf"),
+                 F.min("price").alias("minp"), F.max("price").alias("maxp"))
     mp = safe_div("sp", "np")
     mf = safe_div("sf", "nf")
     return a.select(round_half_up(mp, 2).alias("precio_promedio_item"),
@@ -123,18 +125,20 @@ def payment_mix(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def kpi_summary(mk: Marketplace, p: Params) -> DataFrame:
-    """Seven KPIs from two per-order consolidations, each aggregated once."""
+    """Seven KPIs from two per-order consolidations, each aggregated once. The
+    per-order ratios are fixed to DECIMAL before they are added, so the sums do not
+    depend on the order of the rows."""
     pay = paid_per_order(mk, p, exclude_type=True).agg(
-        round_half_up(F.sum("total_pagado"), 2).alias("rev"),
+        round_half_up(F.sum("order_total"), 2).alias("rev"),
         F.count(F.lit(1)).alias("n"),
-        round_half_up(mean("total_pagado"), 2).alias("ticket"))
+        round_half_up(mean("order_total"), 2).alias("ticket"))
     it = items_per_order(mk, p).select(
-        safe_div("revenue_items", "cantidad_items").alias("unit_price"),
-        "costo_flete",
-        safe_div("costo_flete", "revenue_items").alias("freight_ratio"),
+        safe_div("items_revenue", "cantidad_items").cast(RATIO).alias("unit_price"),
+        "items_freight",
+        safe_div("items_freight", "items_revenue").cast(RATIO).alias("freight_ratio"),
         "cantidad_items",
     ).agg(round_half_up(mean("unit_price"), 2).alias("price"),
-          round_half_up(mean("costo_flete"), 2).alias("freight"),
+          round_half_up(mean("items_freight"), 2).alias("freight"),
           round_half_up(mean("freight_ratio") * F.lit(100.0), 1).alias("freight_pct"),
           round_half_up(mean("cantidad_items"), 2).alias("items"))
     k = L.KPI_LABELS

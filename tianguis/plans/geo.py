@@ -4,8 +4,8 @@ price x volume quadrants, BI marts.
 
 Fact rows are reduced before they meet a dimension: payments per order,
 items per seller or per product. A hot seller or product therefore costs one
-row per task after the map-side partial aggregate, and the dimension joins
-(sellers, products, category names) see one row per key on each side.
+row per task after the map-side partial aggregate; seller and product joins see
+one row per key on each side, and category labels meet one row per category.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from tianguis.functions import labels as L
 from tianguis.functions.numeric import pct, round_dec, round_half_up, safe_div
 from tianguis.functions.rules import classify
 from tianguis.operators.balance import balance
+from tianguis.operators.distinct import count_two_distinct
 from tianguis.operators.ranking import top_k
 from tianguis.operators.shares import cumulative_share, share_of_total
 from tianguis.params import Params
 from tianguis.plans.common import in_scope, valid_payments
 from tianguis.sources.model import Marketplace
 
+#: Tasks that share the products of one category when labels are attached per product.
+LABEL_SALTS = 64
+
 
 # ---------------------------------------------------------------- buyer side
 def _buyer_state_base(mk: Marketplace, p: Params) -> DataFrame:
@@ -31,11 +35,10 @@ def _buyer_state_base(mk: Marketplace, p: Params) -> DataFrame:
            .agg(F.sum("payment_value").alias("pay_sum"), F.count("payment_value").alias("pay_rows")))
     o = in_scope(mk, p, "customer_id").join(pay, "order_id", "inner")
     c = mk.customers.select("customer_id", "customer_unique_id", "customer_state")
-    return (o.join(c, "customer_id", "inner")
-            .groupBy(F.col("customer_state").alias("estado"))
-            .agg(F.countDistinct("order_id").alias("pedidos"),
-                 F.countDistinct("customer_unique_id").alias("clientes_unicos"),
-                 F.sum("pay_sum").alias("_rev"), F.sum("pay_rows").alias("_rows")))
+    j = o.join(c, "customer_id", "inner").withColumnRenamed("customer_state", "estado")
+    return (count_two_distinct(j, ["estado"], ("order_id", "pedidos"), ("customer_unique_id", "clientes_unicos"),
+                               ["pay_sum", "pay_rows"])
+            .withColumnsRenamed({"pay_sum": "_rev", "pay_rows": "_rows"}))
 
 
 def state_revenue(mk: Marketplace, p: Params) -> DataFrame:
@@ -106,23 +109,37 @@ def state_balance(mk: Marketplace, p: Params) -> DataFrame:
 
 # ---------------------------------------------------------------- categories
 def _product_base(mk: Marketplace, p: Params) -> DataFrame:
-    """Per product sold in delivered orders, with its category label
-    (translated name, or the fixed 'no category' label when the category is
-    NULL or has no translation)."""
+    """Per product sold in delivered orders: sums, and the name of its category."""
     per_product = (_delivered_items(mk, p, "product_id", "order_item_id", "price", "freight_value")
                    .groupBy("product_id")
                    .agg(F.count("order_item_id").alias("units"),
                         F.sum("price").alias("sp"), F.count("price").alias("np"),
                         F.sum("freight_value").alias("sf"), F.count("freight_value").alias("nf")))
     prod = mk.products.select("product_id", "product_category_name")
+    return per_product.join(prod, "product_id", "inner")
+
+
+def _labelled(df: DataFrame, mk: Marketplace, spread: str | None = None) -> DataFrame:
+    """``df`` with the label of its category: the translated name, or the fixed
+    'no category' label when the category is NULL or has no translation. With
+    ``spread``, a key of many rows, each category is dealt to LABEL_SALTS tasks, and
+    the translations (one row per category) are repeated for them."""
     tr = mk.translation.select("product_category_name", "product_category_name_english")
-    return (per_product.join(prod, "product_id", "inner")
-            .join(tr, "product_category_name", "left")
-            .withColumn("categoria", F.coalesce(F.col("product_category_name_english"), F.lit(L.NO_CATEGORY))))
+    on = ["product_category_name"]
+    if spread:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(LABEL_SALTS)).cast("int"))
+        tr = tr.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+        on = [*on, "_salt"]
+    label = F.coalesce(F.col("product_category_name_english"), F.lit(L.NO_CATEGORY))
+    return df.join(tr, on, "left").withColumn("categoria", label)
 
 
 def _category_base(mk: Marketplace, p: Params) -> DataFrame:
-    return (_product_base(mk, p).groupBy("categoria")
+    """Per category label. Products are summed per category name first, so that the
+    labels meet one row per name."""
+    names = (_product_base(mk, p).groupBy("product_category_name")
+             .agg(*[F.sum(c).alias(c) for c in ("units", "sp", "np", "sf", "nf")]))
+    return (_labelled(names, mk).groupBy("categoria")
             .agg(F.sum("units").alias("units"), F.sum("sp").alias("sp"), F.sum("np").alias("np"),
                  F.sum("sf").alias("sf"), F.sum("nf").alias("nf")))
 
@@ -164,7 +181,7 @@ def category_quadrants(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def top_products(mk: Marketplace, p: Params) -> DataFrame:
-    g = (_product_base(mk, p).groupBy("product_id", "categoria")
+    g = (_labelled(_product_base(mk, p), mk, "product_id").groupBy("product_id", "categoria")
          .agg(F.sum("units").alias("unidades_vendidas"), F.sum("sp").alias("sp"), F.sum("np").alias("np"))
          .select("product_id", "categoria", "unidades_vendidas",
                  round_half_up("sp", 2).alias("revenue"),

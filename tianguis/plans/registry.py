@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tianguis.params import FIXTURE_PARAMS, Params
-from tianguis.session import shared_dir
 from tianguis.plans import core, extras, geo, quality, sellers, temporal
-from tianguis.sources.fixture import from_tpch, materialize
+from tianguis.sources.fixture import from_tpch
 from tianguis.sources.model import Marketplace
 
 Plan = Callable[[Marketplace, Params], DataFrame]
@@ -84,25 +81,10 @@ PLANS: dict[str, Plan] = {
 }
 
 
-_MARKETPLACES: dict[tuple[str, str], Marketplace] = {}
-
-
-def fixture_marketplace(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Marketplace:
-    """The marketplace derived from the test tables in ``sf_dir``, once per
-    Spark application.
-
-    With ``materialized`` the derived tables are written once to the shared
-    folder (see ``materialize``) and every query scans those files in full;
-    otherwise the lazy mapping is re-evaluated inside each query."""
-    k = (spark.sparkContext.applicationId, sf_dir, materialized)
-    mk = _MARKETPLACES.get(k)
-    if mk is None:
-        mk = from_tpch(spark, sf_dir)
-        if materialized:
-            base = f"{shared_dir(spark)}/fixture-{uuid.uuid4().hex}/{os.path.basename(sf_dir.rstrip('/'))}"
-            mk = materialize(spark, mk, base, max(1, spark.sparkContext.defaultParallelism))
-        _MARKETPLACES[k] = mk
-    return mk
+def fixture_marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
+    """The marketplace derived from the test tables in ``sf_dir``. The mapping is
+    lazy: each query reads the given tables themselves, pruned to what it needs."""
+    return from_tpch(spark, sf_dir)
 
 
 def fixture_query(name: str, params: Params = FIXTURE_PARAMS) -> Callable[[SparkSession, str], DataFrame]:

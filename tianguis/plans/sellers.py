@@ -113,13 +113,21 @@ def delivery_monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
 
 
 # ------------------------------------------------------------------- sellers
+def _items_per_order_and_seller(mk: Marketplace) -> DataFrame:
+    """One row per (order, seller): item rows, units, price sum and count. An order
+    with a very large number of items collapses map-side, before the order_id shuffle."""
+    return (mk.items.select("order_id", "seller_id", "order_item_id", "price").groupBy("order_id", "seller_id")
+            .agg(F.count(F.lit(1)).alias("n_items"), F.count("order_item_id").alias("units"),
+                 F.sum("price").alias("price_sum"), F.count("price").alias("price_n")))
+
+
 def _seller_orders(mk: Marketplace, p: Params) -> DataFrame:
     """Per seller over delivered orders: distinct orders, exact revenue, units."""
-    it = mk.items.select("order_id", "seller_id", "order_item_id", "price").join(
+    it = _items_per_order_and_seller(mk).join(
         mk.orders.where(F.col("order_status") == p.scope_status).select("order_id"), "order_id", "inner")
     return it.groupBy("seller_id").agg(F.countDistinct("order_id").alias("pedidos"),
-                                       round_dec(F.sum("price"), 2).alias("revenue"),
-                                       F.count("order_item_id").alias("unidades"))
+                                       round_dec(F.sum("price_sum"), 2).alias("revenue"),
+                                       F.sum("units").alias("unidades"))
 
 
 def seller_segments(mk: Marketplace, p: Params) -> DataFrame:
@@ -137,18 +145,21 @@ def seller_segments(mk: Marketplace, p: Params) -> DataFrame:
 def seller_performance(mk: Marketplace, p: Params) -> DataFrame:
     """Unfiltered scorecard base: one row per (seller, seller state) with
     the raw sums the scorecards round. Rows = items of delivered orders with a
-    delivery date x reviews of the order (at least one row per item)."""
-    fact = (mk.items.select("order_id", "seller_id", "price")
+    delivery date x reviews of the order (at least one row per item); items come in
+    reduced per (order, seller) and weigh as many rows as they stand for."""
+    fact = (_items_per_order_and_seller(mk)
             .join(_delivered(mk, p), "order_id", "inner")
             .join(reviews_per_order(mk).select("order_id", "n_rev", "score_sum", "score_n"), "order_id", "left"))
-    w = F.coalesce(F.col("n_rev"), F.lit(1))
+    reviews = F.lit(1) if p.one_review_row_per_item else F.coalesce(F.col("n_rev"), F.lit(1))
+    w = reviews * F.col("n_items")
     d = delivery_days()
     per_seller = fact.groupBy("seller_id").agg(
         F.countDistinct("order_id").alias("pedidos"),
         F.sum(w).alias("rows"),
-        F.sum(F.col("price") * w).alias("price_sum"),
-        F.sum(F.when(F.col("price").isNotNull(), w)).alias("price_n"),
-        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"),
+        F.sum(F.col("price_sum") * reviews).alias("price_sum"),
+        F.sum(F.col("price_n") * reviews).alias("price_n"),
+        F.sum(F.col("score_sum") * F.col("n_items")).alias("score_sum"),
+        F.sum(F.col("score_n") * F.col("n_items")).alias("score_n"),
         F.sum(F.when(d.isNotNull(), d * w)).alias("days_sum"),
         F.sum(F.when(d.isNotNull(), w)).alias("days_n"),
         F.sum(flag(is_late()) * w).alias("late"))

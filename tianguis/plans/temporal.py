@@ -17,6 +17,7 @@ from tianguis.functions.dates import month_label, week_monday_first, weekday_nam
 from tianguis.functions.numeric import round_dec, round_half_up, safe_div
 from tianguis.functions.rules import bucketize
 from tianguis.operators.periods import in_window, period_metrics, period_over_period, years_months
+from tianguis.operators.distinct import count_two_distinct
 from tianguis.operators.shares import distribution, share_of_total
 from tianguis.params import Params
 from tianguis.plans.common import PTS, in_scope, valid_payments
@@ -106,13 +107,16 @@ def peak_weeks(mk: Marketplace, p: Params) -> DataFrame:
 
 def monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
     base = paid_orders(mk, p, in_window(PTS, p.analysis_start), "customer_id")
-    g = period_metrics(base, {
+    periods = {
         "mes": year_month(PTS),
         "anio": F.year(PTS).cast("bigint"),
         "nro_mes": F.month(PTS).cast("bigint"),
         "mes_label": month_label(PTS),
-    }, {**_revenue_aggs(), "clientes": F.countDistinct("customer_id")})
+    }
+    rows = base.select("order_id", "customer_id", "pay_sum", "pay_rows", *[c.alias(a) for a, c in periods.items()])
+    g = count_two_distinct(rows, list(periods), ("order_id", "pedidos"), ("customer_id", "clientes"),
+                           ["pay_sum", "pay_rows"])
     return g.select("mes", "anio", "nro_mes", "mes_label", "pedidos",
-                    round_half_up("_rev", 2).alias("revenue"),
-                    round_half_up(safe_div("_rev", "_rows"), 2).alias("ticket_promedio"),
+                    round_half_up("pay_sum", 2).alias("revenue"),
+                    round_half_up(safe_div("pay_sum", "pay_rows"), 2).alias("ticket_promedio"),
                     "clientes").orderBy("mes")

@@ -6,6 +6,7 @@ Only settings the plans rely on are set here; cluster-level settings
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,11 +15,14 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediate tables and
     checkpoints: ``spark.checkpoint.dir`` (or the context's checkpoint
-    directory). Only when neither is set (local runs, tests) a fresh folder
-    under /tmp is created and registered as the checkpoint directory."""
+    directory). Only a local master, whose executor is the driver, may do without: a
+    fresh folder under /tmp is then created and registered. On a cluster a missing
+    setting is an error, as executors do not share their own folders."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tianguis-", dir="/tmp")
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():

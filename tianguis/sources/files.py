@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tianguis.sources.model import Marketplace
-from tianguis.sources.schema import SCHEMAS
+from tianguis.sources.schema import OPTIONAL, SCHEMAS
 
 _FIELDS = {
     "orders": "orders", "order_items": "items", "order_payments": "payments",
@@ -16,22 +17,36 @@ _FIELDS = {
 
 
 def _read(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
+    """One table with its declared columns, in the declared order and types,
+    whatever their order in the file. A missing column is an error.
+
+    CSV files have a header row; quoted fields may hold line breaks and doubled
+    quotes. Such a file cannot be split: keep many files, or convert to Parquet once."""
     schema = SCHEMAS[name]
     if fmt == "csv":
-        # CSV: header row, empty field = NULL, explicit schema, timestamps without zone
-        return (spark.read.schema(schema)
-                .option("header", True)
-                .option("nullValue", "")
-                .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-                .option("mode", "FAILFAST")
-                .csv(path))
-    if fmt == "parquet":
+        options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST",
+                   "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+        found = spark.read.options(**options).csv(path)
+        # every field as text first, by name; an empty field is NULL
+        df = found.select([F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in found.columns])
+        kinds = {f.name: f.dataType for f in schema.fields}
+
+        def typed(c: str):
+            if isinstance(kinds[c], T.TimestampNTZType):
+                return F.to_timestamp_ntz(F.col(c), F.lit("yyyy-MM-dd HH:mm:ss"))
+            return F.col(c).cast(kinds[c])
+    elif fmt == "parquet":
         df = spark.read.parquet(path)
-        # keep declared columns, cast to the declared types (column pruning still
-        # reaches the scan because the select is a plain projection)
-        return df.select([F.col(f.name).cast(f.dataType).alias(f.name)
-                          for f in schema.fields if f.name in df.columns])
-    raise ValueError(f"unsupported format {fmt!r}")
+        kinds = {f.name: f.dataType for f in schema.fields}
+
+        def typed(c: str):
+            return F.col(c).cast(kinds[c])
+    else:
+        raise ValueError(f"unsupported format {fmt!r}")
+    missing = [f.name for f in schema.fields if f.name not in df.columns and f.name not in OPTIONAL.get(name, ())]
+    if missing:
+        raise ValueError(f"{name}: columns missing in {path}: {missing}")
+    return df.select([typed(f.name).alias(f.name) for f in schema.fields if f.name in df.columns])
 
 
 def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> Marketplace:

@@ -44,7 +44,8 @@ def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _orders(o: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    base = o.select(
+    copies = F.explode(F.when(k % 375 == 76, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    base = o.withColumn("_copy", copies).select(
         k.alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.when(k % 40 == 0, "canceled")
@@ -72,10 +73,11 @@ def _orders(o: DataFrame) -> DataFrame:
 
 def _items(li: DataFrame) -> DataFrame:
     m = F.col("l_partkey") % 100
+    k = F.col("l_orderkey")
     sub = (F.when(m < 50, F.lit(0)).when(m < 70, F.lit(1))
            .when(m < 85, F.lit(2) + F.col("l_partkey") % 3).otherwise(m))
     return li.select(
-        F.col("l_orderkey").alias("order_id"),
+        F.when(k % 250 == 51, -k).otherwise(k).alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         (F.col("l_suppkey") * 100 + sub).alias("seller_id"),
@@ -89,7 +91,7 @@ def _payments(o: DataFrame) -> DataFrame:
     tot = F.col("o_totalprice").cast("decimal(18,2)")
     cc = F.col("o_orderpriority").isin(*CREDIT_CARD_PRIORITIES)
     first = o.where(k % 1000 != 5).select(
-        k.alias("order_id"),
+        F.when(k % 500 == 52, -k).otherwise(k).alias("order_id"),
         F.lit(1).alias("payment_sequential"),
         F.when(k % 300 == 9, "not_defined").when(cc, "credit_card")
          .when(F.col("o_orderpriority") == "2-HIGH", "boleto").otherwise("debit_card")
@@ -112,7 +114,7 @@ def _reviews(orders_m: DataFrame) -> DataFrame:
     k = F.col("order_id")
     late = F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
     first = orders_m.where(k % 90 != 4).select(
-        k.alias("order_id"),
+        F.when(k % 400 == 103, -k).otherwise(k).alias("order_id"),
         F.when(late, F.lit(1) + k % 3).otherwise(F.lit(4) + k % 2).cast("int").alias("review_score"),
         F.when(k % 8 == 0, F.lit("t")).alias("review_comment_title"),
         F.when(k % 5 >= 3, F.lit("m")).alias("review_comment_message"),
@@ -128,7 +130,8 @@ def _reviews(orders_m: DataFrame) -> DataFrame:
 
 def _customers(c: DataFrame, n: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
-    return (c.where(F.col("c_nationkey") != 3)
+    copies = F.explode(F.when(key % 60 == 31, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return (c.where(F.col("c_nationkey") != 3).withColumn("_copy", copies)
             .join(n, c.c_nationkey == n.n_nationkey, "inner")
             .select(key.alias("customer_id"),
                     F.when(key % 10 == 0, key + 1).otherwise(key).alias("customer_unique_id"),
@@ -160,28 +163,8 @@ def _translation(p: DataFrame) -> DataFrame:
                      .alias("product_category_name_english")))
 
 
-def materialize(spark: SparkSession, mk: Marketplace, base_dir: str, files: int) -> Marketplace:
-    """Write each table of ``mk`` once as Parquet (``files`` files per fact table,
-    so later scans split across cores/executors) and return the marketplace read
-    back with the same declared schemas (no inference). Cuts the lineage of the
-    derived tables: later queries scan stored columns instead of recomputing
-    the mapping."""
-    out = {}
-    facts = {"orders", "items", "payments", "reviews"}
-    for field, df in (("orders", mk.orders), ("items", mk.items), ("payments", mk.payments),
-                      ("customers", mk.customers), ("reviews", mk.reviews), ("products", mk.products),
-                      ("sellers", mk.sellers), ("translation", mk.translation)):
-        path = f"{base_dir}/{field}"
-        # fact tables spread over ``files`` files; the small derived dimensions in one
-        laid_out = df.repartition(files) if field in facts else df.coalesce(1)
-        laid_out.write.mode("errorifexists").parquet(path)
-        out[field] = spark.read.schema(df.schema).parquet(path)
-    return Marketplace(**out)
-
-
 def from_tpch(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``
-    (lazily; ``materialize`` writes them out once)."""
+    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``, lazily."""
     o = _raw(spark, sf_dir, "orders")
     li = _raw(spark, sf_dir, "lineitem")
     nation = _raw(spark, sf_dir, "nation")

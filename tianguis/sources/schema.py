@@ -93,3 +93,13 @@ SCHEMAS = {
     "sellers": SELLERS,
     "category_translation": CATEGORY_TRANSLATION,
 }
+
+#: Columns that no analysis reads; files may leave them out.
+OPTIONAL = {
+    "order_items": {"shipping_limit_date"},
+    "customers": {"customer_zip_code_prefix", "customer_city"},
+    "order_reviews": {"review_id", "review_creation_date", "review_answer_timestamp"},
+    "products": {"product_name_lenght", "product_description_lenght", "product_photos_qty",
+                 "product_length_cm", "product_height_cm", "product_width_cm"},
+    "sellers": {"seller_zip_code_prefix", "seller_city"},
+}
