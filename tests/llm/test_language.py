@@ -1,0 +1,47 @@
+"""Held-out accuracy, bundling against its definition, and edge texts."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tianguis.llm.language import SYMBOLS, Letters, determined, held_out, identify, op6_langid, profiles
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    got = op6_langid(spark, SF).join(docs, "doc_id").filter("held_out AND lang IS NOT NULL").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score").toPandas()
+    assert len(got) > 200 and got["ok"].mean() > 0.98
+    assert got["score"].between(0, 1).all()
+
+
+def test_bundle_is_the_sum_of_bound_permuted_letters():
+    hd = Letters(64)
+    codes = hd.trigrams("Zoë, zoo")
+    want = np.zeros(64)
+    for c in codes:
+        a, b, x = c // SYMBOLS**2, c // SYMBOLS % SYMBOLS, c % SYMBOLS
+        want += hd.placed[0][a].astype(int) * hd.placed[1][b] * hd.placed[2][x]
+    assert (hd.bundle(*np.unique(codes, return_counts=True)) == want).all()
+
+
+def test_edges(spark):
+    train = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "123 !!", "es"), (5, "no language", None)]
+    learned = profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert list(learned) == ["de", "en"]
+    rows = [(1, "the dog"), (2, "der hund"), (3, None), (4, ""), (5, "123 !? 漢"), (6, "12 %%"), (None, "und die katze"), (1, "the dog"), (7, "the dog " * 50_000)]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, score int")
+    got = [(r.doc_id, r.lang_pred) for r in identify(docs, learned).collect()]
+    assert got[:4] == [(1, "en"), (2, "de"), (3, "und"), (4, "und")] and got[5] == (6, "und")
+    assert got[6:] == [(None, "de"), (1, "en"), (7, "en")] and got[4][1] in ("de", "en")
+    kept = determined(docs, learned)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 2, 5, None, 1, 7]
+    assert {r.lang_pred for r in identify(docs, {}).collect()} == {"und"}
+    assert identify(docs.limit(0), learned).count() == 0 and profiles(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
+
+
+def test_held_out_remainder(spark):
+    import zlib
+
+    got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

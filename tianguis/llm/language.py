@@ -91,7 +91,8 @@ def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
                         held, size = [], 0
                 if held:
                     add(hd, total, lang, held)
-        yield pd.DataFrame({"lang": [k for k, v in total.items() for _ in v], "i": [i for v in total.values() for i in range(len(v))], "x": [int(x) for v in total.values() for x in v]}, columns=["lang", "i", "x"])
+        if total:
+            yield pd.DataFrame({"lang": [k for k, v in total.items() for _ in v], "i": [i for v in total.values() for i in range(len(v))], "x": [int(x) for v in total.values() for x in v]})
 
     def add(hd: Letters, total: dict[str, np.ndarray], lang: str, held: list[np.ndarray]) -> None:
         v = hd.bundle(*np.unique(np.concatenate(held), return_counts=True))

@@ -210,7 +210,8 @@ def counts(docs: DataFrame) -> dict[str, np.ndarray]:
                     words = Words()
             count(words, total)
         rows = [(k, int(i), int(v[i])) for k, v in total.items() for i in np.flatnonzero(v)]
-        yield pd.DataFrame(rows, columns=["what", "i", "n"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["what", "i", "n"])
 
     def count(words: Words, total: dict[str, np.ndarray]) -> None:
         if not words.start:
