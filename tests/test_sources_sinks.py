@@ -93,6 +93,15 @@ def test_csv_columns_are_found_by_name(spark):
     assert (t.product_category_name, t.product_category_name_english) == ("brinquedos", "toys")
 
 
+def test_fold_case(spark):
+    d = _csv_folder()
+    _write_csv(f"{d}/category_translation.csv", ["product_category_name", "product_category_name_english"],
+               [[" Brinquedos", "Toys"]])
+    paths = {n: f"{d}/{n}.csv" for n in SCHEMAS}
+    t = load_tables(spark, paths, "csv", fold_case=("product_category_name",)).translation.first()
+    assert tuple(t) == ("brinquedos", "Toys")
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_missing_columns_are_named(spark, fmt):
     d = _csv_folder()

@@ -72,3 +72,12 @@ def test_ratios_do_not_depend_on_the_order_of_rows(spark):
         return core.kpi_summary(dataclasses.replace(mk, items=mk.items.repartition(n)), P).collect()
 
     assert kpis(1) == kpis(200)
+
+
+def test_approximate_distinct_counts_are_an_option(spark):
+    mk = fixture_marketplace(spark, SF)
+    exact, about = (core.order_volume(mk, P.with_(approximate_distinct=a)).first() for a in (False, True))
+    assert abs(about.clientes_unicos / exact.clientes_unicos - 1) < 0.15
+
+    rows = temporal.monthly_mart(mk, P.with_(approximate_distinct=True))
+    assert rows.columns == temporal.monthly_mart(mk, P).columns

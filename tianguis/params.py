@@ -45,6 +45,8 @@ class Params:
     # seller scorecards: False repeats an item for each review of its order (as
     # written); True counts prices, delivery days and late items once per item
     one_review_row_per_item: bool = False
+    # distinct orders and buyers per state or month, and overall: exact, or by sketch
+    approximate_distinct: bool = False
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

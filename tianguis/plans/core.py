@@ -50,7 +50,7 @@ def order_volume(mk: Marketplace, p: Params) -> DataFrame:
     j = in_scope(mk, p, "customer_id").join(mk.customers.select("customer_id", "customer_unique_id"),
                                             "customer_id", "inner")
     a = count_two_distinct(j, [], ("order_id", "total_pedidos_entregados"),
-                           ("customer_unique_id", "clientes_unicos"), [])
+                           ("customer_unique_id", "clientes_unicos"), [], p.approximate_distinct)
     return a.select("*", round_half_up(safe_div("total_pedidos_entregados", "clientes_unicos"), 2)
                     .alias("pedidos_por_cliente"))
 

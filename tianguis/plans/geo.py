@@ -37,7 +37,7 @@ def _buyer_state_base(mk: Marketplace, p: Params) -> DataFrame:
     c = mk.customers.select("customer_id", "customer_unique_id", "customer_state")
     j = o.join(c, "customer_id", "inner").withColumnRenamed("customer_state", "estado")
     return (count_two_distinct(j, ["estado"], ("order_id", "pedidos"), ("customer_unique_id", "clientes_unicos"),
-                               ["pay_sum", "pay_rows"])
+                               ["pay_sum", "pay_rows"], p.approximate_distinct)
             .withColumnsRenamed({"pay_sum": "_rev", "pay_rows": "_rows"}))
 
 

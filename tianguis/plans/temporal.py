@@ -115,7 +115,7 @@ def monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
     }
     rows = base.select("order_id", "customer_id", "pay_sum", "pay_rows", *[c.alias(a) for a, c in periods.items()])
     g = count_two_distinct(rows, list(periods), ("order_id", "pedidos"), ("customer_id", "clientes"),
-                           ["pay_sum", "pay_rows"])
+                           ["pay_sum", "pay_rows"], p.approximate_distinct)
     return g.select("mes", "anio", "nro_mes", "mes_label", "pedidos",
                     round_half_up("pay_sum", 2).alias("revenue"),
                     round_half_up(safe_div("pay_sum", "pay_rows"), 2).alias("ticket_promedio"),

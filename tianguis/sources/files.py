@@ -49,10 +49,16 @@ def _read(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
     return df.select([typed(f.name).alias(f.name) for f in schema.fields if f.name in df.columns])
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> Marketplace:
-    """``paths`` maps each table name of ``schema.SCHEMAS`` to a file or directory."""
+def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
+                fold_case: tuple[str, ...] = ()) -> Marketplace:
+    """``paths`` maps each table name of ``schema.SCHEMAS`` to a file or directory.
+    Text columns named in ``fold_case`` are trimmed and lower-cased in every table,
+    for keys that sources write in mixed case."""
     missing = set(_FIELDS) - set(paths)
     if missing:
         raise ValueError(f"missing table paths: {sorted(missing)}")
     dfs = {_FIELDS[n]: _read(spark, p, n, fmt) for n, p in paths.items() if n in _FIELDS}
+    if fold_case:
+        dfs = {k: df.select([F.lower(F.trim(c)).alias(c) if c in fold_case else F.col(c) for c in df.columns])
+               for k, df in dfs.items()}
     return Marketplace(**dfs)
