@@ -1,7 +1,7 @@
 """Near-duplicate documents with an LSH forest over MinHash signatures.
 
 A document's set holds its distinct word shingles. Documents with equal sets
-form one node. ``TREES`` rotations of the signature give as many sorted
+form one node, whatever their number. ``TREES`` rotations of the signature give as many sorted
 orders of the nodes: each starts with ``DEPTH`` signature values (a region)
 and goes on with deeper ones, so that the neighbours of a node in the order
 are those with the longest common prefix, however crowded its region is.
@@ -12,9 +12,9 @@ are those with the longest common prefix, however crowded its region is.
    pairs are confirmed on the full sets and joined to components.
 3. What the neighbours leave open is settled within the regions: where a region
    still holds several components, each of its nodes outside the largest one is
-   compared with all nodes of the region in other components. Pairs pass a bound on set
-   sizes and on the sketches' distance (five standard deviations beyond what
-   the threshold expects), then the full sets decide.
+   compared with all nodes of the region in other components, in blocks if the region
+   is crowded. Pairs pass a bound on set sizes and on the sketches' distance (five
+   standard deviations beyond what the threshold expects), then the full sets decide.
 
 A pair at the threshold itself (0.85) shares no region in any tree with probability
 (1 - 0.85**6) ** 32 = 3e-7, and fails the sketch bound with about the same.
@@ -47,7 +47,10 @@ DEEPER = 4
 PROPOSALS = 8
 #: Standard deviations that the sketch bound leaves.
 SIGMAS = 5
-WORDS_KEPT = 1_000_000
+#: A region of more nodes is compared in blocks of LOT by LOT nodes, a smaller one by a join.
+CROWD = 48
+LOT = 384
+WORDS_KEPT = 300_000
 SIZE = TREES * DEPTH
 
 
@@ -195,8 +198,55 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long").distinct()
 
 
+def in_crowds(placed: DataFrame, sets: DataFrame, num: int, den: int, most: int, longs: int) -> DataFrame:
+    """The links (a, b) that crowded regions still hold between different components.
+
+    A region is cut into lots of about ``LOT`` nodes, and each pair of lots is compared as one block: sizes,
+    sketches and shared regions as arrays, the pairs that pass on their full sets. No pair
+    becomes a row unless it is a link, and a task holds two lots at a time."""
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        one = f[f["lot"] == f["i"]]
+        two = one if f["i"].iloc[0] == f["j"].iloc[0] else f[f["lot"] == f["j"]]
+        tree, top = int(f["tree"].iloc[0]), f["top"].iloc[0]
+        a, b = one["a"].to_numpy(), two["a"].to_numpy()
+        ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
+        na, nb = one["a_n_shingles"].to_numpy(), two["a_n_shingles"].to_numpy()
+        ok = (ca[:, None] != cb[None, :]) & ((ca != top)[:, None] | (cb != top)[None, :])
+        ok &= num * np.maximum(na[:, None], nb[None, :]) <= den * np.minimum(na[:, None], nb[None, :])
+        if one is two:
+            ok &= a[:, None] < b[None, :]
+        apart = np.zeros(ok.shape, np.int64)
+        for k in range(longs):
+            x = one[f"a_s{k}"].to_numpy().view(np.uint64)[:, None] ^ two[f"a_s{k}"].to_numpy().view(np.uint64)[None, :]
+            apart += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        ok &= apart <= most
+        keys_a, keys_b = np.stack(one["a_keys"].to_numpy()), np.stack(two["a_keys"].to_numpy())
+        for t in range(tree):
+            ok &= keys_a[:, t][:, None] != keys_b[:, t][None, :]
+        sets_a = [np.frombuffer(s, np.uint64) for s in one["set"]]
+        sets_b = [np.frombuffer(s, np.uint64) for s in two["set"]]
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero(ok.any(axis=1)):
+            js, s = np.flatnonzero(ok[i]), sets_a[i]
+            ends = np.cumsum([len(sets_b[j]) for j in js])
+            all_b = np.concatenate([sets_b[j] for j in js])
+            hit = s[np.minimum(np.searchsorted(s, all_b), len(s) - 1)] == all_b
+            shared = np.add.reduceat(hit, np.r_[0, ends[:-1]])
+            union = len(s) + np.diff(np.r_[0, ends]) - shared
+            links += [(int(a[i]), int(b[j])) for j in js[den * shared >= num * union]]
+        return pd.DataFrame([(min(x), max(x)) for x in links], columns=["a", "b"])
+
+    lots = placed.withColumn("lots", F.expr(f"CAST(crowd div {LOT} AS INT) + 1"))
+    lots = lots.withColumn("lot", F.expr("CAST(pmod(xxhash64(a), lots) AS INT)"))
+    other = F.explode(F.expr("sequence(0, lots - 1)"))
+    blocks = lots.select("*", other.alias("with")).withColumns({"i": F.least("lot", "with"), "j": F.greatest("lot", "with")}).drop("lots", "with", "crowd")
+    blocks = blocks.join(sets.select(F.col("label").alias("a"), "set"), "a")
+    return blocks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(label, component): the smallest label reachable, for every label that
+    """(label, component): the smallest node label reachable, for every label that
     an edge (a, b) names. Alternates large-star and small-star steps: each
     edge moves to the smallest neighbour known, until all point at the root."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -219,9 +269,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """doc_id, n_shingles, component_id and kept of every row of ``docs``
     (doc_id, text): documents are linked from a Jaccard similarity of num/den."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     sigs = cut(signatures(docs, words), "signatures")
     first = {c: F.first(c).alias(c) for c in ("n_shingles", "keys", "orders", "sketch")}
-    nodes = cut(sigs.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("label"), *first.values()), "nodes")
+    nodes = cut(sigs.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *first.values()).withColumn("label", F.monotonically_increasing_id()), "nodes")
 
     forest = nodes.select("label", F.posexplode(F.arrays_zip("keys", "orders")).alias("tree", "x")).select(F.col("x.keys").alias("key"), F.col("x.orders").alias("ord"), "label", "tree")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -239,9 +290,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     apart = " + ".join(f"bit_count(((a_s{i} ^ b_s{i}) | shiftrightunsigned(a_s{i} ^ b_s{i}, 1)) & {0x5555555555555555}L)" for i in range(longs))
     near = f"{num} * greatest(a_n_shingles, b_n_shingles) <= {den} * least(a_n_shingles, b_n_shingles) AND {apart} <= {most}"
 
-    labels = active.select("label").distinct()
+    labels = nodes.select("label", "doc", "set_key").join(active.select("label").distinct(), "label", "left_semi")
     small = labels.count() <= BROADCAST_ROWS
-    sets = cut(full_sets(docs.join(F.broadcast(labels) if small else labels, F.col("doc_id") == F.col("label")), words), "sets")
+    sets = cut(full_sets(docs.join(F.broadcast(labels) if small else labels, F.col("doc_id") == F.col("doc")), words), "sets")
 
     pairs = active.filter("prev <> label").select(F.least("label", "prev").alias("a"), F.greatest("label", "prev").alias("b")).distinct()
     pairs = pairs.join(side("a").drop("a_keys"), "a").join(side("b").drop("b_keys"), "b").filter(near).select("a", "b", F.expr(apart).alias("apart"))
@@ -253,34 +304,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     placed = active.select("key", "tree", "label").distinct().join(comp, "label", "left").select("key", "tree", F.col("label").alias("a"), F.coalesce("component", "label").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1").select("key", F.col("top.comp").alias("top"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("crowd"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1").select("key", "crowd", F.col("top.comp").alias("top"))
     placed = cut(placed.join(mixed, "key").join(side("a"), "a"), "placed")
-    other = placed.drop("tree").toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in placed.columns if c != "tree"))
+    few = placed.filter(f"crowd <= {CROWD}")
+    other = few.drop("tree", "crowd").toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in few.columns if c not in ("tree", "crowd")))
     # A pair that shares several regions comes up in the first of them only.
     first_shared = "array_position(zip_with(a_keys, b_keys, (x, y) -> x = y), true) = tree + 1"
-    open_pairs = (placed.filter("comp <> top").join(other, "key")
+    open_pairs = (few.filter("comp <> top").join(other, "key")
                   .filter(f"comp <> b_comp AND (b_comp = b_top OR a < b) AND {near} AND {first_shared}")
                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                   .join(proposed, ["a", "b"], "left_anti"))
-    linked = linked.unionByName(cut(confirm(open_pairs, sets, num, den), "linked"))
+    crowded = in_crowds(placed.filter(f"crowd > {CROWD}"), sets, num, den, most, longs)
+    linked = linked.unionByName(cut(confirm(open_pairs, sets, num, den), "linked")).unionByName(cut(crowded, "linked")).distinct()
     comp = components(linked)
 
-    named = nodes.select("set_key", "label").join(comp, "label", "left").select("set_key", F.coalesce("component", "label").alias("component"))
+    rooted = nodes.select("set_key", "doc", "label").join(comp, "label", "left").select("set_key", "doc", F.coalesce("component", "label").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("component")), "root").select("set_key", "component")
     out = sigs.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", of.alias("component_id"), (F.col("doc_id") == of).alias("kept"))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(label, set): the sorted 64-bit shingle hashes of each named document,
-    repeated rows once."""
+    """(label, set): the sorted 64-bit shingle hashes of each node, computed again from
+    (label, set_key, text) rows; rows whose text has another set are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh = shingler(words)
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "set": [sh.set_of(t).tobytes() for t in b["text"].where(b["text"].notna(), None)]})
+            sets = [sh.set_of(t).tobytes() for t in b["text"].where(b["text"].notna(), None)]
+            own = [hashlib.blake2b(s, digest_size=16).digest() == bytes(k) for s, k in zip(sets, b["set_key"])]
+            yield pd.DataFrame({"label": b["label"].to_numpy(), "set": sets})[own]
 
-    return docs.select("label", "text").mapInPandas(run, "label long, set binary").dropDuplicates(["label", "set"]).filter("length(set) > 0")
+    return docs.select("label", "set_key", "text").mapInPandas(run, "label long, set binary").dropDuplicates(["label"])
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
