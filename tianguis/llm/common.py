@@ -30,10 +30,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_cache(key: str, make: Callable[[], Any]) -> Any:
-    """One value per Python worker process: built by ``make`` on first use."""
+    """The value of ``key`` in this Python worker process, built by ``make`` on first use.
+    A worker serves one stage after another and keeps the last key's value only."""
     store = sys.modules.setdefault("_tianguis_worker", types.ModuleType("_tianguis_worker"))
     values = store.__dict__.setdefault("values", {})
     if key not in values:
+        values.clear()
         values[key] = make()
     return values[key]
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tianguis.llm.bpe import WORD, byte_chars, default_vocab, normalise, split_spaces
-from tianguis.llm.common import PieceCache, cut, table, worker_cache
+from tianguis.llm.common import cut, table, worker_cache
 
 WINDOW = 4096
 #: Open windows per partition.
@@ -38,7 +38,7 @@ SLACK = 16
 FAN = 32
 END_ID = 2
 #: Half of the pieces, and of the words, that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Below this many bits of a window's number count windows of one task; above them stand level and task.
 WINDOW_BITS = 30
 
@@ -46,6 +46,26 @@ FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 OUT = f"window long, closed boolean, part int, {FIELDS}, offset long, ids binary"
 
 
+class Remembered(dict):
+    """Values made on first use. About ``2 * half`` stay: when the young half is
+    full (``turn``) it becomes the old one, and old keys still in use move back."""
+
+    def __init__(self, half: int, make):
+        self.half, self.make, self.old = half, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Ids of whole texts by the tokenizers library: each distinct word, as the
     vocabulary's word splitter cuts it, goes through the library's model once
@@ -58,32 +78,28 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chars, self.word = byte_chars(), regex.compile(WORD)
-        self.words = PieceCache(CACHE_WORDS, self._words)
-        self.pieces = PieceCache(CACHE_WORDS, self._pieces)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        model = self.tokenizer.model.tokenize
-        return [np.array([t.id for t in model(w)], "<u4").tobytes() for w in words]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        find, chars, split = self.word.findall, self.chars, []
-        for p in pieces:
-            if "<|" in p:  # may hold a special token, which is not normalised
-                split.append(p)
-                continue
-            p = normalise(p)
-            ws = [p] if p.isalpha() else find(p)
-            split.append([w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode("utf-8", "surrogatepass")]) for w in ws])
-        known = self.words.of({w for ws in split if ws.__class__ is list for w in ws})
-        return [b"".join([known[w] for w in ws]) if ws.__class__ is list else self._whole(ws) for ws in split]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model.tokenize
+        self.words = Remembered(CACHE_WORDS, self._word)
+        self.pieces = Remembered(CACHE_WORDS, self._piece)
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.chars[b] for b in word.encode("utf-8", "surrogatepass")])
+        return np.array([t.id for t in self.model(word)], "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if "<|" in piece:  # may hold a special token, which is not normalised
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        piece = normalise(piece)
+        if piece.isalpha():
+            return self.words[piece]
+        return b"".join([self.words[w] for w in self.word.findall(piece)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [split_spaces(t) for t in texts]
-        known = self.pieces.of({p for ps in cut for p in ps})
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        self.words.turn()
+        self.pieces.turn()
+        known = self.pieces.__getitem__
+        return [b"".join(map(known, split_spaces(t))) for t in texts]
 
 
 class Packer:
@@ -201,7 +217,7 @@ def pack(docs: DataFrame, vocab_path: str | None = None, open_windows: int = OPE
         yield packer.take(part)
 
     made = cut(docs.mapInPandas(first, OUT), "pack")
-    parts = max(1, docs.rdd.getNumPartitions())
+    parts = 1 + (made.agg(F.max("part")).first()[0] or 0)
     done, level = [made.filter("closed")], 0
     while True:
         level += 1
