@@ -66,6 +66,22 @@ def test_few_candidates_and_empty_table(spark):
     assert ann.nearest(few, "vec_id = 7").count() == 0
 
 
+def test_query_blocks_are_written_before_use(spark):
+    """Read again in another row order, as after a lost executor, the blocks hold the same rows at the same places."""
+
+    def stirred(batches):
+        for b in batches:
+            yield b.sample(frac=1)
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "vec_id long, v array<double>").coalesce(1).mapInPandas(stirred, "vec_id long, v array<double>")
+    made = blocks.query_blocks(rows, "vec_id % 2 = 0", 3)
+    once, again = (sorted((r.part, r.block, bytes(r.ids)) for r in made.collect()) for _ in range(2))
+    assert once == again and sum(len(i) for _, _, i in once) == 200 * 8
+    for found in (ann.nearest(table(spark, vectors(5)), "vec_id % 20 = 0", 5), vafile.top_k(table(spark, vectors(5)), "vec_id % 50 = 0", 5)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" not in plan and "parquet" in plan
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(3)
     for scale in (1e-20, 1.0, 1e15):

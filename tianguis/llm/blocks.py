@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tianguis.llm.common import cut
+
 #: Vectors of a candidate block and of a query block.
 CANDIDATES = 4096
 QUERIES = 512
@@ -61,6 +63,13 @@ def in_blocks(vectors: DataFrame, most: int) -> DataFrame:
     return vectors.mapInPandas(run, BLOCK)
 
 
+def query_blocks(vectors: DataFrame, chosen: str, lots: int) -> DataFrame:
+    """Blocks of the rows that ``chosen`` names, dealt to ``lots`` tasks. They are written before they
+    are used: a row's place after the dealing follows the order in which map outputs were
+    fetched, so a block computed again after a lost executor might hold other rows."""
+    return cut(in_blocks(vectors.filter(chosen).repartition(lots), QUERIES), "queries")
+
+
 Tile = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -76,7 +85,7 @@ def best_matches(vectors: DataFrame, chosen: str, tile: Tile, k: int, score: str
     kind = np.dtype("int64" if score == "long" else "float64")
     listed = f"part int, block int, row int, query_id long, found array<struct<vec_id: long, score: {score}>>"
 
-    queries = in_blocks(vectors.filter(chosen).repartition(lots), QUERIES)
+    queries = query_blocks(vectors, chosen, lots)
     spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
     candidates = in_blocks(vectors, CANDIDATES).withColumn("g", F.expr(f"CAST(pmod(xxhash64(part, block), {groups}) AS INT)"))
     pairs = candidates.join(spread, "g").filter("dim = q_dim").select("q_part", "q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
