@@ -82,6 +82,17 @@ def test_query_blocks_are_written_before_use(spark):
         assert "Repartition" not in plan and "parquet" in plan
 
 
+def test_lists_meet_a_few_groups_at_a_time(spark, monkeypatch):
+    """Over many groups the lists are merged level by level, with the same result."""
+    monkeypatch.setattr(blocks, "GROUP", 40)
+    monkeypatch.setattr(blocks, "CANDIDATES", 16)
+    monkeypatch.setattr(blocks, "FAN", 2, raising=False)
+    rows = vectors(6)
+    found = ann.nearest(table(spark, rows), "vec_id % 20 = 0", 5)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 20, 5, sequential, zeros=False)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 4  # 8 groups: within one, 8 to 4, 4 to 2, ranks
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(3)
     for scale in (1e-20, 1.0, 1e15):

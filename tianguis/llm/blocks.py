@@ -4,13 +4,16 @@ A block is one row: up to some number of vectors of one dimension, as bytes. Blo
 cut where the rows lie, so no key decides their size. Candidate blocks are dealt
 to ``groups`` by position, every query block is sent to each group once, and a
 task meets one pair of blocks at a time. Per pair, each query keeps only what may be among its k
-best; those short lists meet again by query block position and are merged.
+best; those short lists meet again by query block position and are merged: first those of one
+group, then ``FAN`` groups at a time, level by level, so that what a task holds does
+not grow with the table.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,8 @@ CANDIDATES = 4096
 QUERIES = 512
 #: Candidate vectors of a group: what one copy of the queries is sent for.
 GROUP = 16384
+#: Groups whose lists are merged at a time.
+FAN = 16
 
 BLOCK = "part int, block int, dim int, ids binary, vectors binary"
 
@@ -83,12 +88,13 @@ def best_matches(vectors: DataFrame, chosen: str, tile: Tile, k: int, score: str
     size = vectors.agg(F.count("*").alias("n"), F.count(F.when(F.expr(chosen), 1)).alias("q")).first()
     groups, lots = max(1, -(-size["n"] // GROUP)), max(1, -(-size["q"] // QUERIES))
     kind = np.dtype("int64" if score == "long" else "float64")
-    listed = f"part int, block int, row int, query_id long, found array<struct<vec_id: long, score: {score}>>"
+    found = f"found array<struct<vec_id: long, score: {score}>>"
+    listed = f"g int, part int, block int, row int, query_id long, {found}"
 
     queries = query_blocks(vectors, chosen, lots)
     spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
     candidates = in_blocks(vectors, CANDIDATES).withColumn("g", F.expr(f"CAST(pmod(xxhash64(part, block), {groups}) AS INT)"))
-    pairs = candidates.join(spread, "g").filter("dim = q_dim").select("q_part", "q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
+    pairs = candidates.join(spread, "g").filter("dim = q_dim").select("g", "q_part", "q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,14 +107,26 @@ def best_matches(vectors: DataFrame, chosen: str, tile: Tile, k: int, score: str
                 first = np.searchsorted(at, np.arange(len(qi) + 1))
                 ids, s = ci[which].tolist(), s.astype(kind).tolist()
                 found = [[{"vec_id": ids[j], "score": s[j]} for j in range(first[i], min(first[i] + k, first[i + 1]))] for i in range(len(qi))]
-                yield pd.DataFrame({"part": r.q_part, "block": r.q_block, "row": range(len(qi)), "query_id": qi, "found": found})
+                yield pd.DataFrame({"g": r.g, "part": r.q_part, "block": r.q_block, "row": range(len(qi)), "query_id": qi, "found": found})
+
+    def merged(f: pd.DataFrame) -> Iterator[tuple[int, int, list[tuple[float, int]]]]:
+        """Row, query and its k best (negated score, vec_id) of all its lists, in order."""
+        for (row, query), lists in f.groupby(["row", "query_id"])["found"]:
+            yield row, query, list(islice(heapq.merge(*([(-x["score"], x["vec_id"]) for x in found] for found in lists)), k))
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (_, query), lists in f.groupby(["row", "query_id"])["found"]:
-            ordered = heapq.merge(*([(-x["score"], x["vec_id"]) for x in found] for found in lists))
-            rows += [(query, rank, i, -s) for rank, (s, i) in zip(range(1, k + 1), ordered)]
+        first = f.iloc[0]
+        rows = [(first["g"], first["part"], first["block"], row, query, [{"vec_id": i, "score": -s} for s, i in best]) for row, query, best in merged(f)]
+        return pd.DataFrame(rows, columns=["g", "part", "block", "row", "query_id", "found"])
+
+    def ranked(f: pd.DataFrame) -> pd.DataFrame:
+        rows = [(query, rank, i, -s) for _, query, best in merged(f) for rank, (s, i) in enumerate(best, 1)]
         return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
 
     lists = pairs.mapInPandas(run, listed).filter("size(found) > 0")
-    return lists.groupBy("part", "block").applyInPandas(merge, f"query_id long, rank int, vec_id long, score {score}")
+    if groups > 1:
+        lists = lists.groupBy("g", "part", "block").applyInPandas(merge, listed)
+    while groups > FAN:
+        groups = -(-groups // FAN)
+        lists = lists.withColumn("g", F.expr(f"CAST(g div {FAN} AS INT)")).groupBy("g", "part", "block").applyInPandas(merge, listed)
+    return lists.groupBy("part", "block").applyInPandas(ranked, f"query_id long, rank int, vec_id long, score {score}")
