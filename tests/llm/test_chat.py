@@ -1,10 +1,13 @@
 """Formatting is reversible; digests equal the SQL; the plan holds no Python."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
+from itertools import accumulate
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tianguis.llm import chat
 from tianguis.llm.chat import END, START, format_conversations, op5_chat, read_back
@@ -46,6 +49,28 @@ def test_digests_equal_sql_and_plan_is_native(spark):
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(chat.ORACLE).fetchall())
 
 
+def test_loss_digests_follow_the_mask(spark, monkeypatch):
+    """The query's loss columns come from loss_runs: with an empty mask they are those of nothing."""
+    plain = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda rows: plain(rows).withColumn("loss_runs", F.array(F.length("formatted"), F.lit(0))))
+    got = op5_chat(spark, SF).collect()
+    assert got and {(r.loss_chars, r.loss_sha256) for r in got} == {(0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_slices_of_the_mask(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 2, 255, 256, 257, 1500):
+        parts = ["".join(rng.choice("aé🙂\n[<") for _ in range(rng.choice([0, 1, 3, 300]))) for _ in range(n)]
+        rows.append((n, "".join(parts), [len(p) for p in parts]))
+    made = spark.createDataFrame(rows, "conv_id long, formatted string, loss_runs array<int>")
+    for r in made.select("conv_id", chat.learned_texts(made).alias("x"), chat.running(F.col("loss_runs")).alias("ends")).collect():
+        _, text, runs = next(x for x in rows if x[0] == r.conv_id)
+        ends = list(accumulate(runs))
+        assert r.ends == ends
+        assert r.x == [text[ends[i - 1] : ends[i]] for i in range(1, len(runs), 2) if runs[i]]
+
+
 def test_long_conversation_and_empty_table(spark):
     rows = spark.range(30_000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
     r = read_back(format_conversations(rows)).first()

@@ -18,6 +18,8 @@ contract, so one task writes it; its pieces are joined once, in linear time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from tianguis.llm.common import table
 
 START, SEP, TURN, END = "<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
+#: Characters of a string, and runs of a mask, that are handled as one piece.
+PIECE = 256
 #: First characters of control strings, told by what follows them: <|..., <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>.
 CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|</?SYS>>)"
 ESCAPED = r"([<\[])\\(?!\\)"
@@ -72,12 +76,56 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(messages, parse)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, wherever ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(a: Column) -> Column:
+    """Running sums of an array of numbers, ``PIECE`` at a time: appending to one long array
+    would copy it for every element."""
+
+    def sums(x: Column, start: Column) -> Column:
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
+        return F.aggregate(x, F.struct(start.cast("long").alias("at"), F.array().cast("array<long>").alias("ends")), step)["ends"]
+
+    def of(x: Column) -> Column:
+        cuts = F.filter(F.sequence(F.lit(0), F.size(x), F.lit(PIECE)), lambda i: i < F.size(x))
+        within = F.transform(cuts, lambda i: sums(F.slice(x, i + 1, F.lit(PIECE)), F.lit(0)))
+        return bound(within, lambda w: bound(sums(F.transform(w, lambda e: F.element_at(e, -1)), F.lit(0)), lambda total: F.flatten(
+            F.transform(w, lambda e, i: bound(F.when(i > 0, F.get(total, i - 1)).otherwise(F.lit(0)), lambda start: F.transform(e, lambda n: start + n))))))
+
+    return bound(F.transform(a, lambda n: n.cast("long")), of)
+
+
+def learned_texts(formatted: DataFrame) -> Column:
+    """The texts inside the mask: ``formatted`` cut at the running sums of ``loss_runs``, each
+    slice unescaped. Slices are taken from pieces of the string, as every
+    search in the whole of it would begin at its start."""
+
+    def cut_out(text: Column, ends: Column, runs: Column) -> Column:
+        inside = F.filter(F.sequence(F.lit(0), F.size(runs)), lambda i: (i % 2 == 1) & (F.get(runs, i) > 0))
+
+        def piece(i: Column) -> Column:
+            start, n = F.get(ends, i - 1), F.get(runs, i)
+            first = F.floor(start / PIECE).cast("int")
+            last = F.floor((start + n - 1) / PIECE).cast("int")
+            near = F.array_join(F.slice(text, first + 1, last - first + 1), "")
+            return unescaped(F.substr(near, (start - first * PIECE + 1).cast("int"), n))
+
+        return F.transform(inside, piece)
+
+    pieces = F.regexp_extract_all("formatted", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    return bound(pieces, lambda text: bound(F.col("loss_runs"), lambda runs: bound(running(runs), lambda ends: cut_out(text, ends, runs))))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     turns = read_back(format_conversations(rows.unionByName(extra)))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
+    turns = turns.withColumn("learned", F.array_join(learned_texts(turns), ""))
+    learned = F.col("learned")
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select(
         "conv_id",
