@@ -1,5 +1,7 @@
 """Each stage's decisions take effect; all rows and columns of clean documents stay."""
 
+import zlib
+
 import corpus_pipeline
 from tianguis.llm.queries import ORACLE_SQL, QUERIES
 
@@ -31,6 +33,17 @@ def test_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == {1, 5, 6, None}
 
 
+def test_language_without_labels(spark):
+    """Where nothing can be learned, or only from documents that another query holds out, only null texts and texts without a letter go."""
+    texts = [(1, "a clean text"), (2, None), (3, "12 34 %%"), (4, ""), (None, "another one")]
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t in texts], COLUMNS)
+        assert sorted(r.text for r in corpus_pipeline.keep_identified(spark, docs, "").collect()) == ["a clean text", "another one"]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = spark.createDataFrame([(i, "a clean text", "en", "s", 0) for i in held], COLUMNS)
+    assert corpus_pipeline.keep_identified(spark, docs, "").count() == len(held) > 0
+
+
 def test_run_over_a_table_and_an_empty_one(spark, tmp_path):
     spark.createDataFrame([(1, "a text", "en", "s", 6)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -140,13 +140,14 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
 
 
 def determined(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, as they are."""
+    """The rows of ``docs`` whose language can be told, as they are; with no learned language, those with a letter."""
     judge = Judge(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, _ = judge(b.column("text").to_pylist())
-            yield b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            told = [x != UNDETERMINED for x in judge(texts)[0]] if judge.names else [bool(t) and len(letters().trigrams(t)) > 0 for t in texts]
+            yield b.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
