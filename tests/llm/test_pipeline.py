@@ -44,6 +44,15 @@ def test_language_without_labels(spark):
     assert corpus_pipeline.keep_identified(spark, docs, "").count() == len(held) > 0
 
 
+def test_repeated_and_null_ids_lose_their_copies(spark):
+    text = lambda k, n=80: " ".join(f"{k}word{i}" for i in range(n))
+    a, b, c, d = map(text, "abcd")
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c + " tail"), (None, d), (None, d), (None, d + " tail"), (None, a), (None, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS).repartition(3)
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in got) == [("1", "aword"), ("2", "bword"), ("3", "cword"), ("None", "dword"), ("None", "eword")]
+
+
 def test_run_over_a_table_and_an_empty_one(spark, tmp_path):
     spark.createDataFrame([(1, "a text", "en", "s", 6)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
