@@ -79,6 +79,16 @@ def test_crowded_regions_and_joins_agree(spark, monkeypatch):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def test_a_stray_node_does_not_repeat_the_largest_component(spark):
+    import tianguis.llm.near_dedup as N
+
+    n = 20 * N.LOT
+    placed = spark.range(n + 1).selectExpr("id AS a", "7L AS key", f"IF(id = {n}, 1L, 0L) AS comp", f"{n + 1}L AS crowd", "0L AS top", f"{n}L AS top_n")
+    rows = N.in_lots(placed).select("a", "i", "j", "lot").collect()
+    assert len(rows) == n + 22  # each of the many once, the stray one per lot: 21 of theirs, its own
+    assert all(r.i == 0 for r in rows) and {r.j for r in rows} == set(range(22))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -198,21 +198,33 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long").distinct()
 
 
+def in_lots(placed: DataFrame) -> DataFrame:
+    """The nodes of crowded regions in lots of about ``LOT``, once for every block (i, j) of two lots to
+    compare. The largest component's nodes have lots of their own, after the others; these
+    meet the others only, so that i is always a lot of nodes outside it."""
+    lots = placed.withColumns({"outer": F.expr(f"CAST((crowd - top_n) div {LOT} AS INT) + 1"), "inner": F.expr(f"CAST(top_n div {LOT} AS INT) + 1")})
+    lots = lots.withColumn("lot", F.expr("CAST(IF(comp = top, outer + pmod(xxhash64(a), inner), pmod(xxhash64(a), outer)) AS INT)"))
+    other = F.explode(F.expr("sequence(0, IF(comp = top, outer, outer + inner) - 1)"))
+    return lots.select("*", other.alias("with")).withColumns({"i": F.least("lot", "with"), "j": F.greatest("lot", "with")}).drop("outer", "inner", "with", "crowd", "top", "top_n")
+
+
 def in_crowds(placed: DataFrame, sets: DataFrame, num: int, den: int, most: int, longs: int) -> DataFrame:
     """The links (a, b) that crowded regions still hold between different components.
 
-    A region is cut into lots of about ``LOT`` nodes, and each pair of lots is compared as one block: sizes,
+    A region is cut into lots, and pairs of lots are compared as one block: sizes,
     sketches and shared regions as arrays, the pairs that pass on their full sets. No pair
     becomes a row unless it is a link, and a task holds two lots at a time."""
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         one = f[f["lot"] == f["i"]]
         two = one if f["i"].iloc[0] == f["j"].iloc[0] else f[f["lot"] == f["j"]]
-        tree, top = int(f["tree"].iloc[0]), f["top"].iloc[0]
+        if not len(one) or not len(two):
+            return pd.DataFrame([], columns=["a", "b"])
+        tree = int(f["tree"].iloc[0])
         a, b = one["a"].to_numpy(), two["a"].to_numpy()
         ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
         na, nb = one["a_n_shingles"].to_numpy(), two["a_n_shingles"].to_numpy()
-        ok = (ca[:, None] != cb[None, :]) & ((ca != top)[:, None] | (cb != top)[None, :])
+        ok = ca[:, None] != cb[None, :]
         ok &= num * np.maximum(na[:, None], nb[None, :]) <= den * np.minimum(na[:, None], nb[None, :])
         if one is two:
             ok &= a[:, None] < b[None, :]
@@ -237,11 +249,7 @@ def in_crowds(placed: DataFrame, sets: DataFrame, num: int, den: int, most: int,
             links += [(int(a[i]), int(b[j])) for j in js[den * shared >= num * union]]
         return pd.DataFrame([(min(x), max(x)) for x in links], columns=["a", "b"])
 
-    lots = placed.withColumn("lots", F.expr(f"CAST(crowd div {LOT} AS INT) + 1"))
-    lots = lots.withColumn("lot", F.expr("CAST(pmod(xxhash64(a), lots) AS INT)"))
-    other = F.explode(F.expr("sequence(0, lots - 1)"))
-    blocks = lots.select("*", other.alias("with")).withColumns({"i": F.least("lot", "with"), "j": F.greatest("lot", "with")}).drop("lots", "with", "crowd")
-    blocks = blocks.join(sets.select(F.col("label").alias("a"), "set"), "a")
+    blocks = in_lots(placed).join(sets.select(F.col("label").alias("a"), "set"), "a")
     return blocks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -304,9 +312,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     placed = active.select("key", "tree", "label").distinct().join(comp, "label", "left").select("key", "tree", F.col("label").alias("a"), F.coalesce("component", "label").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("crowd"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1").select("key", "crowd", F.col("top.comp").alias("top"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("crowd"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1").select("key", "crowd", F.col("top.comp").alias("top"), F.col("top.n").alias("top_n"))
     placed = cut(placed.join(mixed, "key").join(side("a"), "a"), "placed")
-    few = placed.filter(f"crowd <= {CROWD}")
+    few = placed.filter(f"crowd <= {CROWD}").drop("top_n")
     other = few.drop("tree", "crowd").toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in few.columns if c not in ("tree", "crowd")))
     # A pair that shares several regions comes up in the first of them only.
     first_shared = "array_position(zip_with(a_keys, b_keys, (x, y) -> x = y), true) = tree + 1"
