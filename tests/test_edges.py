@@ -173,7 +173,7 @@ def test_review_fan_out_is_kept(spark):
 def test_seller_class_rules(spark):
     pairs = [(4.0, 5.0), (3.5, 15.0), (2.99, 0.0), (3.2, 20.0), (4.5, 30.0), (4.5, 31.0), (None, 40.0), (None, 10.0)]
     df = spark.createDataFrame(pairs, "score_prom double, pct_tardias double")
-    got = [r[0] for r in df.select(sellers.seller_class()).collect()]
+    got = [r[0] for r in df.select(sellers.seller_class(P.seller_cuts)).collect()]
     assert got == [L.SELLER_CLASS_TOP, L.SELLER_CLASS_GOOD, L.SELLER_CLASS_ATTENTION, L.SELLER_CLASS_MEDIUM,
                    L.SELLER_CLASS_MEDIUM, L.SELLER_CLASS_ATTENTION, L.SELLER_CLASS_ATTENTION,
                    L.SELLER_CLASS_MEDIUM]

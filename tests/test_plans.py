@@ -1,7 +1,6 @@
 """Plan shape: anti joins for orphan checks, no cartesian products, windows
 only above aggregates, filters and column pruning reaching the scan."""
 
-import dataclasses
 import re
 
 import pytest
@@ -63,7 +62,7 @@ def test_windows_only_over_aggregates(spark, name):
 def test_scope_filter_and_pruning_reach_the_scan(spark, mk, tmp_path):
     """Over stored marketplace tables (the derived ones compute the status)."""
     mk.orders.write.parquet(f"{tmp_path}/orders")
-    mk = dataclasses.replace(mk, orders=spark.read.parquet(f"{tmp_path}/orders"))
+    mk = mk.replace(orders=spark.read.parquet(f"{tmp_path}/orders"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     text = physical(temporal.monthly(mk, P))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(order_status,delivered\)", text)

@@ -14,7 +14,7 @@ from tianguis.operators.stats import exact_median, exact_top_sum
 from tianguis.params import FIXTURE_PARAMS as P
 from tianguis.plans import geo, quality, sellers
 from tianguis.plans.registry import fixture_marketplace
-from tianguis.sources.model import Marketplace
+from tianguis.sources.model import TABLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,7 +73,7 @@ def test_results_do_not_depend_on_partitioning(spark, mk, name):
     from tianguis.plans.registry import PLANS
 
     def spread(n):
-        return Marketplace(**{k: v.repartition(n) for k, v in vars(mk).items()})
+        return mk.replace(**{f: mk.table(f).repartition(n) for f in TABLES})
 
     a = sorted(map(tuple, PLANS[name](spread(1), P).collect()), key=repr)
     b = sorted(map(tuple, PLANS[name](spread(7), P).collect()), key=repr)

@@ -66,10 +66,9 @@ def test_two_distinct_counts_without_expand(spark):
 
 def test_ratios_do_not_depend_on_the_order_of_rows(spark):
     mk = fixture_marketplace(spark, SF)
-    import dataclasses
 
     def kpis(n):
-        return core.kpi_summary(dataclasses.replace(mk, items=mk.items.repartition(n)), P).collect()
+        return core.kpi_summary(mk.replace(items=mk.items.repartition(n)), P).collect()
 
     assert kpis(1) == kpis(200)
 

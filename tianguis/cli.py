@@ -3,6 +3,9 @@
     python -m tianguis.cli --tables DIR --out DIR [--format parquet|csv]
         [--output-format parquet|csv] [--queries f1_status_dist,f3_monthly ...]
         [--param analysis_start=2017-01-01 --param scorecard_min_orders=20 ...]
+        [--param 'seller_segments=Micro:1..10;Mediano:11..200;Grande:201..']
+        [--param seller_cuts=top_score:4.5,top_late:3]
+        [--collate customer_state,seller_state,product_category_name]
 
 ``--tables`` holds one folder or file per table, named as in
 ``sources/schema.SCHEMAS`` (``orders``, ``order_items``, ``order_payments``,
@@ -21,7 +24,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tianguis.params import Params
+from tianguis.functions.rules import Band
+from tianguis.params import BAND_TABLES, Params, SellerCuts
 from tianguis.plans.registry import PLANS
 from tianguis.sources.files import load_tables
 from tianguis.sources.schema import SCHEMAS
@@ -42,6 +46,30 @@ def _table_paths(spark: SparkSession, base: str, fmt: str) -> dict[str, str]:
     return out
 
 
+def _bands(raw: str) -> tuple[Band, ...]:
+    """``label:low..high`` joined by ``;``; an edge may be missing (``label:201..``)."""
+    out = []
+    for part in raw.split(";"):
+        label, colon, span = part.rpartition(":")
+        low, dots, high = span.partition("..")
+        if not colon or not dots:
+            raise ValueError(f"a band is label:low..high, not {part!r}")
+        out.append(Band(label, int(low) if low.strip() else None, int(high) if high.strip() else None))
+    return tuple(out)
+
+
+def _truth(raw: str) -> bool:
+    words = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+    if raw.lower() not in words:
+        raise ValueError(f"expected true or false, not {raw!r}")
+    return words[raw.lower()]
+
+
+def _cuts(raw: str) -> SellerCuts:
+    """``name:value`` joined by commas; cuts not named keep their value."""
+    return SellerCuts(**{k.strip(): float(v) for k, v in (x.split(":") for x in raw.split(","))})
+
+
 def _params(pairs: list[str]) -> Params:
     p = Params()
     fields = {f.name: f for f in dataclasses.fields(Params)}
@@ -51,16 +79,28 @@ def _params(pairs: list[str]) -> Params:
         if key not in fields:
             raise SystemExit(f"unknown parameter {key!r}")
         current = getattr(p, key)
-        if isinstance(current, tuple):
-            updates[key] = tuple(int(x) for x in raw.split(","))
-        else:
-            updates[key] = (float if fields[key].type == "float" else type(current))(raw)
-    return p.with_(**updates)
+        try:
+            if key in BAND_TABLES:
+                updates[key] = _bands(raw)
+            elif isinstance(current, SellerCuts):
+                updates[key] = _cuts(raw)
+            elif isinstance(current, tuple):
+                updates[key] = tuple(int(x) for x in raw.split(","))
+            elif isinstance(current, bool):
+                updates[key] = _truth(raw)
+            else:
+                updates[key] = (float if fields[key].type == "float" else type(current))(raw)
+        except (ValueError, TypeError) as e:
+            raise SystemExit(f"parameter {key}: {e}") from e
+    try:
+        return p.with_(**updates)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
 
 
 def run(spark: SparkSession, tables: str, out: str, fmt: str = "parquet", output_format: str = "parquet",
-        queries: list[str] | None = None, params: Params | None = None) -> list[str]:
-    mk = load_tables(spark, _table_paths(spark, tables, fmt), fmt=fmt)
+        queries: list[str] | None = None, params: Params | None = None, collate: tuple[str, ...] = ()) -> list[str]:
+    mk = load_tables(spark, _table_paths(spark, tables, fmt), fmt=fmt, collate=collate)
     p = params or Params()
     written = []
     for name in queries or list(PLANS):
@@ -78,13 +118,15 @@ def main(argv: list[str] | None = None) -> int:
                     help="format of the results")
     ap.add_argument("--queries", default="", help="comma-separated keys (default: all)")
     ap.add_argument("--param", action="append", default=[], help="name=value override of Params")
+    ap.add_argument("--collate", default="", help="comma-separated text columns compared without case and accents")
     a = ap.parse_args(argv)
     names = [q for q in a.queries.split(",") if q] or None
     unknown = [q for q in names or [] if q not in PLANS]
     if unknown:
         ap.error(f"unknown queries: {unknown}")
     spark = SparkSession.builder.appName("tianguis").getOrCreate()
-    done = run(spark, a.tables, a.out, a.format, a.output_format, names, _params(a.param))
+    done = run(spark, a.tables, a.out, a.format, a.output_format, names, _params(a.param),
+               tuple(c for c in a.collate.split(",") if c))
     print(f"wrote {len(done)} results under {a.out}")
     return 0
 

@@ -10,43 +10,43 @@ from tianguis.functions.rules import Band
 
 # ---- fixed values -------------------------------------------------------
 # Lateness of late deliveries, in days past the estimate (no ELSE: other -> NULL)
-LATE_DELAY_BANDS = [
+LATE_DELAY_BANDS = (
     Band("1-3 días", 1, 3),
     Band("4-7 días", 4, 7),
     Band("8-15 días", 8, 15),
     Band("más de 15 días", above=15),
-]
+)
 
 # Days from purchase to delivery
-DELIVERY_BANDS = [
+DELIVERY_BANDS = (
     Band("1. 1-7 días", 0, 7),
     Band("2. 8-14 días", 8, 14),
     Band("3. 15-21 días", 15, 21),
     Band("4. 22-30 días", 22, 30),
-]
+)
 DELIVERY_BAND_OTHER = "5. 30+ días"
 
 # Hour of purchase -> part of the day
-HOUR_PARTS = [
+HOUR_PARTS = (
     Band("Mañana", 6, 11),
     Band("Tarde", 12, 17),
     Band("Noche", 18, 23),
-]
+)
 HOUR_PART_OTHER = "Madrugada"
 
-HOUR_PARTS_NUMBERED = [
+HOUR_PARTS_NUMBERED = (
     Band("1. Mañana (6-11hs)", 6, 11),
     Band("2. Tarde (12-17hs)", 12, 17),
     Band("3. Noche (18-23hs)", 18, 23),
-]
+)
 HOUR_PART_NUMBERED_OTHER = "4. Madrugada (0-5hs)"
 
 # Sellers by number of distinct delivered orders
-SELLER_SEGMENTS = [
+SELLER_SEGMENTS = (
     Band("1. Micro  (1-10 pedidos)", 1, 10),
     Band("2. Pequeño (11-50 pedidos)", 11, 50),
     Band("3. Mediano (51-200 pedidos)", 51, 200),
-]
+)
 SELLER_SEGMENT_OTHER = "4. Grande (200+ pedidos)"
 
 # Category price x volume quadrants
@@ -55,14 +55,11 @@ QUADRANT_PREMIUM = "Nicho premium (precio alto + volumen bajo)"
 QUADRANT_COMMODITY = "Commodity (precio bajo + volumen alto)"
 QUADRANT_LONG_TAIL = "Larga cola (precio bajo + volumen bajo)"
 
-# Seller classes: (score >= 4.0, late <= 5), (score >= 3.5, late <= 15),
-# (score < 3.0 or late > 30), else
+# Seller classes (their cuts: params.SellerCuts)
 SELLER_CLASS_TOP = "Top performer"
 SELLER_CLASS_GOOD = "Buen performance"
 SELLER_CLASS_ATTENTION = "Requiere atención"
 SELLER_CLASS_MEDIUM = "Performance medio"
-SELLER_CLASS_CUTS = {"top_score": 4.0, "top_late": 5, "good_score": 3.5, "good_late": 15,
-                     "bad_score": 3.0, "bad_late": 30}
 
 ON_TIME = "A tiempo"
 LATE = "Tardía"

@@ -14,7 +14,7 @@ from tianguis.operators.consolidate import Agg, consolidate
 from tianguis.operators.distinct import count_two_distinct
 from tianguis.operators.kpi import kpi_table
 from tianguis.operators.shares import share_of_total
-from tianguis.operators.stats import exact_median, summary_stats
+from tianguis.operators.stats import median, summary_stats
 from tianguis.params import Params
 from tianguis.plans.common import flag, in_scope, valid_payments
 from tianguis.sources.model import Marketplace
@@ -56,7 +56,7 @@ def order_volume(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def ticket_stats(mk: Marketplace, p: Params) -> DataFrame:
-    s = summary_stats(paid_per_order(mk, p), "order_total")
+    s = summary_stats(paid_per_order(mk, p), "order_total", p.quantile_k)
     return s.select(round_half_up("mean", 2).alias("ticket_promedio"),
                     round_half_up("min", 2).alias("ticket_minimo"),
                     round_half_up("max", 2).alias("ticket_maximo"),
@@ -67,7 +67,7 @@ def ticket_median_by_rank(mk: Marketplace, p: Params) -> DataFrame:
     """Median as the mean of the middle value(s) by rank, unrounded. The exact
     value has at most three decimals; it is fixed to three decimals so the DOUBLE
     carries no representation noise."""
-    m = exact_median(paid_per_order(mk, p), "order_total")
+    m = median(paid_per_order(mk, p), "order_total", p.quantile_k)
     return m.select(round_half_up("median", 3).alias("ticket_mediana"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tianguis.functions.numeric import pct, round_half_up
 from tianguis.operators.ranking import top_k
 from tianguis.operators.shares import grand_total
-from tianguis.operators.stats import exact_median, exact_top_sum
+from tianguis.operators.stats import exact_top_sum, median
 from tianguis.params import Params
 from tianguis.plans import geo, sellers
 from tianguis.plans.common import delivery_days
@@ -22,14 +22,13 @@ from tianguis.sources.model import Marketplace
 def delivery_median(mk: Marketplace, p: Params) -> DataFrame:
     """Exact median of purchase-to-delivery days over the delivery-stats scope."""
     days = sellers._delivered(mk, p, need_estimate=True).select(delivery_days().alias("d"))
-    return exact_median(days, "d").select(round_half_up("median", 1).alias("dias_entrega_mediana"))
+    return median(days, "d", p.quantile_k).select(round_half_up("median", 1).alias("dias_entrega_mediana"))
 
 
 def top_seller_share(mk: Marketplace, p: Params) -> DataFrame:
     """Share of revenue earned by the top ``top_seller_fraction`` of sellers
     (k = ceil(fraction * sellers), ranked by rounded seller revenue)."""
-    per_seller = sellers._seller_orders(mk, p)
-    t = exact_top_sum(per_seller, "revenue", p.top_seller_fraction)
+    t = exact_top_sum(sellers.seller_revenue(mk, p), "revenue", p.top_seller_fraction)
     return t.select(F.col("n").alias("sellers_total"), F.col("k").alias("sellers_top"),
                     F.col("top_sum").cast("double").alias("revenue_top"),
                     round_half_up(pct("top_sum", "total"), 1).alias("pct_revenue_top"))

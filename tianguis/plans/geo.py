@@ -29,15 +29,20 @@ LABEL_SALTS = 64
 
 
 # ---------------------------------------------------------------- buyer side
-def _buyer_state_base(mk: Marketplace, p: Params) -> DataFrame:
-    """Per buyer state: distinct orders, distinct buyers, payment sum and rows."""
+def paid_by_buyers(mk: Marketplace, p: Params, *order_cols: str) -> DataFrame:
+    """Delivered orders with a valid payment and their buyers: order_id, ``order_cols``,
+    customer_unique_id, estado, pay_sum, pay_rows. What a report does not read of it is pruned."""
     pay = (valid_payments(mk, p, "payment_value").groupBy("order_id")
            .agg(F.sum("payment_value").alias("pay_sum"), F.count("payment_value").alias("pay_rows")))
-    o = in_scope(mk, p, "customer_id").join(pay, "order_id", "inner")
-    c = mk.customers.select("customer_id", "customer_unique_id", "customer_state")
-    j = o.join(c, "customer_id", "inner").withColumnRenamed("customer_state", "estado")
-    return (count_two_distinct(j, ["estado"], ("order_id", "pedidos"), ("customer_unique_id", "clientes_unicos"),
-                               ["pay_sum", "pay_rows"], p.approximate_distinct)
+    o = in_scope(mk, p, "customer_id", *order_cols).join(pay, "order_id", "inner")
+    c = mk.customers.select("customer_id", "customer_unique_id", F.col("customer_state").alias("estado"))
+    return o.join(c, "customer_id", "inner")
+
+
+def _buyer_state_base(mk: Marketplace, p: Params) -> DataFrame:
+    """Per buyer state: distinct orders, distinct buyers, payment sum and rows."""
+    return (count_two_distinct(paid_by_buyers(mk, p), ["estado"], ("order_id", "pedidos"),
+                               ("customer_unique_id", "clientes_unicos"), ["pay_sum", "pay_rows"], p.approximate_distinct)
             .withColumnsRenamed({"pay_sum": "_rev", "pay_rows": "_rows"}))
 
 
@@ -49,8 +54,10 @@ def state_revenue(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def _buyer_state_revenue(mk: Marketplace, p: Params, alias: str) -> DataFrame:
-    """(estado, revenue rounded to cents, kept DECIMAL for exact later sums)."""
-    return _buyer_state_base(mk, p).select("estado", round_dec("_rev", 2).alias(alias))
+    """(estado, revenue rounded to cents, kept DECIMAL for exact later sums). Built
+    without the distinct counts: sums only, so rows collapse map-side before the one exchange by state."""
+    sums = paid_by_buyers(mk, p).groupBy("estado").agg(F.sum("pay_sum").alias("_rev"))
+    return sums.select("estado", round_dec("_rev", 2).alias(alias))
 
 
 def pareto_states(mk: Marketplace, p: Params) -> DataFrame:
@@ -65,7 +72,10 @@ def pareto_states(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def buyer_state_mart(mk: Marketplace, p: Params) -> DataFrame:
-    g = _buyer_state_base(mk, p)
+    return buyer_states_shown(_buyer_state_base(mk, p))
+
+
+def buyer_states_shown(g: DataFrame) -> DataFrame:
     return (g.select("estado", "pedidos", F.col("clientes_unicos").alias("clientes"),
                      round_half_up("_rev", 2).alias("revenue"),
                      round_half_up(safe_div("_rev", "_rows"), 2).alias("ticket_promedio"))
@@ -73,9 +83,9 @@ def buyer_state_mart(mk: Marketplace, p: Params) -> DataFrame:
 
 
 # --------------------------------------------------------------- seller side
-def _delivered_items(mk: Marketplace, p: Params, *cols: str) -> DataFrame:
+def _delivered_items(mk: Marketplace, p: Params, *cols: str, by: tuple[str, ...] = ()) -> DataFrame:
     keep = list(dict.fromkeys(("order_id",) + cols))
-    return mk.items.select(*keep).join(in_scope(mk, p), "order_id", "inner")
+    return mk.items.select(*keep).join(in_scope(mk, p, *by), "order_id", "inner")
 
 
 def _seller_state_base(mk: Marketplace, p: Params) -> DataFrame:
@@ -108,10 +118,15 @@ def state_balance(mk: Marketplace, p: Params) -> DataFrame:
 
 
 # ---------------------------------------------------------------- categories
-def _product_base(mk: Marketplace, p: Params) -> DataFrame:
-    """Per product sold in delivered orders: sums, and the name of its category."""
-    per_product = (_delivered_items(mk, p, "product_id", "order_item_id", "price", "freight_value")
-                   .groupBy("product_id")
+#: Additive measures of a product or category.
+CATEGORY_SUMS = ("units", "sp", "np", "sf", "nf")
+
+
+def _product_base(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per product sold in delivered orders (and further columns of the orders): sums, and
+    the name of its category."""
+    per_product = (_delivered_items(mk, p, "product_id", "order_item_id", "price", "freight_value", by=by)
+                   .groupBy("product_id", *by)
                    .agg(F.count("order_item_id").alias("units"),
                         F.sum("price").alias("sp"), F.count("price").alias("np"),
                         F.sum("freight_value").alias("sf"), F.count("freight_value").alias("nf")))
@@ -134,14 +149,19 @@ def _labelled(df: DataFrame, mk: Marketplace, spread: str | None = None) -> Data
     return df.join(tr, on, "left").withColumn("categoria", label)
 
 
+def category_sums(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """Products summed per category name (and further columns of the orders)."""
+    return (_product_base(mk, p, by).groupBy("product_category_name", *by)
+            .agg(*[F.sum(c).alias(c) for c in CATEGORY_SUMS]))
+
+
+def by_label(names: DataFrame, mk: Marketplace) -> DataFrame:
+    """Sums per category label, from sums per category name: the labels meet one row per name."""
+    return _labelled(names, mk).groupBy("categoria").agg(*[F.sum(c).alias(c) for c in CATEGORY_SUMS])
+
+
 def _category_base(mk: Marketplace, p: Params) -> DataFrame:
-    """Per category label. Products are summed per category name first, so that the
-    labels meet one row per name."""
-    names = (_product_base(mk, p).groupBy("product_category_name")
-             .agg(*[F.sum(c).alias(c) for c in ("units", "sp", "np", "sf", "nf")]))
-    return (_labelled(names, mk).groupBy("categoria")
-            .agg(F.sum("units").alias("units"), F.sum("sp").alias("sp"), F.sum("np").alias("np"),
-                 F.sum("sf").alias("sf"), F.sum("nf").alias("nf")))
+    return by_label(category_sums(mk, p), mk)
 
 
 def top_categories_by_revenue(mk: Marketplace, p: Params) -> DataFrame:
@@ -190,8 +210,11 @@ def top_products(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def category_mart(mk: Marketplace, p: Params) -> DataFrame:
-    return (_category_base(mk, p)
-            .select("categoria", F.col("units").alias("unidades"),
+    return categories_shown(_category_base(mk, p))
+
+
+def categories_shown(base: DataFrame) -> DataFrame:
+    return (base.select("categoria", F.col("units").alias("unidades"),
                     round_half_up("sp", 2).alias("revenue"),
                     round_half_up(safe_div("sp", "np"), 2).alias("precio_promedio"),
                     round_half_up(safe_div("sf", "nf"), 2).alias("flete_promedio"))

@@ -117,7 +117,7 @@ def late_delay_buckets(mk: Marketplace, p: Params) -> DataFrame:
     band and forms the NULL row, which sorts first (smallest delay)."""
     o = mk.orders.where((F.col("order_status") == p.scope_status) & is_late())
     delay = F.datediff(F.col(DELIVERED_AT), F.col(ESTIMATED_AT))
-    g = (o.select(bucketize(delay, L.LATE_DELAY_BANDS).alias("rango_retraso"), delay.alias("_d"))
+    g = (o.select(bucketize(delay, p.late_delay_bands).alias("rango_retraso"), delay.alias("_d"))
          .groupBy("rango_retraso")
          .agg(F.count(F.lit(1)).alias("cantidad"), F.min("_d").alias("_min_d")))
     return g.orderBy(F.col("_min_d").asc_nulls_first()).select("rango_retraso", "cantidad")

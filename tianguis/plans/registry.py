@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,9 +82,11 @@ PLANS: dict[str, Plan] = {
 }
 
 
+@lru_cache(maxsize=4)
 def fixture_marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """The marketplace derived from the test tables in ``sf_dir``. The mapping is
-    lazy: each query reads the given tables themselves, pruned to what it needs."""
+    """The marketplace derived from the test tables in ``sf_dir``, one set of table handles per
+    session and folder. The mapping is lazy: a table is mapped when a plan first asks for it, and
+    each query reads the given tables themselves, pruned to what it needs."""
     return from_tpch(spark, sf_dir)
 
 

@@ -22,16 +22,16 @@ from tianguis.functions.rules import bucketize, classify
 from tianguis.operators.periods import in_window
 from tianguis.operators.ranking import top_k
 from tianguis.operators.shares import distribution, share_of_total
-from tianguis.params import Params
+from tianguis.params import Params, SellerCuts
 from tianguis.plans.common import DELIVERED_AT, ESTIMATED_AT, PTS, delivery_days, flag, is_late
 from tianguis.sources.model import Marketplace
 
 
-def _delivered(mk: Marketplace, p: Params, need_estimate: bool = False) -> DataFrame:
+def _delivered(mk: Marketplace, p: Params, need_estimate: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     cond = (F.col("order_status") == p.scope_status) & F.col(DELIVERED_AT).isNotNull()
     if need_estimate:
         cond = cond & F.col(ESTIMATED_AT).isNotNull()
-    return mk.orders.where(cond).select("order_id", PTS, DELIVERED_AT, ESTIMATED_AT)
+    return mk.orders.where(cond).select("order_id", PTS, DELIVERED_AT, ESTIMATED_AT, *by)
 
 
 def reviews_per_order(mk: Marketplace) -> DataFrame:
@@ -59,13 +59,13 @@ def delivery_stats(mk: Marketplace, p: Params) -> DataFrame:
                     round_half_up(safe_div("_ls", "_ln"), 1).alias("desvio_prom_tardias"))
 
 
-def _delivery_band():
-    return bucketize(delivery_days(), L.DELIVERY_BANDS, L.DELIVERY_BAND_OTHER)
+def _delivery_band(p: Params):
+    return bucketize(delivery_days(), p.delivery_bands, p.delivery_band_other)
 
 
 def delivery_histogram(mk: Marketplace, p: Params) -> DataFrame:
     """Orders per delivery-time band (grouped by band)."""
-    return (distribution(_delivered(mk, p), [_delivery_band().alias("rango_entrega")],
+    return (distribution(_delivered(mk, p), [_delivery_band(p).alias("rango_entrega")],
                          {"pedidos": F.count(F.lit(1))}, [("pedidos", "pct_pedidos", 1)])
             .orderBy("rango_entrega"))
 
@@ -85,7 +85,7 @@ def late_vs_score(mk: Marketplace, p: Params) -> DataFrame:
 
 def score_by_delivery_band(mk: Marketplace, p: Params) -> DataFrame:
     o = _delivered(mk, p).join(reviews_per_order(mk), "order_id", "inner")
-    g = o.groupBy(_delivery_band().alias("rango_entrega")).agg(
+    g = o.groupBy(_delivery_band(p).alias("rango_entrega")).agg(
         F.countDistinct("order_id").alias("pedidos"),
         F.sum("score_sum").alias("_ss"), F.sum("score_n").alias("_sn"))
     return (g.select("rango_entrega", "pedidos",
@@ -96,15 +96,23 @@ def score_by_delivery_band(mk: Marketplace, p: Params) -> DataFrame:
 def delivery_monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
     """Per purchase month; orders LEFT JOIN reviews, so each order weighs as
     many rows as it has reviews (at least one)."""
+    return deliveries_shown(delivery_sums(mk, p))
+
+
+def delivery_sums(mk: Marketplace, p: Params) -> DataFrame:
+    """Additive delivery measures per purchase month."""
     o = (_delivered(mk, p).where(in_window(PTS, p.analysis_start))
          .join(reviews_per_order(mk).select("order_id", "n_rev", "score_sum", "score_n"), "order_id", "left"))
     w = F.coalesce(F.col("n_rev"), F.lit(1))
     d = delivery_days()
-    g = o.groupBy(year_month(PTS).alias("mes")).agg(
+    return o.groupBy(year_month(PTS).alias("mes")).agg(
         F.sum(w).alias("total_entregas"),
         F.sum(F.when(d.isNotNull(), d * w)).alias("_ds"), F.sum(F.when(d.isNotNull(), w)).alias("_dn"),
         F.sum(flag(is_late()) * w).alias("_late"),
         F.sum("score_sum").alias("_ss"), F.sum("score_n").alias("_sn"))
+
+
+def deliveries_shown(g: DataFrame) -> DataFrame:
     return (g.select("mes", F.col("total_entregas").cast("bigint").alias("total_entregas"),
                      round_half_up(safe_div("_ds", "_dn"), 1).alias("dias_entrega_prom"),
                      round_half_up(pct("_late", "total_entregas"), 1).alias("pct_tardias"),
@@ -113,28 +121,38 @@ def delivery_monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
 
 
 # ------------------------------------------------------------------- sellers
-def _items_per_order_and_seller(mk: Marketplace) -> DataFrame:
-    """One row per (order, seller): item rows, units, price sum and count. An order
-    with a very large number of items collapses map-side, before the order_id shuffle."""
-    return (mk.items.select("order_id", "seller_id", "order_item_id", "price").groupBy("order_id", "seller_id")
-            .agg(F.count(F.lit(1)).alias("n_items"), F.count("order_item_id").alias("units"),
-                 F.sum("price").alias("price_sum"), F.count("price").alias("price_n")))
+def _sold(mk: Marketplace, orders: DataFrame, *cols: str) -> DataFrame:
+    """Items (order_id, seller_id, ``cols``) of ``orders``. Both sides are hashed on order_id
+    once; the join's partitioning also serves a grouping by (order_id, seller_id) above it. Items
+    without an order id never match and are dropped before the exchange."""
+    return mk.items.select("order_id", "seller_id", *cols).join(orders, "order_id", "inner")
+
+
+def _scope_ids(mk: Marketplace, p: Params) -> DataFrame:
+    return mk.orders.where(F.col("order_status") == p.scope_status).select("order_id")
+
+
+def seller_revenue(mk: Marketplace, p: Params) -> DataFrame:
+    """(seller_id, revenue rounded to cents) over delivered orders: sums only, which
+    collapse per task before the exchange by seller."""
+    return (_sold(mk, _scope_ids(mk, p), "price").groupBy("seller_id")
+            .agg(round_dec(F.sum("price"), 2).alias("revenue")))
 
 
 def _seller_orders(mk: Marketplace, p: Params) -> DataFrame:
-    """Per seller over delivered orders: distinct orders, exact revenue, units."""
-    it = _items_per_order_and_seller(mk).join(
-        mk.orders.where(F.col("order_status") == p.scope_status).select("order_id"), "order_id", "inner")
-    return it.groupBy("seller_id").agg(F.countDistinct("order_id").alias("pedidos"),
-                                       round_dec(F.sum("price_sum"), 2).alias("revenue"),
-                                       F.sum("units").alias("unidades"))
+    """Per seller over delivered orders: distinct orders and exact revenue. Orders are
+    counted as (order, seller) groups, formed where the join left the rows."""
+    pairs = (_sold(mk, _scope_ids(mk, p), "price").groupBy("order_id", "seller_id")
+             .agg(F.sum("price").alias("price_sum")))
+    return pairs.groupBy("seller_id").agg(F.count("order_id").alias("pedidos"),
+                                          round_dec(F.sum("price_sum"), 2).alias("revenue"))
 
 
 def seller_segments(mk: Marketplace, p: Params) -> DataFrame:
     """Sellers by delivered-order count (items joined to orders; the sellers
     table is not needed)."""
     g = (_seller_orders(mk, p)
-         .groupBy(bucketize("pedidos", L.SELLER_SEGMENTS, L.SELLER_SEGMENT_OTHER).alias("segmento"))
+         .groupBy(bucketize("pedidos", p.seller_segments, p.seller_segment_other).alias("segmento"))
          .agg(F.count(F.lit(1)).alias("sellers"), F.sum("revenue").alias("_rev")))
     g = share_of_total(g, "sellers", "pct_sellers", 1)
     g = share_of_total(g, "_rev", "pct_revenue", 1)
@@ -142,36 +160,46 @@ def seller_segments(mk: Marketplace, p: Params) -> DataFrame:
                     "pct_revenue").orderBy("segmento")
 
 
-def seller_performance(mk: Marketplace, p: Params) -> DataFrame:
-    """Unfiltered scorecard base: one row per (seller, seller state) with
-    the raw sums the scorecards round. Rows = items of delivered orders with a
-    delivery date x reviews of the order (at least one row per item); items come in
-    reduced per (order, seller) and weigh as many rows as they stand for."""
-    fact = (_items_per_order_and_seller(mk)
-            .join(_delivered(mk, p), "order_id", "inner")
+#: Additive measures of a seller; every scorecard figure is a ratio of two of them.
+SELLER_SUMS = ("rows", "price_sum", "price_n", "score_sum", "score_n", "days_sum", "days_n", "late")
+
+
+def seller_sums(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per seller (and further columns of its orders): distinct orders and the sums of
+    ``SELLER_SUMS``. Rows are the items of delivered orders with a delivery date x reviews of the
+    order (at least one row per item), as weights: an item stands for as many rows as its order has
+    reviews. Items, orders and reviews per order meet on order_id; (order, seller) groups are formed
+    there without another exchange."""
+    fact = (_sold(mk, _delivered(mk, p, by=by), "price")
             .join(reviews_per_order(mk).select("order_id", "n_rev", "score_sum", "score_n"), "order_id", "left"))
-    reviews = F.lit(1) if p.one_review_row_per_item else F.coalesce(F.col("n_rev"), F.lit(1))
-    w = reviews * F.col("n_items")
+    w = F.lit(1) if p.one_review_row_per_item else F.coalesce(F.col("n_rev"), F.lit(1))
     d = delivery_days()
-    per_seller = fact.groupBy("seller_id").agg(
-        F.countDistinct("order_id").alias("pedidos"),
+    pairs = fact.groupBy("order_id", "seller_id", *by).agg(
         F.sum(w).alias("rows"),
-        F.sum(F.col("price_sum") * reviews).alias("price_sum"),
-        F.sum(F.col("price_n") * reviews).alias("price_n"),
-        F.sum(F.col("score_sum") * F.col("n_items")).alias("score_sum"),
-        F.sum(F.col("score_n") * F.col("n_items")).alias("score_n"),
+        F.sum(F.col("price") * w).alias("price_sum"),
+        F.sum(F.when(F.col("price").isNotNull(), w)).alias("price_n"),
+        F.sum("score_sum").alias("score_sum"),
+        F.sum("score_n").alias("score_n"),
         F.sum(F.when(d.isNotNull(), d * w)).alias("days_sum"),
         F.sum(F.when(d.isNotNull(), w)).alias("days_n"),
         F.sum(flag(is_late()) * w).alias("late"))
+    return pairs.groupBy("seller_id", *by).agg(F.count("order_id").alias("pedidos"),
+                                               *[F.sum(c).alias(c) for c in SELLER_SUMS])
+
+
+def located(per_seller: DataFrame, mk: Marketplace) -> DataFrame:
+    """Seller sums with the seller's state, one row per (seller, state): a repeated seller
+    row repeats the additive sums exactly as the row-level join would, and leaves the distinct
+    order count unchanged."""
     s = mk.sellers.select("seller_id", "seller_state")
-    # one row per seller on both sides; a repeated seller row repeats the
-    # additive sums exactly as the row-level join would, and leaves the
-    # distinct order count unchanged
-    return (per_seller.join(s, "seller_id", "inner")
-            .groupBy("seller_id", "seller_state")
-            .agg(F.max("pedidos").alias("pedidos"),
-                 *[F.sum(c).alias(c) for c in ("rows", "price_sum", "price_n", "score_sum", "score_n",
-                                              "days_sum", "days_n", "late")]))
+    return (per_seller.join(s, "seller_id", "inner").groupBy("seller_id", "seller_state")
+            .agg(F.max("pedidos").alias("pedidos"), *[F.sum(c).alias(c) for c in SELLER_SUMS]))
+
+
+def seller_performance(mk: Marketplace, p: Params) -> DataFrame:
+    """Unfiltered scorecard base: one row per (seller, seller state) with the raw sums
+    that the scorecards round."""
+    return located(seller_sums(mk, p), mk)
 
 
 def _rounded_scorecard(base: DataFrame) -> DataFrame:
@@ -184,20 +212,19 @@ def _rounded_scorecard(base: DataFrame) -> DataFrame:
         round_half_up(pct("late", "rows"), 1).alias("pct_tardias"))
 
 
-def seller_class():
-    c = L.SELLER_CLASS_CUTS
+def seller_class(c: SellerCuts):
     score, late = F.col("score_prom"), F.col("pct_tardias")
     return classify([
-        (L.SELLER_CLASS_TOP, (score >= c["top_score"]) & (late <= c["top_late"])),
-        (L.SELLER_CLASS_GOOD, (score >= c["good_score"]) & (late <= c["good_late"])),
-        (L.SELLER_CLASS_ATTENTION, (score < c["bad_score"]) | (late > c["bad_late"])),
+        (L.SELLER_CLASS_TOP, (score >= c.top_score) & (late <= c.top_late)),
+        (L.SELLER_CLASS_GOOD, (score >= c.good_score) & (late <= c.good_late)),
+        (L.SELLER_CLASS_ATTENTION, (score < c.bad_score) | (late > c.bad_late)),
     ], L.SELLER_CLASS_MEDIUM)
 
 
 def seller_scorecard(mk: Marketplace, p: Params, base: DataFrame | None = None) -> DataFrame:
     base = seller_performance(mk, p) if base is None else base
     sc = _rounded_scorecard(base.where(F.col("pedidos") >= p.scorecard_min_orders))
-    return sc.withColumn("clasificacion", seller_class()).orderBy(F.col("revenue").desc())
+    return sc.withColumn("clasificacion", seller_class(p.seller_cuts)).orderBy(F.col("revenue").desc())
 
 
 def _ranked(mk: Marketplace, p: Params, base: DataFrame | None) -> DataFrame:

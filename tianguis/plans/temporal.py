@@ -12,25 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tianguis.functions import labels as L
 from tianguis.functions.dates import month_label, week_monday_first, weekday_name, weekday_number, year_month
 from tianguis.functions.numeric import round_dec, round_half_up, safe_div
 from tianguis.functions.rules import bucketize
 from tianguis.operators.periods import in_window, period_metrics, period_over_period, years_months
 from tianguis.operators.distinct import count_two_distinct
+from tianguis.operators.reduction import keep_matching
 from tianguis.operators.shares import distribution, share_of_total
 from tianguis.params import Params
 from tianguis.plans.common import PTS, in_scope, valid_payments
 from tianguis.sources.model import Marketplace
 
 
-def paid_orders(mk: Marketplace, p: Params, window: Column, *order_cols: str) -> DataFrame:
+def paid_orders(mk: Marketplace, p: Params, window: Column, *order_cols: str, narrow: bool = False) -> DataFrame:
     """In-scope orders inside ``window`` joined with their valid payments,
-    consolidated per order: (order_id, order_cols..., pay_sum, pay_rows)."""
-    pay = (valid_payments(mk, p, "payment_value")
-           .groupBy("order_id")
-           .agg(F.sum("payment_value").alias("pay_sum"), F.count("payment_value").alias("pay_rows")))
+    consolidated per order: (order_id, order_cols..., pay_sum, pay_rows). For a ``narrow``
+    window (some months of many years) payments are first reduced to those of its orders, so that
+    the others are never shuffled; it costs a second scan of the orders."""
     o = in_scope(mk, p, PTS, *order_cols).where(window)
+    pays = valid_payments(mk, p, "payment_value")
+    if narrow and p.slice_filter_bits:
+        pays = keep_matching(pays, o.select("order_id"), "order_id", p.slice_filter_bits)
+    pay = pays.groupBy("order_id").agg(F.sum("payment_value").alias("pay_sum"), F.count("payment_value").alias("pay_rows"))
     return o.join(pay, "order_id", "inner")
 
 
@@ -61,7 +64,7 @@ def month_over_month(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def year_over_year(mk: Marketplace, p: Params) -> DataFrame:
-    base = paid_orders(mk, p, years_months(PTS, p.compare_years, p.compare_months))
+    base = paid_orders(mk, p, years_months(PTS, p.compare_years, p.compare_months), narrow=True)
     g = period_metrics(base, {"anio": F.year(PTS).cast("bigint")}, _revenue_aggs())
     return g.select("anio", "pedidos", round_half_up("_rev", 2).alias("revenue"),
                     round_half_up(safe_div("_rev", "_rows"), 2).alias("ticket_promedio")).orderBy("anio")
@@ -82,11 +85,11 @@ def hour_profile(mk: Marketplace, p: Params) -> DataFrame:
     g = period_metrics(_scoped_since_start(mk, p), {"hora": F.hour(PTS).cast("bigint")},
                        {"pedidos": F.countDistinct("order_id")})
     g = share_of_total(g, "pedidos", "pct_pedidos", 1)
-    return g.withColumn("franja_horaria", bucketize("hora", L.HOUR_PARTS, L.HOUR_PART_OTHER)).orderBy("hora")
+    return g.withColumn("franja_horaria", bucketize("hora", p.hour_parts, p.hour_part_other)).orderBy("hora")
 
 
 def daypart_profile(mk: Marketplace, p: Params) -> DataFrame:
-    part = bucketize(F.hour(PTS), L.HOUR_PARTS_NUMBERED, L.HOUR_PART_NUMBERED_OTHER)
+    part = bucketize(F.hour(PTS), p.numbered_hour_parts, p.numbered_hour_part_other)
     return (distribution(_scoped_since_start(mk, p), [part.alias("franja")],
                          {"pedidos": F.countDistinct("order_id")}, [("pedidos", "pct_pedidos", 1)])
             .orderBy("franja"))
@@ -95,7 +98,7 @@ def daypart_profile(mk: Marketplace, p: Params) -> DataFrame:
 def peak_weeks(mk: Marketplace, p: Params) -> DataFrame:
     """Weeks (Monday start, 0..53) inside the peak window; ``inicio_semana`` is
     the first purchase date observed in the week, not the calendar Monday."""
-    base = paid_orders(mk, p, in_window(PTS, p.peak_start, p.peak_end))
+    base = paid_orders(mk, p, in_window(PTS, p.peak_start, p.peak_end), narrow=True)
     g = period_metrics(base, {"semana_del_anio": week_monday_first(PTS)}, {
         "inicio_semana": F.min(F.to_date(PTS)),
         "pedidos": F.countDistinct("order_id"),
@@ -106,6 +109,13 @@ def peak_weeks(mk: Marketplace, p: Params) -> DataFrame:
 
 
 def monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
+    rows, keys = month_rows(mk, p)
+    return months_shown(count_two_distinct(rows, keys, ("order_id", "pedidos"), ("customer_id", "clientes"),
+                                           ["pay_sum", "pay_rows"], p.approximate_distinct))
+
+
+def month_rows(mk: Marketplace, p: Params) -> tuple[DataFrame, list[str]]:
+    """Paid orders since the start of the analysis with the names of their month, and those names' columns."""
     base = paid_orders(mk, p, in_window(PTS, p.analysis_start), "customer_id")
     periods = {
         "mes": year_month(PTS),
@@ -114,8 +124,10 @@ def monthly_mart(mk: Marketplace, p: Params) -> DataFrame:
         "mes_label": month_label(PTS),
     }
     rows = base.select("order_id", "customer_id", "pay_sum", "pay_rows", *[c.alias(a) for a, c in periods.items()])
-    g = count_two_distinct(rows, list(periods), ("order_id", "pedidos"), ("customer_id", "clientes"),
-                           ["pay_sum", "pay_rows"], p.approximate_distinct)
+    return rows, list(periods)
+
+
+def months_shown(g: DataFrame) -> DataFrame:
     return g.select("mes", "anio", "nro_mes", "mes_label", "pedidos",
                     round_half_up("pay_sum", 2).alias("revenue"),
                     round_half_up(safe_div("pay_sum", "pay_rows"), 2).alias("ticket_promedio"),

@@ -50,10 +50,13 @@ def _read(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
-                fold_case: tuple[str, ...] = ()) -> Marketplace:
+                fold_case: tuple[str, ...] = (), collate: tuple[str, ...] = (),
+                collation: str = "UNICODE_CI_AI") -> Marketplace:
     """``paths`` maps each table name of ``schema.SCHEMAS`` to a file or directory.
     Text columns named in ``fold_case`` are trimmed and lower-cased in every table,
-    for keys that sources write in mixed case."""
+    for keys that sources write in mixed case. Those named in ``collate`` keep their
+    spelling but get ``collation`` (by default without case and accents), in which joins, groupings,
+    comparisons and orders by them are then made; of the spellings of one group, any may be shown."""
     missing = set(_FIELDS) - set(paths)
     if missing:
         raise ValueError(f"missing table paths: {sorted(missing)}")
@@ -61,4 +64,7 @@ def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet"
     if fold_case:
         dfs = {k: df.select([F.lower(F.trim(c)).alias(c) if c in fold_case else F.col(c) for c in df.columns])
                for k, df in dfs.items()}
+    if collate:
+        dfs = {k: df.select([F.collate(c, collation).alias(c) if c in collate else F.col(c) for c in df.columns])
+               for k, df in dfs.items()}
     return Marketplace(**dfs)

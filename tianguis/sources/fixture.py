@@ -3,20 +3,18 @@
 The raw test tables have no NULLs, no orphans, no time of day and no payments
 or reviews, so a fixed, deterministic mapping (k = o_orderkey) derives the
 eight marketplace tables from them. Every column is a plain SQL expression over
-one raw row; the whole mapping is lazy and runs inside the scans of the queries
-that use it (columns a query does not read are pruned away by Catalyst).
+one raw row; the whole mapping is lazy twice over: a table is mapped when a plan
+first asks for it, and the mapping runs inside the scans of the queries that
+use it (columns a query does not read are pruned away by Catalyst).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tianguis.sources.model import Marketplace
 
-CREDIT_CARD_PRIORITIES = ("1-URGENT", "3-MEDIUM", "4-NOT SPECIFIED")
-
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
@@ -37,146 +35,119 @@ RAW_SCHEMAS = {
     "nation": _schema(("n_nationkey", _I), ("n_name", _S)),
 }
 
-
-def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _orders(o: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    copies = F.explode(F.when(k % 375 == 76, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    base = o.withColumn("_copy", copies).select(
-        k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.when(k % 40 == 0, "canceled")
-         .when((F.col("o_orderstatus") == "P") & (k % 8 == 1), "shipped")
-         .otherwise("delivered").alias("order_status"),
-        F.expr("o_orderdate + INTERVAL '1' SECOND * CAST((o_orderkey * 7919) % 86400 AS INT)")
-         .alias("order_purchase_timestamp"),
-    )
-    pts = F.col("order_purchase_timestamp")
-    delivered = F.col("order_status") == "delivered"
-    k = F.col("order_id")
-    days_to_customer = ((k * 31) % 30 + F.when(k % 11 == 0, 25).otherwise(0)).cast("int")
-    return base.select(
-        "order_id", "customer_id", "order_status", "order_purchase_timestamp",
-        F.when(k % 200 == 3, F.lit(None)).otherwise(pts + F.expr("INTERVAL '1' HOUR"))
-         .alias("order_approved_at"),
-        F.when(delivered, pts + F.expr("INTERVAL '1' DAY")).alias("order_delivered_carrier_date"),
-        F.when(delivered & (k % 500 != 7), pts + F.make_dt_interval(days=days_to_customer))
-         .alias("order_delivered_customer_date"),
-        (F.to_date(pts).cast("timestamp_ntz")
-         + F.make_dt_interval(days=(F.lit(20) + (k * 17) % 20).cast("int")))
-         .alias("order_estimated_delivery_date"),
-    )
-
-
-def _items(li: DataFrame) -> DataFrame:
-    m = F.col("l_partkey") % 100
-    k = F.col("l_orderkey")
-    sub = (F.when(m < 50, F.lit(0)).when(m < 70, F.lit(1))
-           .when(m < 85, F.lit(2) + F.col("l_partkey") % 3).otherwise(m))
-    return li.select(
-        F.when(k % 250 == 51, -k).otherwise(k).alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        (F.col("l_suppkey") * 100 + sub).alias("seller_id"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_quantity").cast("int").cast("decimal(18,2)").alias("freight_value"),
-    )
-
-
-def _payments(o: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    tot = F.col("o_totalprice").cast("decimal(18,2)")
-    cc = F.col("o_orderpriority").isin(*CREDIT_CARD_PRIORITIES)
-    first = o.where(k % 1000 != 5).select(
-        F.when(k % 500 == 52, -k).otherwise(k).alias("order_id"),
-        F.lit(1).alias("payment_sequential"),
-        F.when(k % 300 == 9, "not_defined").when(cc, "credit_card")
-         .when(F.col("o_orderpriority") == "2-HIGH", "boleto").otherwise("debit_card")
-         .alias("payment_type"),
-        F.when(cc, (F.lit(1) + k % 10).cast("int")).otherwise(F.lit(1)).alias("payment_installments"),
-        F.when(k % 20 == 1, tot - F.lit(100).cast("decimal(5,2)")).otherwise(tot)
-         .cast("decimal(18,2)").alias("payment_value"),
-    )
-    voucher = o.where(k % 20 == 1).select(
-        k.alias("order_id"),
-        F.lit(2).alias("payment_sequential"),
-        F.lit("voucher").alias("payment_type"),
-        F.lit(1).alias("payment_installments"),
-        F.lit(100).cast("decimal(18,2)").alias("payment_value"),
-    )
-    return first.unionByName(voucher)
-
-
-def _reviews(orders_m: DataFrame) -> DataFrame:
-    k = F.col("order_id")
-    late = F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
-    first = orders_m.where(k % 90 != 4).select(
-        F.when(k % 400 == 103, -k).otherwise(k).alias("order_id"),
-        F.when(late, F.lit(1) + k % 3).otherwise(F.lit(4) + k % 2).cast("int").alias("review_score"),
-        F.when(k % 8 == 0, F.lit("t")).alias("review_comment_title"),
-        F.when(k % 5 >= 3, F.lit("m")).alias("review_comment_message"),
-    )
-    second = orders_m.where(k % 150 == 11).select(
-        k.alias("order_id"),
-        (F.lit(1) + k % 5).cast("int").alias("review_score"),
-        F.lit(None).cast("string").alias("review_comment_title"),
-        F.lit(None).cast("string").alias("review_comment_message"),
-    )
-    return first.unionByName(second)
-
-
-def _customers(c: DataFrame, n: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    copies = F.explode(F.when(key % 60 == 31, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    return (c.where(F.col("c_nationkey") != 3).withColumn("_copy", copies)
-            .join(n, c.c_nationkey == n.n_nationkey, "inner")
-            .select(key.alias("customer_id"),
-                    F.when(key % 10 == 0, key + 1).otherwise(key).alias("customer_unique_id"),
-                    F.col("n_name").alias("customer_state")))
-
-
-def _sellers(items_m: DataFrame, s: DataFrame, n: DataFrame) -> DataFrame:
-    ids = items_m.select("seller_id").distinct()
-    return (ids.join(s, F.floor(F.col("seller_id") / F.lit(100.0)).cast("bigint") == s.s_suppkey, "inner")
-            .where(F.col("s_nationkey") != 4)
-            .join(n, F.col("s_nationkey") == n.n_nationkey, "inner")
-            .select("seller_id", F.col("n_name").alias("seller_state")))
-
-
-def _products(p: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    return p.select(
-        key.alias("product_id"),
-        F.when(key % 50 != 0, F.col("p_brand")).alias("product_category_name"),
-        F.when(key % 1000 != 1, F.col("p_size") * 100).alias("product_weight_g"),
-    )
-
-
-def _translation(p: DataFrame) -> DataFrame:
-    return (p.select("p_brand").distinct()
-            .where(~F.col("p_brand").isin("Brand#11", "Brand#12"))
-            .select(F.col("p_brand").alias("product_category_name"),
-                    F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")))
-                     .alias("product_category_name_english")))
+# The mapping, one SQL expression per column.
+ORDER_BASE = (
+    "o_orderkey AS order_id",
+    "o_custkey AS customer_id",
+    """CASE WHEN o_orderkey % 40 = 0 THEN 'canceled'
+            WHEN o_orderstatus = 'P' AND o_orderkey % 8 = 1 THEN 'shipped'
+            ELSE 'delivered' END AS order_status""",
+    "o_orderdate + INTERVAL '1' SECOND * CAST((o_orderkey * 7919) % 86400 AS INT) AS order_purchase_timestamp",
+    "explode(IF(o_orderkey % 375 = 76, array(1, 2), array(1))) AS _copy",
+)
+ORDERS = (
+    "order_id", "customer_id", "order_status", "order_purchase_timestamp",
+    "IF(order_id % 200 = 3, NULL, order_purchase_timestamp + INTERVAL '1' HOUR) AS order_approved_at",
+    "IF(order_status = 'delivered', order_purchase_timestamp + INTERVAL '1' DAY, NULL) AS order_delivered_carrier_date",
+    """IF(order_status = 'delivered' AND order_id % 500 != 7,
+          order_purchase_timestamp
+          + make_dt_interval(CAST((order_id * 31) % 30 + IF(order_id % 11 = 0, 25, 0) AS INT)), NULL)
+       AS order_delivered_customer_date""",
+    """CAST(CAST(order_purchase_timestamp AS DATE) AS TIMESTAMP_NTZ)
+       + make_dt_interval(CAST(20 + (order_id * 17) % 20 AS INT)) AS order_estimated_delivery_date""",
+)
+ITEMS = (
+    "IF(l_orderkey % 250 = 51, -l_orderkey, l_orderkey) AS order_id",
+    "l_linenumber AS order_item_id",
+    "l_partkey AS product_id",
+    """l_suppkey * 100 + CASE WHEN l_partkey % 100 < 50 THEN 0 WHEN l_partkey % 100 < 70 THEN 1
+                               WHEN l_partkey % 100 < 85 THEN 2 + l_partkey % 3 ELSE l_partkey % 100 END AS seller_id""",
+    "CAST(l_extendedprice AS DECIMAL(18,2)) AS price",
+    "CAST(CAST(l_quantity AS INT) AS DECIMAL(18,2)) AS freight_value",
+)
+BY_CARD = "o_orderpriority IN ('1-URGENT', '3-MEDIUM', '4-NOT SPECIFIED')"
+FIRST_PAYMENT = (
+    "IF(o_orderkey % 500 = 52, -o_orderkey, o_orderkey) AS order_id",
+    "1 AS payment_sequential",
+    f"""CASE WHEN o_orderkey % 300 = 9 THEN 'not_defined' WHEN {BY_CARD} THEN 'credit_card'
+             WHEN o_orderpriority = '2-HIGH' THEN 'boleto' ELSE 'debit_card' END AS payment_type""",
+    f"IF({BY_CARD}, CAST(1 + o_orderkey % 10 AS INT), 1) AS payment_installments",
+    """CAST(CAST(o_totalprice AS DECIMAL(18,2)) - IF(o_orderkey % 20 = 1, 100.00BD, 0.00BD) AS DECIMAL(18,2))
+       AS payment_value""",
+)
+VOUCHER = (
+    "o_orderkey AS order_id", "2 AS payment_sequential", "'voucher' AS payment_type", "1 AS payment_installments",
+    "CAST(100 AS DECIMAL(18,2)) AS payment_value",
+)
+FIRST_REVIEW = (
+    "IF(order_id % 400 = 103, -order_id, order_id) AS order_id",
+    """CAST(IF(order_delivered_customer_date > order_estimated_delivery_date, 1 + order_id % 3, 4 + order_id % 2) AS INT)
+       AS review_score""",
+    "IF(order_id % 8 = 0, 't', NULL) AS review_comment_title",
+    "IF(order_id % 5 >= 3, 'm', NULL) AS review_comment_message",
+)
+SECOND_REVIEW = (
+    "order_id", "CAST(1 + order_id % 5 AS INT) AS review_score",
+    "CAST(NULL AS STRING) AS review_comment_title", "CAST(NULL AS STRING) AS review_comment_message",
+)
+CUSTOMER_BASE = (
+    "c_custkey", "c_nationkey", "explode(IF(c_custkey % 60 = 31, array(1, 2), array(1))) AS _copy",
+)
+CUSTOMERS = (
+    "c_custkey AS customer_id",
+    "IF(c_custkey % 10 = 0, c_custkey + 1, c_custkey) AS customer_unique_id",
+    "n_name AS customer_state",
+)
+PRODUCTS = (
+    "p_partkey AS product_id",
+    "IF(p_partkey % 50 != 0, p_brand, NULL) AS product_category_name",
+    "IF(p_partkey % 1000 != 1, p_size * 100, NULL) AS product_weight_g",
+)
+TRANSLATION = (
+    "p_brand AS product_category_name",
+    "lower(replace(p_brand, '#', '_')) AS product_category_name_english",
+)
 
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``, lazily."""
-    o = _raw(spark, sf_dir, "orders")
-    li = _raw(spark, sf_dir, "lineitem")
-    nation = _raw(spark, sf_dir, "nation")
-    orders_m = _orders(o)
-    items_m = _items(li)
-    return Marketplace(
-        orders=orders_m,
-        items=items_m,
-        payments=_payments(o),
-        customers=_customers(_raw(spark, sf_dir, "customer"), nation),
-        reviews=_reviews(orders_m),
-        products=_products(_raw(spark, sf_dir, "part")),
-        sellers=_sellers(items_m, _raw(spark, sf_dir, "supplier"), nation),
-        translation=_translation(_raw(spark, sf_dir, "part")),
+    """Derive the marketplace tables from ``{sf_dir}/{orders,lineitem,...}.parquet``,
+    each when it is first asked for."""
+    read: dict[str, DataFrame] = {}
+
+    def raw(name: str) -> DataFrame:
+        if name not in read:
+            read[name] = spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+        return read[name]
+
+    def orders() -> DataFrame:
+        return raw("orders").selectExpr(*ORDER_BASE).selectExpr(*ORDERS)
+
+    def payments() -> DataFrame:
+        first = raw("orders").where("o_orderkey % 1000 != 5").selectExpr(*FIRST_PAYMENT)
+        return first.union(raw("orders").where("o_orderkey % 20 = 1").selectExpr(*VOUCHER))
+
+    def reviews() -> DataFrame:
+        first = mk.orders.where("order_id % 90 != 4").selectExpr(*FIRST_REVIEW)
+        return first.union(mk.orders.where("order_id % 150 = 11").selectExpr(*SECOND_REVIEW))
+
+    def customers() -> DataFrame:
+        c = raw("customer").where("c_nationkey != 3").selectExpr(*CUSTOMER_BASE)
+        return c.join(raw("nation"), c.c_nationkey == raw("nation").n_nationkey, "inner").selectExpr(*CUSTOMERS)
+
+    def sellers() -> DataFrame:
+        ids = mk.items.select("seller_id").distinct().selectExpr("seller_id", "CAST(floor(seller_id / 100.0D) AS BIGINT) AS s_suppkey")
+        named = raw("supplier").where("s_nationkey != 4").join(raw("nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+        return ids.join(named, "s_suppkey", "inner").selectExpr("seller_id", "n_name AS seller_state")
+
+    mk = Marketplace(
+        orders=orders,
+        items=lambda: raw("lineitem").selectExpr(*ITEMS),
+        payments=payments,
+        customers=customers,
+        reviews=reviews,
+        products=lambda: raw("part").selectExpr(*PRODUCTS),
+        sellers=sellers,
+        translation=lambda: raw("part").select("p_brand").distinct()
+        .where("p_brand NOT IN ('Brand#11', 'Brand#12')").selectExpr(*TRANSLATION),
     )
+    return mk

@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+Source = DataFrame | Callable[[], DataFrame]
+
+#: Field -> table name.
+TABLES = {
+    "orders": "orders",
+    "items": "order_items",
+    "payments": "order_payments",
+    "customers": "customers",
+    "reviews": "order_reviews",
+    "products": "products",
+    "sellers": "sellers",
+    "translation": "category_translation",
+}
+
 
-@dataclass(frozen=True)
 class Marketplace:
-    orders: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    customers: DataFrame
-    reviews: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    translation: DataFrame
+    """Handles of the eight tables. A table given as a function is built when a plan
+    first asks for it, so a plan analyses only the tables it reads."""
+
+    def __init__(self, *, orders: Source, items: Source, payments: Source, customers: Source, reviews: Source,
+                 products: Source, sellers: Source, translation: Source):
+        self._sources: dict[str, Source] = {
+            "orders": orders, "items": items, "payments": payments, "customers": customers,
+            "reviews": reviews, "products": products, "sellers": sellers, "translation": translation}
+        self._built: dict[str, DataFrame] = {}
+
+    def table(self, field: str) -> DataFrame:
+        if field not in self._built:
+            source = self._sources[field]
+            self._built[field] = source if isinstance(source, DataFrame) else source()
+        return self._built[field]
+
+    @property
+    def built(self) -> frozenset[str]:
+        """Fields of the tables that some plan has asked for."""
+        return frozenset(self._built)
+
+    def replace(self, **tables: Source) -> Marketplace:
+        """The same marketplace with some tables exchanged; the others stay unbuilt."""
+        rest = {f: (lambda f=f: self.table(f)) for f in TABLES}
+        return Marketplace(**{**rest, **tables})
+
+    orders = property(lambda self: self.table("orders"))
+    items = property(lambda self: self.table("items"))
+    payments = property(lambda self: self.table("payments"))
+    customers = property(lambda self: self.table("customers"))
+    reviews = property(lambda self: self.table("reviews"))
+    products = property(lambda self: self.table("products"))
+    sellers = property(lambda self: self.table("sellers"))
+    translation = property(lambda self: self.table("translation"))
 
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            "orders": self.orders,
-            "order_items": self.items,
-            "order_payments": self.payments,
-            "customers": self.customers,
-            "order_reviews": self.reviews,
-            "products": self.products,
-            "sellers": self.sellers,
-            "category_translation": self.translation,
-        }
+        """All tables by name; builds those that are not yet built."""
+        return {name: self.table(field) for field, name in TABLES.items()}
