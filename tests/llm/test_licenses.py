@@ -33,6 +33,17 @@ def test_places_equal_a_plain_search(spark, tmp_path):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def test_only_a_to_z_are_lower_cased(spark, tmp_path):
+    notice = "this work is licensed under the gnu general public license version 3"
+    odd = {i: notice.replace(c, d) for i, (c, d) in enumerate([("k", "\u212a"), ("i", "\u0130"), ("s", "\u017f"), ("e", "É")], 100)}
+    rows = [(1, notice), (2, notice.upper()), (3, notice.title()), *odd.items()]
+    rows += [(10 + i, notice.replace(c, c.upper())) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = {r.doc_id: r for r in run(spark, tmp_path, rows)}
+    assert all(got[i].labels == "gpl,gpl-3.0" and got[i].score == 1.0 for i in got if i not in odd)
+    assert got[100].n_words == 12 and all("gpl-3.0" not in got[i].labels or got[i].score < 1 for i in odd)
+    assert got[101].base_labels == "" and got[103].base_labels == ""
+
+
 def test_edited_copies_of_longer_templates(spark, tmp_path):
     bsd = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
     w = bsd.split()

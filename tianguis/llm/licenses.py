@@ -43,6 +43,7 @@ NOTICES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 PAIR = 2
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Diagonals at most this far apart may belong to one copy.
 DRIFT = 2
 #: Share of a longer template's word pairs that a span must hold.
@@ -65,9 +66,8 @@ def templates(spark: SparkSession, phrases: tuple[tuple[str, str], ...], notices
 
 
 def word_places(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, w, n_words): a document's words, lower-cased. lower() would
-    also turn the Kelvin sign into an ASCII letter; it is set aside first."""
-    text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("K"), F.lit("ĸ")))
+    """(row, doc_id, w, n_words): a document's words, with A-Z and nothing else lower-cased."""
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     w = F.array_remove(F.expr(f"split(t, '{BETWEEN}')"), "")
     return docs.select("doc_id", text.alias("t")).select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")).withColumn("n_words", F.size("w"))
 
@@ -115,3 +115,38 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.max(F.when(is_label, F.col("coverage"))), F.lit(0.0)).alias("score"),
     ).drop("row")
 
+
+def _listed(phrases: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str], ...]) -> str:
+    """The templates as SQL rows."""
+    return ", ".join(f"({i}, '{label}', {i < len(phrases)}, '{text}')" for i, (label, text) in enumerate((*phrases, *notices)))
+
+
+ORACLE = rf"""
+WITH given AS (SELECT * FROM (VALUES {_listed(PHRASES, NOTICES)}) AS x(template, label, base, text)),
+told AS (SELECT *, string_split(text, ' ') AS t, len(string_split(text, ' ')) - 1 AS pairs FROM given),
+doc AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), place AS (
+  SELECT row, template, label, p FROM (SELECT row, w, unnest(range(len(w))) AS p FROM doc) JOIN told ON base AND w[p + 1] = t[1] AND w[p + 1:p + len(t)] = t
+), by_base AS (
+  SELECT row, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY row
+), vote AS (
+  SELECT row, template, label, pairs, p, k FROM (SELECT row, w, unnest(range(len(w) - 1)) AS p FROM doc)
+  JOIN (SELECT *, unnest(range(pairs)) AS k FROM told WHERE NOT base) ON w[p + 1] = t[k + 1] AND w[p + 2] = t[k + 2]
+), diagonal AS (
+  SELECT row, template, label, pairs, p - k AS d, count(*) AS votes, min(p) AS lo, max(p) AS hi, min(k) AS k_lo, max(k) AS k_hi FROM vote GROUP BY ALL
+), step AS (
+  SELECT *, NOT coalesce(d - lag(d) OVER o BETWEEN -{DRIFT} AND {DRIFT} AND k_lo > lag(k_hi) OVER o
+                         AND lo - lag(hi) OVER o <= {DRIFT + 1} + k_lo - lag(k_hi) OVER o, false) AS fresh
+  FROM diagonal WINDOW o AS (PARTITION BY row, template ORDER BY lo, d)
+), span AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY row, template ORDER BY lo, d) AS span FROM step
+), found AS (
+  SELECT row, label, least(sum(votes)::DOUBLE / any_value(pairs)::DOUBLE, 1.0) AS coverage FROM span GROUP BY row, template, label, span HAVING coverage >= {COVERAGE}
+  UNION ALL SELECT row, label, 1.0 FROM place
+), by_label AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM found GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM doc LEFT JOIN by_base USING (row) LEFT JOIN by_label USING (row)
+"""
