@@ -2,7 +2,9 @@
 
 import re
 
-from tianguis.llm.urls import RULES, judge, lexical, parsed
+from pyspark.sql import functions as F
+
+from tianguis.llm.urls import FEATURES, FOLDS, PRIOR, RULES, SUFFIXES, classes, fitted, held_out_accuracy, judge, lexical, parsed, prepared, with_features
 
 
 def plain(url):
@@ -56,3 +58,63 @@ def test_features(spark):
     r = lexical(parsed(spark.createDataFrame([(1, "http://a-b.c.test/x/y1.html?p=1&q#f")], "page_id long, url string"))).first()
     assert (r.depth, r.labels, r.hyphens, r.parameters, r.has_fragment, r.has_extension) == (2.0, 2.0, 1.0, 2.0, 1.0, 1.0)
     assert r.suffix1 == "test" and r.suffix2 == "c.test" and 3 < r.entropy * 1.4427 < 5 and r.digit_ratio == 2 / 35
+
+
+SF = "/root/testdata/sf0.1"
+
+
+def walked(text, x):
+    """The value that a tree, as its debug text, gives for a vector."""
+    lines = [(len(line) - len(line.lstrip()), line.strip()) for line in text.splitlines()[1:] if line.strip()]
+    at = 0
+    while not (m := re.match(r"Predict: (\S+)", lines[at][1])):
+        feature, sign, cut = re.match(r"If \(feature (\d+) (<=|>) (\S+)\)", lines[at][1]).groups()
+        if (x[int(feature)] <= float(cut)) == (sign == "<="):
+            at += 1
+        else:
+            at = next(k for k in range(at + 1, len(lines)) if lines[k][0] == lines[at][0] and lines[k][1].startswith("Else")) + 1
+    return float(m[1])
+
+
+def test_verdicts_equal_a_walk_down_the_trees(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    p = prepared(pages)
+    known = classes(p)
+    rows = with_features(p, known).cache()
+    model = fitted(rows, sum(known.values()))
+    trees = [(t.toDebugString, w) for t, w in zip(model.trees, model.treeWeights)]
+    got = model.transform(rows).filter("decided IS NULL").select("host", "features", "prediction").collect()
+    for r in got[::7]:
+        x = r.features.toArray()
+        assert r.prediction == float(sum(w * walked(t, x) for t, w in trees) > 0)
+    # undecided verdicts differ within a top-level domain
+    said = {}
+    for r in got:
+        said.setdefault(r.host.rsplit(".", 1)[-1], set()).add(r.prediction)
+    assert any(len(v) == 2 for v in said.values()), said
+
+
+def test_a_labelled_url_is_left_out_of_its_own_statistics(spark):
+    rules = (("a.test/x/", "block"), ("a.test/", "allow"), ("b.test/", "block"))
+    urls = [f"http://h{i % 4}.a.test/{'x/' if i % 3 else 'y/'}{i}" for i in range(60)] + [f"http://b.test/{i}/" for i in range(9)] + ["http://h1.a.test.other/z", None, "http://h1.a.test/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    p = prepared(pages, rules).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    plain = [r.asDict() for r in p.collect()]
+    known = classes(p)
+    overall = known["block"] / sum(known.values())
+    for r in with_features(p, known).collect():
+        me = next(x for x in plain if x["page_id"] == r.page_id)
+        for s in SUFFIXES:
+            same = [x for x in plain if x["decided"] and x[s] == me[s]]
+            seen = [x for x in same if not me["decided"] or x["fold"] != me["fold"]] if len({x["rule"] for x in same}) > 1 else None
+            want = overall if seen is None else (sum(x["blocked"] for x in seen) + overall * PRIOR) / (len(seen) + PRIOR)
+            assert abs(r[f"{s}_rate"] - want) < 1e-12, (r.url, s)
+    assert len(FEATURES) == len(set(FEATURES))
+
+
+def test_held_out_accuracy_is_measured(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    r = held_out_accuracy(pages).first()
+    assert r.n > 100 and 0.5 <= r.constant <= 1 and r.accuracy > 0.5
+    print(f"held out: {r.n} labelled URLs, accuracy {r.accuracy:.3f}, constant verdict {r.constant:.3f}")
+    assert held_out_accuracy(pages.limit(0)).count() == 0
