@@ -33,6 +33,20 @@ def test_equals_the_library(bpe, library):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def around(c):
+    """A code point alone, within, before and after letters, after a mark's base and between digits."""
+    return f"{c} a{c}b {c}E e{c} 1{c}2 '{c} A\u030a{c}"
+
+
+def test_every_code_point(bpe, library):
+    """All code points up to the supplementary planes' letters, and every 61st of the rest."""
+    points = [i for i in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A0, 0xD800), *range(0xE000, 0x20000, 3), *range(0x20000, 0x110000, 61))]
+    texts = [around(chr(i)) for i in points]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [hex(i) for i, w, (ids, _) in zip(points, want, bpe.encode_texts(texts)) if ids != " ".join(map(str, w.ids))]
+    assert wrong == []
+
+
 def test_verification_accepts_exactly_the_words_that_merging_leaves(bpe):
     rng = random.Random(2)
     words = list({"".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 14))) for _ in range(800)})

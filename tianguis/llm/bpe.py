@@ -18,18 +18,16 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tianguis.llm.common import PieceCache, table, worker_cache
 
-#: Fixed values of the vocabulary file's normaliser and word splitter.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
+#: The vocabulary file's word splitter, for ASCII text after lower-casing.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 END = "</w>"
 #: White space of the vocabulary's normaliser; str.split() also cuts at \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -55,12 +53,24 @@ def split_spaces(text: str) -> list[str]:
     return text.split()
 
 
-def normalise(text: str) -> str:
-    """Canonical composition and lower case, with no rule for a final sigma.
-    White space is left to the splitting."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-    return text.lower()
+class Splitter:
+    """Words, in byte characters, of the pieces between white space. ASCII pieces are lower-cased and
+    split here; any other goes through the vocabulary file's own normaliser and splitter, so
+    that letters, numbers, compositions and lower case are those of the tokenizers library, whatever Python's
+    tables say. No character composes or joins a word across white space, so pieces can go alone."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        self.normalise, self.split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
+
+    def __call__(self, piece: str) -> list[str]:
+        if not piece.isascii():
+            return [w for w, _ in self.split(self.normalise(piece))]
+        piece = piece.lower()
+        words = [piece] if piece.isalpha() else ASCII_WORD.findall(piece)
+        return words if piece.isprintable() else ["".join([CHARS[ord(c)] for c in w]) for w in words]
 
 
 def byte_chars() -> list[str]:
@@ -76,6 +86,9 @@ def byte_chars() -> list[str]:
     return out
 
 
+CHARS = byte_chars()
+
+
 class Bpe:
     """Vocabulary with merges, as arrays indexed by token id."""
 
@@ -89,7 +102,7 @@ class Bpe:
         self.token = [""] * n
         for t, i in (*vocab.items(), *self.specials.items()):
             self.token[i] = t
-        self.chars = byte_chars()
+        self.chars, self.words_of = CHARS, Splitter(path)
         self.rank = np.full(n, -1, np.int64)
         self.left = np.full(n, -1, np.int64)
         self.right = np.full(n, -1, np.int64)
@@ -105,7 +118,6 @@ class Bpe:
         self.pair_code, self.pair_rank = codes[:, 0].copy(), codes[:, 1].copy()
         self.sound = self._sound_tokens()
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.word = regex.compile(WORD)
         self.reach: dict[str, int] = {}
         for t in vocab:
             n = len(t) - len(END) if t.endswith(END) else len(t)
@@ -235,12 +247,8 @@ class Bpe:
         return out
 
     def encode_pieces(self, pieces: list[str]) -> list[tuple[str, str]]:
-        """(ids, decoded text), both joined by a space, of normalised pieces."""
-        chars, find = self.chars, self.word.findall
-        split = []
-        for p in pieces:
-            ws = [p] if p.isalpha() else find(p)
-            split.append([w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode("utf-8", "surrogatepass")]) for w in ws])
+        """(ids, decoded text), both joined by a space, of pieces between white space."""
+        split = [self.words_of(p) for p in pieces]
         ids = self.words.of({w for ws in split for w in ws})
         token, out = self.token, []
         for ws in split:
@@ -263,7 +271,7 @@ class Bpe:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Per text, its ids and its decoded text, both joined by a space."""
-        cut = [[[(p,)] if special else split_spaces(normalise(p)) for special, p in self.segments(t)] for t in texts]
+        cut = [[[(p,)] if special else split_spaces(p) for special, p in self.segments(t)] for t in texts]
         known = self.pieces.of({p for parts in cut for ps in parts for p in ps if p.__class__ is str})
         for parts in cut:
             got = [(str(self.specials[p[0]]), p[0]) if p.__class__ is tuple else known[p] for ps in parts for p in ps]

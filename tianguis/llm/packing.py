@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tianguis.llm.bpe import WORD, byte_chars, default_vocab, normalise, split_spaces
+from tianguis.llm.bpe import Splitter, default_vocab, split_spaces
 from tianguis.llm.common import cut, table, worker_cache
 
 WINDOW = 4096
@@ -77,23 +76,18 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chars, self.word = byte_chars(), regex.compile(WORD)
+        self.words_of = Splitter(path)
         self.model = self.tokenizer.model.tokenize
         self.words = Remembered(CACHE_WORDS, self._word)
         self.pieces = Remembered(CACHE_WORDS, self._piece)
 
     def _word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isprintable()):
-            word = "".join([self.chars[b] for b in word.encode("utf-8", "surrogatepass")])
         return np.array([t.id for t in self.model(word)], "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if "<|" in piece:  # may hold a special token, which is not normalised
             return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        piece = normalise(piece)
-        if piece.isalpha():
-            return self.words[piece]
-        return b"".join([self.words[w] for w in self.word.findall(piece)])
+        return b"".join([self.words[w] for w in self.words_of(piece)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.words.turn()
