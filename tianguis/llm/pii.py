@@ -6,7 +6,10 @@ or an @; its labels are the kinds and none. Words that follow each other share
 a chain potential. Distant words of one document whose letters and digits are the same
 share a skip potential: each is tied to the next such word and to the first
 (one with a base label where there is any), so that the
-number of edges grows with the number of words. Loopy message passing then spreads labels:
+number of edges grows with the number of words. Similar words share it too: one with letters that is a
+single edit away from a labelled one; and runs of digit words, however the digits are grouped, that end
+in the same seven digits as a labelled phone or card number and continue it to the left, but for a leading
+zero; their words are tied from the right. Loopy message passing then spreads labels:
 a number written once in a form that the patterns know labels its other mentions. Base spans
 are evidence and never change. A run of following words that the field labels alike (with a
 probability over ``CERTAIN``) adds a span if a skip edge ties one of them to a
@@ -27,6 +30,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby, zip_longest
 
 import numpy as np
 import pandas as pd
@@ -39,10 +43,15 @@ from tianguis.llm.common import table
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "none")
 NONE = len(KINDS)
+#: Kinds whose digits may be grouped otherwise elsewhere.
+NUMBERS = (KINDS.index("card"), KINDS.index("phone"))
 #: Hash buckets for word shapes and for preceding words.
 BUCKETS = 4096
-#: Least letters and digits of words that a skip edge ties.
+#: Least letters and digits of words that a skip edge ties, if they are the same, and if they are one edit apart.
 SKIP_LENGTH = 5
+SIMILAR_LENGTH = 8
+#: Last digits in which two writings of a number agree.
+TAIL = 7
 ROUNDS = 12
 DAMPING = 0.3
 CERTAIN = 0.5
@@ -113,15 +122,61 @@ def bucket(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+DIGITS, LETTERS, REPEATED = re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"), re.compile(r"(.)\1+", re.S)
+
+
 def shape(word: str) -> str:
-    """Character classes with runs collapsed, and the number of digits."""
-    out, digits = [], 0
-    for c in word[:64]:
-        k = "0" if "0" <= c <= "9" else "a" if c.isalpha() else c
-        digits += k == "0"
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:12]) + f" {min(digits, 20)}"
+    """Character classes of the whole word with runs collapsed, and the number of digits."""
+    digits = sum(map(len, DIGITS.findall(word)))
+    return REPEATED.sub(r"\1", LETTERS.sub("a", DIGITS.sub("0", word))) + f" {min(digits, 20)}"
+
+
+#: Base of the rolling hash of words, and its inverse, modulo 2**64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def edit_hashes(key: str) -> tuple[np.uint64, np.ndarray]:
+    """A rolling hash of a word, and of the word without each of its characters."""
+    c = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(c) - 1, BASE)], dtype=np.uint64)
+    before = np.r_[np.uint64(0), np.cumsum(c * powers, dtype=np.uint64)]
+    return before[-1], before[:-1] + (before[-1] - before[1:]) * INVERSE
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one character put in, left out or replaced makes ``b`` of ``a``."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    short, long_ = sorted((a, b), key=len)
+    k = next((i for i, (x, y) in enumerate(zip(short, long_)) if x != y), len(short))
+    return short[k + (len(a) == len(b)) :] == long_[k + 1 :]
+
+
+def similar(known: dict[str, int], others: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
+    """(labelled node, node) of the words one edit apart from a labelled one, by the hashes of
+    both with one character left out: the work grows with the lengths of the words, not their pairs."""
+    if not known or not others:
+        return
+    whole: dict[int, str] = {}
+    less: dict[int, str] = {}
+    for key in known:
+        h, gaps = edit_hashes(key)
+        whole.setdefault(int(h), key)
+        for g in gaps.tolist():
+            less.setdefault(g, key)
+    for key, nodes in others.items():
+        h, gaps = edit_hashes(key)
+        near = {less.get(int(h)), *(t.get(g) for g in gaps.tolist() for t in (whole, less))} - {None}
+        hub = min((known[x] for x in near if one_edit(key, x)), default=None)
+        if hub is not None:
+            yield from ((hub, k) for k in nodes)
+
+
+def same_number(a: str, b: str) -> bool:
+    """Whether two digit strings can be one number: one continues the other to the left, but for leading zeros."""
+    x, y = a.lstrip("0"), b.lstrip("0")
+    return min(len(x), len(y)) >= TAIL and (x.endswith(y) or y.endswith(x))
 
 
 class Words:
@@ -136,6 +191,37 @@ class Words:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
 
+    def tie_numbers(self, runs: list[list[tuple[int, str]]]) -> None:
+        """Skip edges between a labelled number and later or earlier writings of it without a label.
+        ``runs`` hold following words without letters: (node, digits)."""
+        hubs: dict[str, dict[str, list[int]]] = {}
+        loose: list[list[tuple[int, str]]] = []
+        for run in runs:
+            for label, part in groupby(run, key=lambda x: self.label[x[0]]):
+                part = list(part)
+                if label == NONE:
+                    loose.append(part)
+                elif label in NUMBERS and len(digits := "".join([d for _, d in part])) >= TAIL:
+                    hubs.setdefault(digits[-TAIL:], {}).setdefault(digits, [k for k, _ in part])
+        if not hubs:
+            return
+        for run in loose:
+            j = len(run) - 1
+            while j >= 0:
+                best, digits, i = None, "", j
+                while i >= 0 and len(digits) < 20:
+                    digits = run[i][1] + digits
+                    hub = next((h for d, h in hubs.get(digits[-TAIL:], {}).items() if same_number(digits, d)), None) if len(digits) >= TAIL else None
+                    best = (i, hub) if hub else best
+                    i -= 1
+                if best:
+                    i, hub = best
+                    mine = [k for k, _ in run[i : j + 1]]
+                    for a, b in zip_longest(reversed(mine), reversed(hub)):
+                        self.skip.append((hub[0] if b is None else b, mine[0] if a is None else a))
+                    j = i
+                j -= 1
+
     def add(self, text: str, base: list[Span]) -> range:
         """Append a document's nodes."""
         first, places = len(self.start), sorted(base, key=lambda s: (s[1], s[2]))
@@ -144,6 +230,8 @@ class Words:
         for i in range(1, len(reach)):
             reach[i] = max(reach[i], reach[i - 1])
         same: dict[str, list[int]] = {}
+        runs: list[list[tuple[int, str]]] = []
+        numbers = False  # whether the word before belongs to the last run
         done, n = 0, len(text)
         for m in SIGNAL.finditer(text):
             if m.start() < done:
@@ -178,15 +266,24 @@ class Words:
             key = NOT_WORD.sub("", word).lower()
             if len(key) >= SKIP_LENGTH:
                 same.setdefault(key, []).append(node)
+            if key.isdigit() and key.isascii():
+                if not (follows and numbers):
+                    runs.append([])
+                runs[-1].append((node, key))
+            numbers = key.isdigit() and key.isascii()
             done = e
         for nodes in same.values():
             if len(nodes) > 1:
                 hub = next((k for k in nodes if self.label[k] != NONE), nodes[0])
                 self.skip += list(zip(nodes, nodes[1:]))
                 self.skip += [(hub, k) for k in nodes if k != hub]
+        if base:
+            long_ = {k: v for k, v in same.items() if len(k) >= SIMILAR_LENGTH and not k.isdigit()}
+            known = {k: next(x for x in v if self.label[x] != NONE) for k, v in long_.items() if any(self.label[x] != NONE for x in v)}
+            self.skip += similar(known, {k: v for k, v in long_.items() if k not in known})
+            self.tie_numbers(runs)
         return range(first, len(self.start))
 
-
     def anchored(self) -> set[int]:
         """Nodes without a base label that a skip edge ties to one with a base label."""
         label = self.label
