@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tianguis.llm.language import SYMBOLS, Letters, determined, held_out, identify, op6_langid, profiles
+from tianguis.llm.language import CHANCE, DIMENSIONS, SYMBOLS, Letters, determined, held_out, identify, least_confidence, op6_langid, profiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,7 +34,7 @@ def test_edges(spark):
     got = [(r.doc_id, r.lang_pred) for r in identify(docs, learned).collect()]
     assert got[:4] == [(1, "en"), (2, "de"), (3, "und"), (4, "und")] and got[5] == (6, "und")
     assert got[6:] == [(None, "de"), (1, "en"), (7, "en")] and got[4][1] in ("de", "en")
-    kept = determined(docs, learned)
+    kept = determined(docs, learned, 0.0)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 2, 5, None, 1, 7]
     assert {r.lang_pred for r in identify(docs, {}).collect()} == {"und"}
     assert identify(docs.limit(0), learned).count() == 0 and profiles(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
@@ -45,3 +45,23 @@ def test_held_out_remainder(spark):
 
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_answers_no_better_than_chance_are_rejected(spark):
+    train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog sat on the mat " * 5, "en"), ("der hund und die katze sind im haus " * 5, "de")])]
+    learned = profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    rows = [(1, "the dog and the cat"), (2, "die katze und der hund"), (3, "qxzvw jkqpx wvzzq kkxqj vxwqz"), (4, "привет мир"), (5, None), (6, "12 %%"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    assert sorted(r.doc_id for r in determined(docs, learned).collect()) == [1, 2]
+    assert [r.doc_id for r in determined(docs, learned, wanted=("de",)).collect()] == [2]
+    assert sorted(r.doc_id for r in determined(docs, {}).collect()) == [1, 2, 3, 4]
+
+
+def test_the_bar_lies_below_right_answers(spark):
+    rows = [(i, "the cat and the dog sat on the mat", "en") for i in range(30)] + [(99, "zq", "en"), (100, None, "en"), (101, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = profiles(docs.filter("doc_id < 99"))
+    assert least_confidence(docs.filter("doc_id < 99"), learned) == CHANCE / DIMENSIONS ** 0.5
+    low = [r.score for r in identify(docs.filter("doc_id = 99"), learned).collect()][0]
+    assert least_confidence(docs, learned) == min(low, CHANCE / DIMENSIONS ** 0.5)
+    assert least_confidence(docs.limit(0), learned) == CHANCE / DIMENSIONS ** 0.5

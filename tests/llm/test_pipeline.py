@@ -9,7 +9,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "packing"]
 
 
@@ -44,6 +44,19 @@ def test_language_without_labels(spark):
     assert corpus_pipeline.keep_identified(spark, docs, "").count() == len(held) > 0
 
 
+def test_the_learned_languages_decide(spark, monkeypatch):
+    """With profiles of something else the same documents go."""
+    from tianguis.llm import pipeline_stages
+
+    texts = ["the cat and the dog sat there", "der hund und die katze sind da", "qxzvw jkqpx wvzzq kkxqj vxwqz"]
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts * 4, ["en", "de", None] * 4))]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert sorted({r.text for r in corpus_pipeline.keep_identified(spark, docs, "").collect()}) == sorted(texts[:2])
+    other = pipeline_stages.profiles(spark.createDataFrame([(texts[2] * 9, "xx")], "text string, lang string"))
+    monkeypatch.setattr(pipeline_stages, "profiles", lambda docs: other)
+    assert {r.text for r in corpus_pipeline.keep_identified(spark, docs, "").collect()} == {texts[2]}
+
+
 def test_repeated_and_null_ids_lose_their_copies(spark):
     text = lambda k, n=80: " ".join(f"{k}word{i}" for i in range(n))
     a, b, c, d = map(text, "abcd")

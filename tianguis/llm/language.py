@@ -139,14 +139,47 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
-def determined(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, as they are; with no learned language, those with a letter."""
+#: Standard deviations of a cosine by chance (1 / sqrt(DIMENSIONS)) that an answer must exceed. A text that
+#: has nothing to do with any of four languages does so about one time in twenty.
+CHANCE = 2.25
+#: Of the labelled documents with a right answer at most this share may fall below the bar...
+RIGHT_BELOW = 0.001
+#: ... measured on about so many of them.
+CONFIDENCE_ROWS = 20_000
+
+
+def least_confidence(docs: DataFrame, learned: dict[str, np.ndarray], chance: float = CHANCE, rows: int = CONFIDENCE_ROWS) -> float:
+    """The cosine that an answer must reach: what chance reaches, or less where labelled documents
+    (lang, text) with right answers lie below it. So profiles learned from little reject little."""
+    judge = Judge(learned)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lang, score = judge(b["text"].tolist())
+            right = np.array(lang) == b["lang"].to_numpy()
+            yield pd.DataFrame({"score": np.array(score)[right]})
+
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+    share = min(1.0, rows / max(labelled.count(), 1))
+    some = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    low = some.select("lang", "text").mapInPandas(run, "score double").agg(F.expr(f"percentile_disc({RIGHT_BELOW}) WITHIN GROUP (ORDER BY score)")).first()[0]
+    bar = chance / DIMENSIONS ** 0.5
+    return bar if low is None else min(bar, low)
+
+
+def determined(docs: DataFrame, learned: dict[str, np.ndarray], least: float = CHANCE / DIMENSIONS ** 0.5, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, as they are: those whose best cosine with a
+    learned language is at least ``least`` and, with ``wanted``, whose language is one of these. With no
+    learned language, those with a letter."""
     judge = Judge(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            told = [x != UNDETERMINED for x in judge(texts)[0]] if judge.names else [bool(t) and len(letters().trigrams(t)) > 0 for t in texts]
+            if judge.names:
+                told = [x != UNDETERMINED and s >= least and (wanted is None or x in wanted) for x, s in zip(*judge(texts))]
+            else:
+                told = [bool(t) and len(letters().trigrams(t)) > 0 for t in texts]
             yield b.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
