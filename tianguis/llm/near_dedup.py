@@ -349,3 +349,24 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+#: All pairs of documents whose sets differ, by the shingles they share; then what is reachable.
+ORACLE = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+                      ELSE list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1:i + 3]))) END AS s FROM doc
+), sets AS MATERIALIZED (SELECT s, min(doc_id) AS id, len(s) AS n FROM grams WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s
+), gram AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM sets
+), pair AS (
+  SELECT a.id AS a, b.id AS b FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edge AS MATERIALIZED (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (SELECT id AS a, id AS b FROM sets UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), root AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, len(g.s)::BIGINT AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS component_id,
+       doc_id = CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS kept
+FROM grams g LEFT JOIN sets t ON len(g.s) > 0 AND t.s = g.s LEFT JOIN root ON root.id = t.id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tianguis.llm import ann, chat, mixing, trie, vafile, variants
+from tianguis.llm import ann, chat, licenses, mixing, near_dedup, trie, vafile, variants
 from tianguis.llm.ann import op3_ann
 from tianguis.llm.bpe import op9_bpe
 from tianguis.llm.chat import op5_chat
@@ -41,6 +41,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ann": ann.ORACLE,
     "op5_chat": chat.ORACLE,
     "op7_topk": vafile.ORACLE,
+    "op8_licenses": licenses.ORACLE,
+    "op10_minhash": near_dedup.ORACLE,
     "op11_mixing": mixing.ORACLE,
     "op12_variants": variants.ORACLE,
     "op13_trie": trie.ORACLE,
