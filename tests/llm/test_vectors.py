@@ -40,25 +40,37 @@ def sequential(x, y):
     return s
 
 
-@pytest.mark.parametrize("group, most", [(16384, 4096), (64, 32)])
-def test_nearest(spark, monkeypatch, group, most):
-    monkeypatch.setattr(blocks, "GROUP", group)
-    monkeypatch.setattr(blocks, "CANDIDATES", most)
+@pytest.fixture(params=[(262144, 4096, 512, 1 << 22), (64, 32, 8, 1)])
+def sizes(request, monkeypatch):
+    for name, value in zip(("GROUP", "CANDIDATES", "QUERIES", "LEAST_PAIRS"), request.param):
+        monkeypatch.setattr(blocks, name, value)
+    if request.param[0] == 64:
+        monkeypatch.setattr(blocks, "HELD", 50)
+
+
+def test_nearest(spark, sizes):
     rows = vectors(1)
     got = sorted(map(tuple, ann.nearest(table(spark, rows), "vec_id % 20 = 0", 5).collect()))
     assert got == brute(rows, 20, 5, sequential, zeros=False)
 
 
-@pytest.mark.parametrize("group, most", [(16384, 4096), (64, 32)])
-def test_top_k(spark, monkeypatch, group, most):
-    monkeypatch.setattr(blocks, "GROUP", group)
-    monkeypatch.setattr(blocks, "CANDIDATES", most)
-    rows = vectors(2)
-    whole = lambda x, y: sum(floor(Fraction(a) * 256) * floor(Fraction(b) * 256) for a, b in zip(x, y))
+@pytest.mark.parametrize("scale", [1, 300])
+def test_top_k(spark, sizes, scale):
+    """With components over a wide range a cell holds several values."""
+    rows = [(i, [x * scale if x is not None else None for x in v] if v is not None else None) for i, v in vectors(2)]
+    whole = lambda x, y: sum(floor(Fraction(float(np.float32(a))) * 256) * floor(Fraction(float(np.float32(b))) * 256) for a, b in zip(x, y))
     got = sorted(map(tuple, vafile.top_k(table(spark, rows), "vec_id % 50 = 0", 5).collect()))
     assert got == brute(rows, 50, 5, whole, zeros=True)
 
 
+def test_a_common_vector(spark):
+    """One vector on a third of all rows, with ids and rows repeated, and copies a hair apart."""
+    rows = vectors(8, 90)
+    rows += [(2000 + i, [1.0] * 7) for i in range(70)] + [(2020, [1.0] * 7)] * 30 + [(3000 + i, [1.0] * 6 + [1.0 + i * 1e-6]) for i in range(40)]
+    got = sorted(map(tuple, ann.nearest(table(spark, rows), "vec_id % 20 = 0", 5).collect()))
+    assert got == brute([(i, [float(np.float32(x)) for x in v] if v and None not in v else v) for i, v in rows], 20, 5, sequential, zeros=False)
+
+
 def test_few_candidates_and_empty_table(spark):
     few = table(spark, [(0, [1.0, 2.0]), (20, [0.5, 0.5])])
     assert [tuple(r)[:3] for r in ann.nearest(few, "vec_id % 20 = 0", 5).orderBy("query_id").collect()] == [(0, 1, 20), (20, 1, 0)]
@@ -66,47 +78,41 @@ def test_few_candidates_and_empty_table(spark):
     assert ann.nearest(few, "vec_id = 7").count() == 0
 
 
-def test_query_blocks_are_written_before_use(spark):
-    """Read again in another row order, as after a lost executor, the blocks hold the same rows at the same places."""
+def test_blocks_are_written_once_and_hold_bytes(spark):
+    """What the join sends are codes of one byte per component; read again in another order the blocks are the same."""
+    rows = blocks.entries(blocks.usable(table(spark, [(i, [float(i), 1.0]) for i in range(400)]), True))
+    for kind in (ann.Int8(), vafile.Cells()):
+        made = blocks.in_blocks(rows, 64, kind.candidates)
+        once, again = (sorted((r.part, r.block, bytes(r.ids), bytes(r.codes)) for r in made.collect()) for _ in range(2))
+        assert once == again and sum(len(c) for *_, c in once) == 400 * 2
+    found = ann.nearest(table(spark, vectors(5)), "vec_id % 20 = 0", 5)
+    assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString()
 
-    def stirred(batches):
-        for b in batches:
-            yield b.sample(frac=1)
 
-    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "vec_id long, v array<double>").coalesce(1).mapInPandas(stirred, "vec_id long, v array<double>")
-    made = blocks.query_blocks(rows, "vec_id % 2 = 0", 3)
-    once, again = (sorted((r.part, r.block, bytes(r.ids)) for r in made.collect()) for _ in range(2))
-    assert once == again and sum(len(i) for _, _, i in once) == 200 * 8
-    for found in (ann.nearest(table(spark, vectors(5)), "vec_id % 20 = 0", 5), vafile.top_k(table(spark, vectors(5)), "vec_id % 50 = 0", 5)):
-        plan = found._jdf.queryExecution().optimizedPlan().toString()
-        assert "Repartition" not in plan and "parquet" in plan
+def test_cells_of_the_grid():
+    for q, c, width in [(1, 1, 8), (10**3, 5 * 10**4, 200), (5 * 10**6, 10**8, 16000), (0, 0, 8), (10**6, 10, 64)]:
+        g, h = blocks.grid(q, c, width)
+        assert g >= 1 and h >= 1 and c / g <= blocks.GROUP * 1.01 and q / h <= blocks.QUERY_GROUP * 1.01
+        assert q * c / (g * h) <= blocks.MOST_PAIRS * 1.5
 
 
-def test_lists_meet_a_few_groups_at_a_time(spark, monkeypatch):
-    """Over many groups the lists are merged level by level, with the same result."""
-    monkeypatch.setattr(blocks, "GROUP", 40)
-    monkeypatch.setattr(blocks, "CANDIDATES", 16)
-    monkeypatch.setattr(blocks, "FAN", 2, raising=False)
-    rows = vectors(6)
-    found = ann.nearest(table(spark, rows), "vec_id % 20 = 0", 5)
-    assert sorted(map(tuple, found.collect())) == brute(rows, 20, 5, sequential, zeros=False)
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 4  # 8 groups: within one, 8 to 4, 4 to 2, ranks
-
-
-def test_quantisation_bounds_hold():
+@pytest.mark.parametrize("kind", [ann.Int8(), vafile.Cells()])
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e4, 1e15, 1e300])
+def test_bounds_hold(kind, scale):
     rng = np.random.default_rng(3)
-    for scale in (1e-20, 1.0, 1e15):
-        q, c = rng.normal(size=(20, 33)) * scale, rng.standard_t(2, size=(300, 33))
-        tile = ann.nearest_in_tile(5)
-        at, which, s = tile(np.arange(20), q, np.arange(100, 400), c)
-        exact = q @ c.T
-        for i in range(20):
-            assert set(np.argsort(-exact[i])[:5]) <= set(which[at == i])
-
-
-def test_cells_bound_every_component():
+    q, c = rng.normal(size=(20, 33)) * scale, rng.standard_t(2, size=(300, 33)) * 500
+    if isinstance(kind, vafile.Cells):
+        q, c = np.floor(q), np.floor(c * min(scale, 1e15))
+    low, high = kind.bounds(33, kind.queries(q), kind.candidates(c))
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = np.stack([kind.exact(np.repeat(q[i : i + 1], 300, 0), c) for i in range(20)])
+    fine = np.isfinite(exact)
+    assert fine.any()
+    assert (low <= exact)[fine].all() and (exact <= high)[fine].all() and not np.isnan(low).any() and not np.isnan(high).any()
+
+
+def test_cells_of_small_numbers_are_exact():
     rng = np.random.default_rng(4)
-    c = np.floor(rng.normal(size=(500, 9)) * 256)
-    cell, low, high = vafile.approximation(c)
-    d = np.arange(9)
-    assert (low[cell, d] <= c).all() and (c <= high[cell, d]).all() and cell.max() < vafile.CELLS
+    c, q = np.floor(rng.uniform(-120, 120, size=(500, 9))), np.floor(rng.normal(size=(7, 9)) * 256)
+    low, high = vafile.Cells().bounds(9, vafile.Cells().queries(q), vafile.Cells().candidates(c))
+    assert np.allclose(low, q @ c.T, rtol=1e-9, atol=1e-3) and np.allclose(low, high, rtol=1e-9, atol=1e-3)

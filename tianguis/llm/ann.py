@@ -1,10 +1,11 @@
 """Nearest neighbours by a block matrix join with quantised products.
 
-Vectors are scaled to int8, one scale each. A tile's int8 products (exact in
+Vectors are scaled to int8, one scale each, once per block; the blocks of int8 values are what the join sends.
+A tile's int8 products (exact in
 single precision, as they stay below 2**24) give every inner product within an
 error bound known from the two scales. A candidate whose upper bound is below the query's
-k-th largest lower bound in the tile cannot be among its k nearest; the others are
-computed again in double precision and merged by heaps. The
+k-th largest lower bound cannot be among its k nearest; the others are
+fetched, computed again in double precision and merged by heaps. The
 bounds make the result exact: recall is 1.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part.
@@ -22,30 +23,23 @@ from tianguis.llm.common import table
 
 #: Components whose int8 products sum below 2**24.
 EXACT_DIMENSIONS = 1024
-#: Pairs computed again at a time.
-CHUNK = 1 << 16
 
 
-def inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row-wise inner products, added from the first component to the last."""
-    out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * c[:, j]
-    return out
+class Int8:
+    """Components as int8 multiples of a scale per vector; further figures: the scales and the sums of absolute values."""
 
+    def candidates(self, v: np.ndarray) -> tuple[bytes, bytes]:
+        scale = np.abs(v).max(axis=1) / 127
+        with np.errstate(over="ignore", invalid="ignore"):
+            q = np.rint(v / np.where(scale > 0, scale, 1)[:, None])
+            total = np.abs(v).sum(axis=1)
+        return np.clip(q, -127, 127).astype(np.int8).tobytes(), np.stack([scale, total]).tobytes()
 
-def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Int8 values (held as single precision), the scale of each row, and each row's sum of absolute values."""
-    scale = np.abs(v).max(axis=1) / 127
-    with np.errstate(over="ignore", invalid="ignore"):
-        q = np.rint(v / np.where(scale > 0, scale, 1)[:, None])
-    return np.clip(q, -127, 127).astype(np.float32), scale, np.abs(v).sum(axis=1)
-
+    queries = candidates
 
-def nearest_in_tile(k: int):
-    def tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (a, sa, ta), (b, sb, tb), dim = quantised(q), quantised(c), q.shape[1]
-        product = np.zeros((len(q), len(c)))
+    def bounds(self, dim: int, q: tuple[bytes, bytes], c: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        (a, (sa, ta)), (b, (sb, tb)) = ((np.frombuffer(codes, np.int8).reshape(-1, dim).astype(np.float32), np.frombuffer(aux).reshape(2, -1)) for codes, aux in (q, c))
+        product = np.zeros((len(a), len(b)))
         for j in range(0, dim, EXACT_DIMENSIONS):
             product += a[:, j : j + EXACT_DIMENSIONS] @ b[:, j : j + EXACT_DIMENSIONS].T
         with np.errstate(over="ignore", invalid="ignore"):
@@ -54,23 +48,20 @@ def nearest_in_tile(k: int):
             error = (ta[:, None] * sb[None, :] + sa[:, None] * tb[None, :]) * 0.5 + dim * 0.25 * sa[:, None] * sb[None, :]
             error = error * (1 + 1e-6) + np.abs(near) * 1e-12
             low, high = near - error, near + error
-        own = qi[:, None] == ci[None, :]
-        low[own] = -np.inf
-        if len(c) > k:
-            bar = np.partition(low, len(c) - k, axis=1)[:, len(c) - k]
-        else:
-            bar = np.full(len(q), -np.inf)
-        at, which = np.nonzero(~(high < bar[:, None]) & ~own)
-        with np.errstate(over="ignore", invalid="ignore"):
-            s = np.concatenate([inner(q[at[i : i + CHUNK]], c[which[i : i + CHUNK]]) for i in range(0, len(at), CHUNK)] or [np.zeros(0)])
-        return at, which, s
+        return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
 
-    return tile
+    def exact(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Row-wise inner products, added from the first component to the last."""
+        out = np.zeros(len(q))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for j in range(q.shape[1]):
+                out += q[:, j] * c[:, j]
+        return out
 
 
 def nearest(vectors: DataFrame, chosen: str, k: int = 20) -> DataFrame:
     """The k nearest of the rows that ``chosen`` names: query_id, rank, vec_id, score."""
-    return best_matches(usable(vectors, zero_too=False), chosen, nearest_in_tile(k), k, "double")
+    return best_matches(usable(vectors, zero_too=False), chosen, Int8(), k, "double")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

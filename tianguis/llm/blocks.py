@@ -1,24 +1,30 @@
-"""Vectors in blocks, and the join of query blocks with candidate blocks.
-
-A block is one row: up to some number of vectors of one dimension, as bytes. Blocks are
-cut where the rows lie, so no key decides their size. Candidate blocks are dealt
-to ``groups`` by position, every query block is sent to each group once, and a
-task meets one pair of blocks at a time. Per pair, each query keeps only what may be among its k
-best; those short lists meet again by query block position and are merged: first those of one
-group, then ``FAN`` groups at a time, level by level, so that what a task holds does
-not grow with the table.
+"""Vectors in blocks of approximations, and the join of query blocks with candidate blocks.
+
+An approximation holds one byte per component and is made once, when the blocks are written; blocks are what
+the join sends. From two blocks, bounds of all their inner products follow at once. The join is a grid:
+candidate blocks are dealt to ``g`` rows of cells and query blocks to ``h`` columns, each block is
+sent to the cells of its row or column, and a cell compares all its pairs of blocks, with the k-th
+largest lower bound so far as each query's bar. What may still be among the k best of a query goes on: bounds and
+places only. Per query the bar is set again over all cells, then exact vectors are fetched by place: first of the
+best upper bounds, then of those that the k-th exact score found does not rule out. Scores are merged by heaps.
+
+Rows that are alike in id and vector are one entry with a count. Of equal vectors only those with the
+k + 1 smallest ids are candidates: no query can have another among its k best. A vector held by a
+third of all rows thus costs no more than any other.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
+from math import ceil, sqrt
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tianguis.llm.common import cut
@@ -26,12 +32,32 @@ from tianguis.llm.common import cut
 #: Vectors of a candidate block and of a query block.
 CANDIDATES = 4096
 QUERIES = 512
-#: Candidate vectors of a group: what one copy of the queries is sent for.
-GROUP = 16384
-#: Groups whose lists are merged at a time.
-FAN = 16
+#: Vectors of a cell, at most about: candidates, queries.
+GROUP = 262_144
+QUERY_GROUP = 16_384
+#: Pairs that make a cell worth while, and pairs that one cell compares at most.
+LEAST_PAIRS = 1 << 22
+MOST_PAIRS = 1 << 31
+#: Candidates of a block of queries that a cell holds before it drops those below the bar.
+HELD = 1 << 20
 
-BLOCK = "part int, block int, dim int, ids binary, vectors binary"
+BLOCK = "part int, block int, dim int, rows binary, ids binary, codes binary, aux binary"
+
+
+class Approximation(Protocol):
+    """One byte per component, and what bounds inner products with it."""
+
+    def candidates(self, v: np.ndarray) -> tuple[bytes, bytes]:
+        """Codes and further figures of a block of candidates."""
+
+    def queries(self, v: np.ndarray) -> tuple[bytes, bytes]:
+        """The same of a block of queries."""
+
+    def bounds(self, dim: int, q: tuple[bytes, bytes], c: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all inner products (queries x candidates), none of them NaN."""
+
+    def exact(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores of pairs of vectors, row by row."""
 
 
 def usable(vectors: DataFrame, zero_too: bool) -> DataFrame:
@@ -42,22 +68,28 @@ def usable(vectors: DataFrame, zero_too: bool) -> DataFrame:
     return v.filter(fine if zero_too else f"{fine} AND exists(v, x -> x <> 0)")
 
 
-def in_blocks(vectors: DataFrame, most: int) -> DataFrame:
-    """Blocks of (vec_id, v); one dimension per block."""
+def entries(vectors: DataFrame) -> DataFrame:
+    """(row, vec_id, v, times): the distinct rows of ``vectors`` (vec_id, v), written, with a place of their own."""
+    return cut(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+def in_blocks(rows: DataFrame, most: int, make) -> DataFrame:
+    """Blocks of (row, vec_id, v), written; one dimension per block, approximated by ``make``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[int, list[tuple[int, int, np.ndarray]]] = {}
 
         def block(dim: int) -> pd.DataFrame:
             rows = held.pop(dim)
-            ids = np.array([i for i, _ in rows], np.int64)
-            return pd.DataFrame({"part": [part], "block": [made], "dim": [dim], "ids": [ids.tobytes()], "vectors": [np.stack([v for _, v in rows]).astype(np.float64).tobytes()]})
+            codes, aux = make(np.stack([v for _, _, v in rows]).astype(np.float64))
+            at, ids = (np.array([r[k] for r in rows], np.int64).tobytes() for k in (0, 1))
+            return pd.DataFrame({"part": [part], "block": [made], "dim": [dim], "rows": [at], "ids": [ids], "codes": [codes], "aux": [aux]})
 
         for b in batches:
-            for i, v in zip(b["vec_id"], b["v"]):
+            for r, i, v in zip(b["row"], b["vec_id"], b["v"]):
                 rows = held.setdefault(len(v), [])
-                rows.append((i, v))
+                rows.append((r, i, v))
                 if len(rows) == most:
                     yield block(len(v))
                     made += 1
@@ -65,68 +97,111 @@ def in_blocks(vectors: DataFrame, most: int) -> DataFrame:
             yield block(dim)
             made += 1
 
-    return vectors.mapInPandas(run, BLOCK)
-
-
-def query_blocks(vectors: DataFrame, chosen: str, lots: int) -> DataFrame:
-    """Blocks of the rows that ``chosen`` names, dealt to ``lots`` tasks. They are written before they
-    are used: a row's place after the dealing follows the order in which map outputs were
-    fetched, so a block computed again after a lost executor might hold other rows."""
-    return cut(in_blocks(vectors.filter(chosen).repartition(lots), QUERIES), "queries")
+    return cut(rows.select("row", "vec_id", "v").mapInPandas(run, BLOCK), "blocks")
+
+
+def grid(queries: int, candidates: int, width: int) -> tuple[int, int]:
+    """Rows and columns of cells: enough for ``width`` tasks if there is work for them, for a
+    bounded number of pairs and of vectors per cell, and in the proportion that sends least."""
+    pairs = queries * candidates
+    tasks = max(1, min(pairs // LEAST_PAIRS, width), ceil(pairs / MOST_PAIRS))
+    g = max(1, min(ceil(candidates / CANDIDATES), round(sqrt(tasks * candidates / max(1, queries)))), ceil(candidates / GROUP))
+    return g, max(1, min(ceil(queries / QUERIES), ceil(tasks / g)), ceil(queries / QUERY_GROUP))
+
+
+def bounded(candidates: DataFrame, queries: DataFrame, g: int, h: int, kind: Approximation, k: int) -> DataFrame:
+    """(q_row, row, vec_id, low, high): per cell and query, the candidates that may be among its k best there."""
+
+    def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for y in q.itertuples(index=False):
+            q_rows, q_ids = np.frombuffer(y.rows, np.int64), np.frombuffer(y.ids, np.int64)
+            top = np.full((len(q_ids), k), -np.inf)
+            held, size = [], 0
+
+            def above() -> list[tuple[np.ndarray, ...]]:
+                """What is held and not below the bar, as one."""
+                at, *rest = (np.concatenate(x) for x in zip(*held))
+                keep = rest[-1] >= top.min(axis=1)[at]
+                return [(at[keep], *(x[keep] for x in rest))]
+
+            for x in c.itertuples(index=False):
+                if x.dim != y.dim:
+                    continue
+                rows, ids = np.frombuffer(x.rows, np.int64), np.frombuffer(x.ids, np.int64)
+                low, high = kind.bounds(x.dim, (y.codes, y.aux), (x.codes, x.aux))
+                own = q_ids[:, None] == ids[None, :]
+                low[own] = -np.inf
+                best = low if len(ids) <= k else np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k :]
+                top = np.partition(np.concatenate([top, best], axis=1), best.shape[1], axis=1)[:, best.shape[1] :]
+                at, which = np.nonzero((high >= top.min(axis=1)[:, None]) & ~own)
+                held.append((at, rows[which], ids[which], low[at, which], high[at, which]))
+                size += len(at)
+                if size > HELD:
+                    held = above()
+                    size = len(held[0][0])
+            if held:
+                ((at, rows, ids, low, high),) = above()
+                out.append(pd.DataFrame({"q_row": q_rows[at], "row": rows, "vec_id": ids, "low": low, "high": high}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["q_row", "row", "vec_id", "low", "high"])
+
+    def cells(side: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        dealt = side.withColumn(own, F.expr(f"CAST(pmod(xxhash64(part, block), {n}) AS INT)"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("g", "h")
+
+    # the function's name and no closure cell of this module goes to the workers
+    return cells(candidates, "g", g, "h", h).cogroup(cells(queries, "h", h, "g", g)).applyInPandas(lambda c, q: compare(c, q), "q_row long, row long, vec_id long, low double, high double")
+
+
+def scored(pairs: DataFrame, rows: DataFrame, kind: Approximation) -> DataFrame:
+    """(q_row, vec_id, times, score): the exact scores of ``pairs`` (q_row, row), by fetching the vectors."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dims = b["v"].map(len)
+            for _, f in b.groupby(dims):
+                s = kind.exact(np.stack(f["q"].to_numpy()), np.stack(f["v"].to_numpy()))
+                yield pd.DataFrame({"q_row": f["q_row"].to_numpy(), "vec_id": f["vec_id"].to_numpy(), "times": f["times"].to_numpy(), "score": s})
 
-Tile = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    c = rows.select("row", "vec_id", "times", "v")
+    q = rows.select(F.col("row").alias("q_row"), F.col("v").alias("q"))
+    return pairs.select("q_row", "row").join(c, "row").join(q, "q_row").select("q_row", "q", "vec_id", "times", "v").mapInPandas(run, "q_row long, vec_id long, times long, score double")
 
 
-def best_matches(vectors: DataFrame, chosen: str, tile: Tile, k: int, score: str) -> DataFrame:
+def best_matches(vectors: DataFrame, chosen: str, kind: Approximation, k: int, score: str) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, v) that ``chosen``
-    names, its k best among all rows with another vec_id, by score, ties to smaller ids.
-
-    ``tile(query ids, queries, candidate ids, candidates)`` returns query
-    positions, candidate positions and exact scores that hold each query's k best of the
-    tile; ``score`` is their type. Each repeated row is a candidate, and a query, of its own."""
-    size = vectors.agg(F.count("*").alias("n"), F.count(F.when(F.expr(chosen), 1)).alias("q")).first()
-    groups, lots = max(1, -(-size["n"] // GROUP)), max(1, -(-size["q"] // QUERIES))
-    kind = np.dtype("int64" if score == "long" else "float64")
-    found = f"found array<struct<vec_id: long, score: {score}>>"
-    listed = f"g int, part int, block int, row int, query_id long, {found}"
-
-    queries = query_blocks(vectors, chosen, lots)
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    candidates = in_blocks(vectors, CANDIDATES).withColumn("g", F.expr(f"CAST(pmod(xxhash64(part, block), {groups}) AS INT)"))
-    pairs = candidates.join(spread, "g").filter("dim = q_dim").select("g", "q_part", "q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, its k best among all rows with another vec_id, by score, ties to smaller ids. ``score`` is the
+    scores' type. Each repeated row is a candidate, and a query, of its own."""
+    rows = entries(vectors)
+    size = rows.agg(F.count("*").alias("n"), F.count(F.when(F.expr(chosen), 1)).alias("q")).first()
+    g, h = grid(size["q"], size["n"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    candidates = in_blocks(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1), CANDIDATES, kind.candidates)
+    asked = rows.filter(chosen)
+    queries = in_blocks(asked.repartition(max(1, ceil(size["q"] / QUERIES))), QUERIES, kind.queries)
+
+    listed = bounded(candidates, queries, g, h, kind, k).groupBy("q_row").agg(F.sort_array(F.collect_list(F.struct("high", "low", "row")), asc=False).alias("found"))
+    bar = f"CASE WHEN size(found) >= {k} THEN sort_array(transform(found, x -> x.low), false)[{k - 1}] ELSE -double('Infinity') END"
+    listed = cut(listed.withColumn("bar", F.expr(bar)).select("q_row", F.expr("filter(found, x -> x.high >= bar)").alias("found")), "bounds")
+
+    def fetched(pairs: DataFrame, found: str) -> DataFrame:
+        return scored(pairs.select("q_row", F.explode(F.expr(found)).alias("x")).select("q_row", "x.row"), rows, kind)
+
+    first = cut(fetched(listed, f"slice(found, 1, {2 * k})"), "first")
+    kth = first.groupBy("q_row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("q_row", F.expr(f"CASE WHEN size(s) >= {k} THEN s[{k - 1}] ELSE -double('Infinity') END").alias("kth"))
+    more = listed.filter(f"size(found) > {2 * k}").join(kth, "q_row")
+    rest = fetched(more, f"filter(slice(found, {2 * k + 1}, size(found)), x -> x.high >= kth)")
+    every = first.unionByName(rest).groupBy("q_row").agg(F.collect_list(F.struct("score", "vec_id", "times")).alias("s"))
+    whole = np.dtype("int64" if score == "long" else "float64")
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                qi, ci = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, c = np.frombuffer(r.q_vectors).reshape(-1, r.dim), np.frombuffer(r.vectors).reshape(-1, r.dim)
-                at, which, s = tile(qi, q, ci, c)
-                order = np.lexsort((ci[which], -s, at))
-                at, which, s = at[order], which[order], s[order]
-                first = np.searchsorted(at, np.arange(len(qi) + 1))
-                ids, s = ci[which].tolist(), s.astype(kind).tolist()
-                found = [[{"vec_id": ids[j], "score": s[j]} for j in range(first[i], min(first[i] + k, first[i + 1]))] for i in range(len(qi))]
-                yield pd.DataFrame({"g": r.g, "part": r.q_part, "block": r.q_block, "row": range(len(qi)), "query_id": qi, "found": found})
-
-    def merged(f: pd.DataFrame) -> Iterator[tuple[int, int, list[tuple[float, int]]]]:
-        """Row, query and its k best (negated score, vec_id) of all its lists, in order."""
-        for (row, query), lists in f.groupby(["row", "query_id"])["found"]:
-            yield row, query, list(islice(heapq.merge(*([(-x["score"], x["vec_id"]) for x in found] for found in lists)), k))
-
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
-        first = f.iloc[0]
-        rows = [(first["g"], first["part"], first["block"], row, query, [{"vec_id": i, "score": -s} for s, i in best]) for row, query, best in merged(f)]
-        return pd.DataFrame(rows, columns=["g", "part", "block", "row", "query_id", "found"])
-
-    def ranked(f: pd.DataFrame) -> pd.DataFrame:
-        rows = [(query, rank, i, -s) for _, query, best in merged(f) for rank, (s, i) in enumerate(best, 1)]
-        return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
-
-    lists = pairs.mapInPandas(run, listed).filter("size(found) > 0")
-    if groups > 1:
-        lists = lists.groupBy("g", "part", "block").applyInPandas(merge, listed)
-    while groups > FAN:
-        groups = -(-groups // FAN)
-        lists = lists.withColumn("g", F.expr(f"CAST(g div {FAN} AS INT)")).groupBy("g", "part", "block").applyInPandas(merge, listed)
-    return lists.groupBy("part", "block").applyInPandas(ranked, f"query_id long, rank int, vec_id long, score {score}")
+            out = []
+            for query, copies, s in zip(b["query_id"], b["copies"], b["s"]):
+                best = heapq.nsmallest(k, ((-x["score"], x["vec_id"]) for x in s for _ in range(min(x["times"], k))))
+                out += [(query, r, i, -v) for _ in range(copies) for r, (v, i) in enumerate(best, 1)]
+            f = pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+            yield f.assign(score=f["score"].astype(whole))
+
+    asked = asked.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("times").alias("copies"))
+    return every.join(asked, "q_row").select("query_id", "copies", "s").mapInPandas(merged, f"query_id long, rank int, vec_id long, score {score}")

@@ -1,10 +1,11 @@
 """Exact top-k by vector-approximation files.
 
-Each block of integer vectors carries a file of approximations: per dimension, the cell (one of
-``CELLS``, of equal width over the block) that holds the component. A query scans the cells
-first: with the cells' edges, the largest and smallest product of each
-component are known, and their sums bound the score. Exact vectors are then read in the order of
-the bounds, best first, until the k-th exact score beats every bound that is left.
+The table of integer vectors gets a file of approximations, written once: per block of vectors and dimension, the cell
+(one of ``CELLS``, of equal width over the block) that holds the component, one byte each. A query scans the
+cells first: a component lies between its cell's edges, so the sum of q * (edge + cell * width) over the
+dimensions, one product of matrices, bounds the score from both sides, with the widths as the gap. Exact
+vectors are then read in the order of the bounds, best first: twice k of them, then those that the k-th
+exact score does not rule out, which makes the k-th result certain.
 
 Larger products are better here, so the lower-bound order of distances is the
 upper-bound order of scores. Ties go on: a candidate whose bound equals the k-th score is still read.
@@ -23,58 +24,48 @@ from pyspark.sql import functions as F
 from tianguis.llm.blocks import best_matches, usable
 from tianguis.llm.common import table
 
-CELLS = 16
+CELLS = 256
 SCALE = 256
-#: Exact vectors read first, and in each later step, per query.
-FIRST_READ = 32
 LARGEST = (1 << 63) - 1024
 
 
-def approximation(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells (rows x dimensions) and their lower and upper edges (cells x dimensions)."""
-    low, high = c.min(axis=0), c.max(axis=0)
-    width = np.maximum(np.ceil((high - low + 1) / CELLS), 1)
-    cell = np.minimum((c - low) // width, CELLS - 1).astype(np.uint8)
-    edge = low + np.arange(CELLS)[:, None] * width
-    return cell, edge, np.minimum(edge + width - 1, high)
-
-
-def top_in_tile(k: int):
-    def tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cell, low, high = approximation(c)
-        dims = np.arange(c.shape[1])
-        bound = np.maximum(q, 0) @ high[cell, dims].T + np.minimum(q, 0) @ low[cell, dims].T
-        bound = np.where(np.isfinite(bound), bound * (1 + 1e-12 * np.sign(bound)), np.inf)
-        bound[qi[:, None] == ci[None, :]] = -np.inf
-        at, which, scores = [], [], []
-        for i in range(len(q)):
-            order = np.argsort(-bound[i], kind="stable")
-            order = order[: np.searchsorted(-bound[i][order], np.inf)]  # its own rows come last
-            read, step, s = 0, FIRST_READ, np.zeros(0)
-            while read < len(order):
-                if len(s) >= k and np.partition(s, len(s) - k)[len(s) - k] > bound[i, order[read]]:
-                    break
-                s = np.concatenate([s, exact(c[order[read : read + step]], q[i])])
-                read, step = min(read + step, len(order)), 2 * step
-            at.append(np.full(read, i))
-            which.append(order[:read])
-            scores.append(s)
-        s = np.concatenate(scores) if scores else np.zeros(0)
-        return np.concatenate(at), np.concatenate(which), np.where(np.abs(s) < LARGEST, s, np.sign(s) * LARGEST)
-
-    return tile
-
-
-def exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers held as doubles: sums below 2**53 are exact in any order."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        return c @ q
+class Cells:
+    """Cells of a block's candidates, with the lowest edge and the width per dimension; queries as they are."""
+
+    def candidates(self, v: np.ndarray) -> tuple[bytes, bytes]:
+        low, high = v.min(axis=0), v.max(axis=0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            width = np.maximum(np.ceil((high - low + 1) / CELLS), 1)
+            cell = np.floor((v - low) / width)
+        return np.clip(np.nan_to_num(cell), 0, CELLS - 1).astype(np.uint8).tobytes(), np.stack([low, width]).tobytes()
+
+    def queries(self, v: np.ndarray) -> tuple[bytes, bytes]:
+        return v.tobytes(), b""
+
+    def bounds(self, dim: int, q: tuple[bytes, bytes], c: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        v, (low, width) = np.frombuffer(q[0]).reshape(-1, dim), np.frombuffer(c[1]).reshape(2, dim)
+        cell = np.frombuffer(c[0], np.uint8).reshape(-1, dim).astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (v * width) @ cell.T + (v @ low)[:, None]
+            slack = 1e-12 * (np.abs(v) @ (np.abs(low) + CELLS * width))
+            slack[~np.isfinite(slack)] = np.inf  # sums may overflow on the way: no bound
+            near[np.isinf(slack)] = 0
+            least = near + (np.minimum(v, 0) @ (width - 1) - slack)[:, None]
+            most = near + (np.maximum(v, 0) @ (width - 1) + slack)[:, None]
+        # scores saturate, so their bounds do
+        return np.clip(np.nan_to_num(least, nan=-LARGEST), -LARGEST, LARGEST), np.clip(np.nan_to_num(most, nan=LARGEST), -LARGEST, LARGEST)
+
+    def exact(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Inner products of whole numbers held as doubles: sums below 2**53 are exact in any order."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = (q * c).sum(axis=1)
+        return np.where(np.abs(s) < LARGEST, s, np.sign(s) * LARGEST)
 
 
 def top_k(vectors: DataFrame, chosen: str, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k largest integer products."""
     whole = usable(vectors, zero_too=True).select("vec_id", F.expr(f"transform(v, x -> CAST(floor({SCALE} * x) AS DOUBLE))").alias("v"))
-    return best_matches(whole, chosen, top_in_tile(k), k, "long")
+    return best_matches(whole, chosen, Cells(), k, "long")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
