@@ -107,7 +107,7 @@ def test_bounds_hold(kind, scale):
     with np.errstate(over="ignore", invalid="ignore"):
         exact = np.stack([kind.exact(np.repeat(q[i : i + 1], 300, 0), c) for i in range(20)])
     fine = np.isfinite(exact)
-    assert fine.any()
+    assert fine.any() or scale == 1e300  # where sums overflow on the way there is no score to bound
     assert (low <= exact)[fine].all() and (exact <= high)[fine].all() and not np.isnan(low).any() and not np.isnan(high).any()
 
 
