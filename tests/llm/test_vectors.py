@@ -84,7 +84,7 @@ def test_blocks_are_written_once_and_hold_bytes(spark):
     for kind in (ann.Int8(), vafile.Cells()):
         made = blocks.in_blocks(rows, 64, kind.candidates)
         once, again = (sorted((r.part, r.block, bytes(r.ids), bytes(r.codes)) for r in made.collect()) for _ in range(2))
-        assert once == again and sum(len(c) for *_, c in once) == 400 * 2
+        assert once == again and sum(len(c) for *_, c in once) == 400 * 2 * (2 if isinstance(kind, ann.Int8) else 1)
     found = ann.nearest(table(spark, vectors(5)), "vec_id % 20 = 0", 5)
     assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString()
 
@@ -111,6 +111,25 @@ def test_bounds_hold(kind, scale):
     assert (low <= exact)[fine].all() and (exact <= high)[fine].all() and not np.isnan(low).any() and not np.isnan(high).any()
 
 
+def test_closer_bounds_hold():
+    rng = np.random.default_rng(5)
+    kind = ann.Int8()
+    for scale in (1e-20, 1.0, 1e15):
+        q, c = rng.normal(size=(20, 65)) * scale, rng.standard_t(2, size=(300, 65))
+        at, which = (x.ravel() for x in np.meshgrid(range(20), range(300), indexing="ij"))
+        packed = kind.queries(q), kind.candidates(c)
+        low, high = kind.closer(65, *packed, at, which)
+        wide_low, wide_high = kind.bounds(65, *packed)
+        exact = kind.exact(q[at], c[which])
+        assert (low <= exact).all() and (exact <= high).all()
+        assert ((high - low) * 100 < (wide_high - wide_low)[at, which]).all()
+
+
+def test_largest_lower_bounds():
+    at, low = np.array([2, 0, 2, 2, 0, 2]), np.array([1.0, 5.0, 3.0, 2.0, 7.0, 0.0])
+    assert [sorted(r) for r in blocks.largest(at, low, 3, 3).tolist()] == [[-inf, 5, 7], [-inf] * 3, [1, 2, 3]]
+
+
 def test_cells_of_small_numbers_are_exact():
     rng = np.random.default_rng(4)
     c, q = np.floor(rng.uniform(-120, 120, size=(500, 9))), np.floor(rng.normal(size=(7, 9)) * 256)

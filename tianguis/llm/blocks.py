@@ -4,8 +4,8 @@ An approximation holds one byte per component and is made once, when the blocks
 the join sends. From two blocks, bounds of all their inner products follow at once. The join is a grid:
 candidate blocks are dealt to ``g`` rows of cells and query blocks to ``h`` columns, each block is
 sent to the cells of its row or column, and a cell compares all its pairs of blocks, with the k-th
-largest lower bound so far as each query's bar. What may still be among the k best of a query goes on: bounds and
-places only. Per query the bar is set again over all cells, then exact vectors are fetched by place: first of the
+largest lower bound so far as each query's bar. Pairs that a tile leaves are bounded again, more closely, from what
+the blocks hold besides; what may then still be among the k best of a query goes on: bounds and places only. Per query the bar is set again over all cells, then exact vectors are fetched by place: first of the
 best upper bounds, then of those that the k-th exact score found does not rule out. Scores are merged by heaps.
 
 Rows that are alike in id and vector are one entry with a count. Of equal vectors only those with the
@@ -56,10 +56,23 @@ class Approximation(Protocol):
     def bounds(self, dim: int, q: tuple[bytes, bytes], c: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all inner products (queries x candidates), none of them NaN."""
 
+    def closer(self, dim: int, q: tuple[bytes, bytes], c: tuple[bytes, bytes], at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Closer bounds of the pairs (at, which) of a tile, or None where there are none."""
+
     def exact(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Scores of pairs of vectors, row by row."""
 
 
+def largest(at: np.ndarray, low: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k largest of the ``low`` of each of n queries (rows of a matrix, filled up with -inf)."""
+    order = np.lexsort((-low, at))
+    at, low = at[order], low[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    out = np.full((n, k), -np.inf)
+    out[at[place < k], place[place < k]] = low[place < k]
+    return out
+
+
 def usable(vectors: DataFrame, zero_too: bool) -> DataFrame:
     """(vec_id, v): rows whose vector, as doubles, is there, is not empty and has only finite
     components, and with ``zero_too`` also those that are zero throughout."""
@@ -133,9 +146,12 @@ def bounded(candidates: DataFrame, queries: DataFrame, g: int, h: int, kind: App
                 own = q_ids[:, None] == ids[None, :]
                 low[own] = -np.inf
                 best = low if len(ids) <= k else np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k :]
-                top = np.partition(np.concatenate([top, best], axis=1), best.shape[1], axis=1)[:, best.shape[1] :]
-                at, which = np.nonzero((high >= top.min(axis=1)[:, None]) & ~own)
-                held.append((at, rows[which], ids[which], low[at, which], high[at, which]))
+                bar = np.partition(np.concatenate([top, best], axis=1), best.shape[1], axis=1)[:, best.shape[1]]
+                at, which = np.nonzero((high >= bar[:, None]) & ~own)
+                low, high = kind.closer(x.dim, (y.codes, y.aux), (x.codes, x.aux), at, which) or (low[at, which], high[at, which])
+                # each candidate counts once: by its closer bound, or not at all
+                top = np.partition(np.concatenate([top, largest(at, low, len(q_ids), k)], axis=1), k, axis=1)[:, k:]
+                held.append((at, rows[which], ids[which], low, high))
                 size += len(at)
                 if size > HELD:
                     held = above()
@@ -182,7 +198,8 @@ def best_matches(vectors: DataFrame, chosen: str, kind: Approximation, k: int, s
 
     listed = bounded(candidates, queries, g, h, kind, k).groupBy("q_row").agg(F.sort_array(F.collect_list(F.struct("high", "low", "row")), asc=False).alias("found"))
     bar = f"CASE WHEN size(found) >= {k} THEN sort_array(transform(found, x -> x.low), false)[{k - 1}] ELSE -double('Infinity') END"
-    listed = cut(listed.withColumn("bar", F.expr(bar)).select("q_row", F.expr("filter(found, x -> x.high >= bar)").alias("found")), "bounds")
+    # as a lambda's argument the bar is computed once per query, not once per candidate
+    listed = cut(listed.select("q_row", F.expr(f"transform(array({bar}), b -> filter(found, x -> x.high >= b))[0]").alias("found")), "bounds")
 
     def fetched(pairs: DataFrame, found: str) -> DataFrame:
         return scored(pairs.select("q_row", F.explode(F.expr(found)).alias("x")).select("q_row", "x.row"), rows, kind)
