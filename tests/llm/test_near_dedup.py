@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from tianguis.llm.near_dedup import components, near_duplicates
+from tianguis.llm.near_dedup import DEPTH, SHALLOW, SPARSE, components, near_duplicates, neighbours, regions
 
 
 def shingles(text, k):
@@ -98,3 +99,62 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (200, 201)], "a long, b long")
     got = {r.label: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 200: 200, 201: 200}
+
+
+def orders(seed, n):
+    """Sorted (tree, o1, o2) with crowded and sparse prefixes."""
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, 3, (n, 8)) * (rng.random((n, 8)) < rng.choice([0.1, 0.5, 1.0], (n, 1)))
+    values[: n // 2, :4] = rng.integers(0, 30, (n // 2, 4))
+    tree = rng.integers(0, 2, n)
+    rows = sorted((int(t), *map(int, v)) for t, v in zip(tree, values))
+    pack = lambda v: v[0] << 48 | v[1] << 32 | v[2] << 16 | v[3]
+    return rows, np.array([r[0] for r in rows]), np.array([pack(r[1:5]) for r in rows], np.int64), np.array([pack(r[5:9]) for r in rows], np.int64)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_depth_of_a_region_follows_its_crowd(seed):
+    rows, tree, o1, o2 = orders(seed, 300)
+    crowd = {d: {} for d in range(SHALLOW, DEPTH + 1)}
+    for r in rows:
+        for d, c in crowd.items():
+            c[r[: d + 1]] = c.get(r[: d + 1], 0) + 1
+    for depth, (taken, key, _) in zip(crowd, regions(tree, o1, o2, False, False)):
+        for r, t in zip(rows, taken):
+            above = all(crowd[d][r[: d + 1]] > SPARSE for d in range(SHALLOW, depth))
+            n = crowd[depth][r[: depth + 1]]
+            assert t == (above and n > 1 and (n <= SPARSE or depth == DEPTH))
+        assert len({(r[: depth + 1], k) for r, k, t in zip(rows, key, taken) if t}) == len({k for k, t in zip(key, taken) if t}) == len({r[: depth + 1] for r, t in zip(rows, taken) if t})
+    assert any(t[0].any() for t in regions(tree, o1, o2, False, False))
+
+
+@pytest.mark.parametrize("cuts", [[], [150], [10, 11, 200, 201], list(range(5, 300, 7))])
+def test_rows_that_share_the_full_depth_meet_wherever_tasks_end(cuts):
+    rows, tree, o1, o2 = orders(9, 300)
+    found = [set() for _ in rows]
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        for taken, key, _ in regions(tree[a:b], o1[a:b], o2[a:b], True, True):
+            for i in np.flatnonzero(taken):
+                found[a + i].add(int(key[i]))
+    for i, x in enumerate(rows):
+        for j in range(i):
+            if rows[j][: DEPTH + 1] == x[: DEPTH + 1]:
+                assert found[i] & found[j]
+
+
+def test_regions_do_not_depend_on_batches(spark, monkeypatch):
+    import tianguis.llm.near_dedup as N
+
+    _, tree, o1, o2 = orders(3, 400)
+    forest = spark.createDataFrame([(int(t), int(a), int(b), i) for i, (t, a, b) in enumerate(zip(tree, o1, o2))], "tree int, o1 long, o2 long, label long").coalesce(1)
+    got = {}
+    for rows in (10_000, 3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        try:
+            got[rows] = sorted(map(str, neighbours(forest.sortWithinPartitions("tree", "o1", "o2", "label")).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[10_000] == got[3]
+    monkeypatch.setattr(N, "GATHERED", 5)  # a run is cut: its rows meet at the full depth at least
+    cut_up = N.neighbours(forest.sortWithinPartitions("tree", "o1", "o2", "label")).collect()
+    assert {r.label for r in cut_up} >= {r.label for r in neighbours(forest.sortWithinPartitions("tree", "o1", "o2", "label")).collect()}

@@ -2,9 +2,11 @@
 
 A document's set holds its distinct word shingles. Documents with equal sets
 form one node, whatever their number. ``TREES`` rotations of the signature give as many sorted
-orders of the nodes: each starts with ``DEPTH`` signature values (a region)
-and goes on with deeper ones, so that the neighbours of a node in the order
-are those with the longest common prefix, however crowded its region is.
+orders of the nodes by their signature values, so that the neighbours of a node in the order
+are those with the longest common prefix. The order is cut to regions, each a common prefix as short as its
+crowd allows: ``SHALLOW`` values where no more than ``SPARSE`` nodes share them, one more where these do not
+suffice, at most ``DEPTH``. Where few documents are alike, pairs thus meet that share few values; where many are,
+a region stays at ``DEPTH`` values and is compared whole, however crowded.
 
 1. Orders are dealt to tasks by range, so a crowded region is spread. Nodes
    alone in all their regions are done.
@@ -16,8 +18,9 @@ are those with the longest common prefix, however crowded its region is.
    is crowded. Pairs pass a bound on set sizes and on the sketches' distance (five
    standard deviations beyond what the threshold expects), then the full sets decide.
 
-A pair at the threshold itself (0.85) shares no region in any tree with probability
-(1 - 0.85**6) ** 32 = 3e-7, and fails the sketch bound with about the same.
+A pair that shares ``DEPTH`` values in some tree always meets. A pair at the threshold itself (0.85) shares
+them in no tree with probability (1 - 0.85**6) ** 32 = 3e-7, and fails the sketch bound with about the same; where
+its regions are sparse, the first is (1 - 0.85**4) ** 32 = 7e-11.
 
 A text with fewer words than a shingle has one shingle, all its words; one without
 words, or null, has an empty set and is linked with nothing. A row with a null doc_id is
@@ -41,8 +44,13 @@ from tianguis.llm.common import BROADCAST_ROWS, cut, table, worker_cache
 
 TREES = 32
 DEPTH = 6
-#: Deeper signature values that order the nodes of a region.
-DEEPER = 4
+#: Least depth of a region, and the most nodes that one of less than the full depth may hold.
+SHALLOW = 4
+SPARSE = 8
+#: Signature values that make up an order.
+ORDERED = 8
+#: Rows of one region that a task gathers before it cuts the region there.
+GATHERED = 50_000
 #: Neighbours that each node proposes.
 PROPOSALS = 8
 #: Standard deviations that the sketch bound leaves.
@@ -113,21 +121,22 @@ def shingler(words: int) -> Shingler:
 
 
 def describe(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Region keys and deeper order values per tree, and the sketch (two bits of
-    each value), of signatures (rows)."""
+    """Per tree, the hash of the first DEPTH values and the order (16 bits of a hash of each of the
+    first eight values, four to a word), and the sketch (two bits of each value), of signatures (rows)."""
     n = len(sig)
-    wide = np.concatenate([sig, sig[:, : DEPTH + DEEPER]], axis=1).astype(np.uint64)
+    wide = np.concatenate([sig, sig[:, :ORDERED]], axis=1).astype(np.uint64)
     f, keys = odd_constants(DEPTH + 1, 14, 64), np.zeros((n, TREES), np.uint64)
     for j in range(DEPTH):
         keys += wide[:, j : j + SIZE : DEPTH] * f[j]
     keys = mix(mix(keys) + np.arange(TREES, dtype=np.uint64) * f[DEPTH])
-    order = np.zeros((n, TREES), np.uint64)
-    for j in range(DEEPER):
-        order = order << np.uint64(16) | wide[:, DEPTH + j : DEPTH + j + SIZE : DEPTH] >> np.uint64(16)
+    order = np.zeros((2, n, TREES), np.uint64)
+    short = (wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    for j in range(ORDERED):
+        order[j // 4] = order[j // 4] << np.uint64(16) | short[:, j : j + SIZE : DEPTH]
     two = sig ^ (sig >> np.uint32(7)) ^ (sig >> np.uint32(15))
     bit = np.stack([two & np.uint32(1), (two >> np.uint32(1)) & np.uint32(1)], axis=2).reshape(n, -1)
     bits = np.packbits(bit.astype(np.uint8), axis=1).view(">u8").astype(np.int64)
-    return keys.view(np.int64), order.view(np.int64), bits
+    return keys.view(np.int64), np.concatenate([*order], axis=1).view(np.int64), bits
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -146,36 +155,60 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, orders array<long>, sketch array<long>")
 
 
+def regions(tree: np.ndarray, o1: np.ndarray, o2: np.ndarray, open_first: bool, open_last: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The regions of sorted rows: for each depth, the rows in regions of that depth, their region's key,
+    and whether the row before is in the same region.
+
+    A run of rows with a common prefix is a region of that depth if it holds at most SPARSE rows, or if it has the full
+    depth; otherwise its parts of the next depth are looked at. A run at an open end may go on in another
+    task, which sees only its own part: it is taken at every depth it could have, so that rows of one run meet."""
+    n, out = len(tree), []
+    same = (tree[1:] == tree[:-1]) & (o1[1:] == o1[:-1])
+    going = np.ones(n, bool)
+    for depth in range(SHALLOW, DEPTH + 1):
+        drop = np.uint64(16 * (ORDERED - depth))
+        prefix = o2.view(np.uint64) >> drop if depth > 4 else np.zeros(n, np.uint64)
+        starts = np.r_[True, ~(same & (prefix[1:] == prefix[:-1]))]
+        run = np.cumsum(starts) - 1
+        size = np.bincount(run)[run]
+        ends = ((run == 0) & open_first) | ((run == run[-1]) & open_last)
+        small = size <= SPARSE if depth < DEPTH else np.ones(n, bool)
+        taken = going & small & ((size > 1) | ends)
+        key = mix(mix(mix(o1.view(np.uint64) + tree.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + prefix) + np.uint64(depth))
+        out.append((taken, key.view(np.int64), ~starts))
+        going &= ~small | ends
+    return out
+
+
 def neighbours(forest: DataFrame) -> DataFrame:
-    """(key, tree, label, prev) of the rows that share their region with a neighbour in
-    the sorted order; prev is the neighbour before, in the same region. The
-    first and last row of a task are kept too: theirs may be in another task."""
+    """(key, tree, label, prev) of the rows of ``forest`` (tree, o1, o2, label), sorted, that share a region with
+    others, once per region; prev is the neighbour before in the same region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # rows not yet given out: the last row, after the one before it
-        first = True
+        held, open_first = None, True  # rows of the last run, which may go on
         for b in batches:
-            f = b if held is None else pd.concat([held, b])
-            lo = 0 if held is None else len(held) - 1
-            yield given(f, lo, len(f) - 1, first, False)
-            first, held = first and len(f) < 2, f.iloc[-2:]
-        if held is not None:
-            yield given(held, len(held) - 1, len(held), first, True)
-
-    def given(f: pd.DataFrame, lo: int, hi: int, first: bool, last: bool) -> pd.DataFrame:
-        key, label = f["key"].to_numpy(), f["label"].to_numpy()
-        same = key[1:] == key[:-1]
-        before, after = np.r_[False, same], np.r_[same, False]
-        prev = np.where(before, np.r_[0, label[:-1]], 0)
-        keep = before | after
-        if first:
-            keep[0] = True
-        if last:
-            keep[-1] = True
-        at = lo + np.flatnonzero(keep[lo:hi])
-        p = pd.array(prev[at], "Int64")
-        p[~before[at]] = pd.NA
-        return pd.DataFrame({"key": key[at], "tree": f["tree"].to_numpy()[at], "label": label[at], "prev": p})
+            f = b if held is None else pd.concat([held, b], ignore_index=True)
+            tree, o1 = f["tree"].to_numpy(), f["o1"].to_numpy()
+            new = np.flatnonzero((tree[1:] != tree[:-1]) | (o1[1:] != o1[:-1]))
+            if len(new):
+                yield given(f.iloc[: new[-1] + 1], open_first, False)
+                held, open_first = f.iloc[new[-1] + 1 :], False
+            elif len(f) < GATHERED:
+                held = f
+            else:
+                yield given(f, open_first, True)
+                held, open_first = None, True
+        if held is not None and len(held):
+            yield given(held, open_first, True)
+
+    def given(f: pd.DataFrame, open_first: bool, open_last: bool) -> pd.DataFrame:
+        tree, label = f["tree"].to_numpy(), f["label"].to_numpy()
+        before, out = np.r_[label[:1], label[:-1]], []
+        for taken, key, follows in regions(tree, f["o1"].to_numpy(), f["o2"].to_numpy(), open_first, open_last):
+            prev = pd.array(before[taken], "Int64")
+            prev[~follows[taken]] = pd.NA
+            out.append(pd.DataFrame({"key": key[taken], "tree": tree[taken], "label": label[taken], "prev": prev}))
+        return pd.concat(out)
 
     return forest.mapInPandas(run, "key long, tree int, label long, prev long")
 
@@ -282,9 +315,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     first = {c: F.first(c).alias(c) for c in ("n_shingles", "keys", "orders", "sketch")}
     nodes = cut(sigs.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *first.values()).withColumn("label", F.monotonically_increasing_id()), "nodes")
 
-    forest = nodes.select("label", F.posexplode(F.arrays_zip("keys", "orders")).alias("tree", "x")).select(F.col("x.keys").alias("key"), F.col("x.orders").alias("ord"), "label", "tree")
+    each = F.posexplode(F.arrays_zip("keys", F.slice("orders", 1, TREES).alias("o1"), F.slice("orders", TREES + 1, TREES).alias("o2")))
+    forest = nodes.select("label", each.alias("tree", "x")).select("tree", F.col("x.o1").alias("o1"), F.col("x.o2").alias("o2"), "label")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ["key", "ord", "label"]
+    order = ["tree", "o1", "o2", "label"]
     active = cut(neighbours(forest.repartitionByRange(width, *order).sortWithinPartitions(*order)), "active")
 
     differ = (1 - num / den) * 3 / 4  # unequal values still agree in their two bits one time in four
@@ -316,8 +350,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     placed = cut(placed.join(mixed, "key").join(side("a"), "a"), "placed")
     few = placed.filter(f"crowd <= {CROWD}").drop("top_n")
     other = few.drop("tree", "crowd").toDF(*(c if c == "key" else "b" + c[1:] if c[0] == "a" else f"b_{c}" for c in few.columns if c not in ("tree", "crowd")))
-    # A pair that shares several regions comes up in the first of them only.
-    first_shared = "array_position(zip_with(a_keys, b_keys, (x, y) -> x = y), true) = tree + 1"
+    # A pair that shares all DEPTH values in several trees comes up in the first of them only.
+    first_shared = "array_position(zip_with(a_keys, b_keys, (x, y) -> x = y), true) IN (0, tree + 1)"
     open_pairs = (few.filter("comp <> top").join(other, "key")
                   .filter(f"comp <> b_comp AND (b_comp = b_top OR a < b) AND {near} AND {first_shared}")
                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
