@@ -22,7 +22,7 @@ def odd_texts(n=400):
     rng = random.Random(1)
     pool = "abcdefghij  KLM'\"!?.,123½²éÉüß漢字кирΣσς İı́\x1c\x85　🙂👍🏽\n\t-_'s't're'll"
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(n)]
-    return texts + ["hello <|endoftext|>world<|startoftext|><|endoftext|> <|endof", "", "   ", "a" * 5000, "!?" * 2000]
+    return texts + ["A <|ENDOFTEXT|> B <|endoftext|>É", "ÀÉÎÕÜ's Straße, ÑANDÚ. Ǆ ǅ ŉ ſ ÿŸ 1É2", "hello <|endoftext|>world<|startoftext|><|endoftext|> <|endof", "", "   ", "a" * 5000, "!?" * 2000]
 
 
 def test_equals_the_library(bpe, library):

@@ -28,6 +28,8 @@ from tianguis.llm.common import PieceCache, table, worker_cache
 
 #: The vocabulary file's word splitter, for ASCII text after lower-casing.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Latin letters with marks, among others.
+LATIN = range(0xC0, 0x250)
 END = "</w>"
 #: White space of the vocabulary's normaliser; str.split() also cuts at \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -53,24 +55,42 @@ def split_spaces(text: str) -> list[str]:
     return text.split()
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z lower-cased, nothing else. Doing so before normalising changes no word and leaves fewer spellings to remember."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 class Splitter:
-    """Words, in byte characters, of the pieces between white space. ASCII pieces are lower-cased and
-    split here; any other goes through the vocabulary file's own normaliser and splitter, so
-    that letters, numbers, compositions and lower case are those of the tokenizers library, whatever Python's
-    tables say. No character composes or joins a word across white space, so pieces can go alone."""
+    """Words, in byte characters, of the pieces between white space, as the vocabulary file's own
+    normaliser and splitter make them, whatever Python's tables say of letters, numbers and lower case.
+    The Latin letters that the two leave single and whole are looked up once; pieces of these and ASCII are split here,
+    any other piece by the two themselves. No character composes or joins a word across white space, so
+    pieces can go alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         self.normalise, self.split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
+        self.low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+        for i in LATIN:
+            low = self.normalise(f"a{chr(i)}a")[1:-1]
+            if len(low) == 1 and ord(low) in LATIN and len(self.split(f"a{low}a")) == 1:
+                self.low[i] = low
+        known = "".join(map(chr, (i for i in self.low if i in LATIN)))
+        letters = "a-z" + "".join(sorted({c for c in self.low.values() if not c.isascii()}))
+        self.plain = re.compile(f"[\\x00-\\x7f{known}]+").fullmatch
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+").findall
 
     def __call__(self, piece: str) -> list[str]:
-        if not piece.isascii():
+        if piece.isascii():
+            piece = piece.lower()
+            words = [piece] if piece.isalpha() else ASCII_WORD.findall(piece)
+        elif self.plain(piece):
+            words = self.words(piece.translate(self.low))
+        else:
             return [w for w, _ in self.split(self.normalise(piece))]
-        piece = piece.lower()
-        words = [piece] if piece.isalpha() else ASCII_WORD.findall(piece)
-        return words if piece.isprintable() else ["".join([CHARS[ord(c)] for c in w]) for w in words]
+        return [w if w.isascii() and w.isprintable() else "".join([CHARS[b] for b in w.encode()]) for w in words]
 
 
 def byte_chars() -> list[str]:
@@ -271,7 +291,7 @@ class Bpe:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Per text, its ids and its decoded text, both joined by a space."""
-        cut = [[[(p,)] if special else split_spaces(p) for special, p in self.segments(t)] for t in texts]
+        cut = [[[(p,)] if special else split_spaces(ascii_lower(p)) for special, p in self.segments(t)] for t in texts]
         known = self.pieces.of({p for parts in cut for ps in parts for p in ps if p.__class__ is str})
         for parts in cut:
             got = [(str(self.specials[p[0]]), p[0]) if p.__class__ is tuple else known[p] for ps in parts for p in ps]

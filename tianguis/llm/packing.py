@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tianguis.llm.bpe import Splitter, default_vocab, split_spaces
+from tianguis.llm.bpe import Splitter, ascii_lower, default_vocab, split_spaces
 from tianguis.llm.common import cut, table, worker_cache
 
 WINDOW = 4096
@@ -93,7 +93,8 @@ class WordIds:
         self.words.turn()
         self.pieces.turn()
         known = self.pieces.__getitem__
-        return [b"".join(map(known, split_spaces(t))) for t in texts]
+        # a special token must be written in lower case, so texts that may hold one stay as they are
+        return [b"".join(map(known, split_spaces(t if "<|" in t else ascii_lower(t)))) for t in texts]
 
 
 class Packer:
