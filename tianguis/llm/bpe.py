@@ -37,7 +37,7 @@ EXTRA_SPLIT = re.compile("[\x1c-\x1f]")
 NEVER = np.int64(1) << 60
 NO_RANK = 1 << 60
 #: Half of the pieces, and of the words, that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Up to this many symbols a word is merged by scanning its pairs, beyond by a heap.
 SCAN_SYMBOLS = 48
 
