@@ -25,6 +25,23 @@ def test_bundle_is_the_sum_of_bound_permuted_letters():
     assert (hd.bundle(*np.unique(codes, return_counts=True)) == want).all()
 
 
+def test_letters_of_alphabets_have_symbols_of_their_own():
+    hd = Letters(64)
+    points = [i for i in range(0x4EF) if chr(i).isalpha() and chr(i).lower() == chr(i)]
+    assert len({int(hd.symbol[i]) for i in points}) == len(points) and 0 not in hd.symbol[points]
+    assert hd.symbol.max() == SYMBOLS - 1 and SYMBOLS**3 < 1 << 31
+    last = chr(int(np.flatnonzero(hd.symbol == SYMBOLS - 1)[0]))
+    assert hd.trigrams(last * 3).min() >= 0
+
+
+def test_scripts_are_told_apart(spark):
+    """Texts of three alphabets, none with a letter of a to z, one language each."""
+    train = [(1, "привет мир как дела", "ru"), (2, "γεια σου κοσμε τι κανεις", "el"), (3, "ñandú ÿ þæð øåœ", "x")]
+    learned = profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "мир и привет"), (2, "κοσμε γεια"), (3, "þæð øåœ")], "doc_id long, text string")
+    assert [r.lang_pred for r in identify(docs, learned).collect()] == ["ru", "el", "x"]
+
+
 def test_edges(spark):
     train = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "123 !!", "es"), (5, "no language", None)]
     learned = profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"))

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tianguis.llm.common import table, worker_cache
 
 DIMENSIONS = 1024
-#: Symbols: 0 between words, 1 to 26 for a to z, the others shared by all other letters.
-SYMBOLS = 128
+#: Symbols: 0 between words, 1 to 26 for a to z, the others by code point for all other letters: those of the Latin, Greek
+#: and Cyrillic alphabets up to U+04EE have one each, later ones share. The most whose trigrams can be numbered in 32 bits.
+SYMBOLS = 1290
 UNDETERMINED = "und"
 SEED = 20
 #: Letters of a long text that are bundled at a time.
@@ -45,7 +46,7 @@ class Letters:
         self.dimensions = dimensions
         points = np.arange(0x110000, dtype=np.int64)
         alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.symbol = np.where(alpha, 27 + points * 40503 % (SYMBOLS - 27), 0).astype(np.int32)
+        self.symbol = np.where(alpha, 27 + points % (SYMBOLS - 27), 0).astype(np.int32)
         self.symbol[97:123] = np.arange(1, 27)
 
     def trigrams(self, text: str) -> np.ndarray:
