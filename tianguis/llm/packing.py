@@ -68,7 +68,8 @@ class Remembered(dict):
 class WordIds:
     """Ids of whole texts by the tokenizers library: each distinct word, as the
     vocabulary's word splitter cuts it, goes through the library's model once
-    and is kept as little-endian bytes."""
+    and is kept as little-endian bytes. A word of ASCII letters is a piece of its own and is kept
+    among the pieces only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -87,7 +88,10 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         if "<|" in piece:  # may hold a special token, which is not normalised
             return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.words[w] for w in self.words_of(piece)])
+        words = self.words_of(piece)
+        if words == [piece]:
+            return self._word(piece)
+        return b"".join([self.pieces[w] if w.isascii() and w.isalpha() else self.words[w] for w in words])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.words.turn()
