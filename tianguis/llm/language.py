@@ -44,9 +44,9 @@ class Letters:
         base = (rng.integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1).astype(np.int8)
         self.placed = [np.roll(base, 2 - i, axis=1) for i in range(3)]
         self.dimensions = dimensions
-        points = np.arange(0x110000, dtype=np.int64)
+        points = np.arange(0x110000, dtype=np.int32)
         alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.symbol = np.where(alpha, 27 + points % (SYMBOLS - 27), 0).astype(np.int32)
+        self.symbol = np.where(alpha, 27 + points % (SYMBOLS - 27), 0)
         self.symbol[97:123] = np.arange(1, 27)
 
     def trigrams(self, text: str) -> np.ndarray:
