@@ -37,7 +37,7 @@ SLACK = 16
 FAN = 32
 END_ID = 2
 #: Half of the pieces, and of the words, that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 125_000
 #: Below this many bits of a window's number count windows of one task; above them stand level and task.
 WINDOW_BITS = 30
 
