@@ -37,7 +37,7 @@ SLACK = 16
 FAN = 32
 END_ID = 2
 #: Half of the pieces, and of the words, that a worker remembers.
-CACHE_WORDS = 125_000
+CACHE_WORDS = 250_000
 #: Below this many bits of a window's number count windows of one task; above them stand level and task.
 WINDOW_BITS = 30
 
@@ -71,7 +71,7 @@ class WordIds:
     and is kept as little-endian bytes. A word of ASCII letters is a piece of its own and is kept
     among the pieces only."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,8 +79,8 @@ class WordIds:
         self.tokenizer.no_padding()
         self.words_of = Splitter(path)
         self.model = self.tokenizer.model.tokenize
-        self.words = Remembered(CACHE_WORDS, self._word)
-        self.pieces = Remembered(CACHE_WORDS, self._piece)
+        self.words = Remembered(remembered, self._word)
+        self.pieces = Remembered(remembered, self._piece)
 
     def _word(self, word: str) -> bytes:
         return np.array([t.id for t in self.model(word)], "<u4").tobytes()
@@ -196,14 +196,14 @@ def merger(level: int, last: bool, open_windows: int, slack: int):
     return merge
 
 
-def pack(docs: DataFrame, vocab_path: str | None = None, open_windows: int = OPEN_WINDOWS, slack: int = SLACK) -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str | None = None, open_windows: int = OPEN_WINDOWS, slack: int = SLACK, remembered: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset."""
+    sequence_id, offset. Workers remember about 2 * ``remembered`` pieces, and words, which costs memory and spares time."""
     docs = docs.select("doc_id", "text")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = vocab_path or default_vocab()
-        encode = worker_cache(f"ids:{path}", lambda: WordIds(path))
+        encode = worker_cache(f"ids:{path}:{remembered}", lambda: WordIds(path, remembered))
         part = TaskContext.get().partitionId()
         packer, close = Packer(part, open_windows, slack), np.array([END_ID], "<u4").tobytes()
         for b in batches:
