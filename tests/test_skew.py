@@ -90,6 +90,44 @@ def test_hot_product_category_totals_are_exact(spark):
     assert got == {"Sin categoría": (sum(r["u"] for r in brute), float(sum(r["r"] for r in brute)))}
 
 
+def _products_of_many_kinds(spark):
+    """A category with most products, products of two categories, repeated products, labels shared and repeated."""
+    products = [{"product_id": f"p{j:02d}", "product_category_name": "big"} for j in range(30)]
+    products += [{"product_id": "p40", "product_category_name": c} for c in ("big", "big", "none")]
+    products += [{"product_id": "p41", "product_category_name": c} for c in (None, "none")]
+    products += [{"product_id": f"p5{j}", "product_category_name": c} for j, c in enumerate((None, "none", "two", "two", "same"))]
+    translation = [{"product_category_name": a, "product_category_name_english": b}
+                   for a, b in (("big", "Big"), ("two", "T1"), ("two", "T2"), ("two", "T2"), ("same", "Big"))]
+    items = [item("o", n, price=1 + (7 * n) % 11, product=q["product_id"]) for n, q in enumerate(products)]
+    items += [item("o", 90, product="p55") | {"price": None}, item("o", 91, price=500, product="unknown")]
+    return marketplace(spark, orders=[order("o")], items=items, products=products + [{"product_id": "p55"}],
+                       translation=translation)
+
+
+def test_top_products_equal_the_row_level_statement(spark):
+    mk = _products_of_many_kinds(spark)
+    rows = (mk.items.join(mk.orders, "order_id").join(mk.products, "product_id").join(mk.translation, "product_category_name", "left")
+            .groupBy("product_id", F.coalesce("product_category_name_english", F.lit("Sin categoría")).alias("c"))
+            .agg(F.count("order_item_id").alias("u"), F.sum("price").alias("r")).collect())
+    rows = sorted(rows, key=lambda r: (r["r"] is None, -(r["r"] or 0), r["product_id"], r["c"]))
+    want = [(r["product_id"], r["c"], r["u"], None if r["r"] is None else float(r["r"])) for r in rows]
+    assert len({r[:2] for r in want}) == len(want) > 40 and want[-1][3] is None
+    for k in (1, 2, 3, 5, 10, 100):
+        got = geo.top_products(mk, P.with_(top_products=k)).drop("precio_promedio").collect()
+        assert [tuple(r) for r in got] == want[:k], k
+
+
+def test_few_products_of_a_category_meet_its_label(spark):
+    mk = _products_of_many_kinds(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = geo.top_products(mk, P)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_kind = [i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(_kind", line)]
+    assert len(by_kind) == 1 and "WindowGroupLimit" in lines[by_kind[0] + 1] and "Partial" in lines[by_kind[0] + 1]
+
+
 def test_hot_order_groups_form_where_the_join_left_the_rows(spark):
     """Items cross one exchange by order id; (order, seller) groups need no further one, and the
     rows are summed per seller before the exchange by seller."""

@@ -11,6 +11,7 @@ one row per key on each side, and category labels meet one row per category.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tianguis.functions import labels as L
@@ -24,9 +25,6 @@ from tianguis.params import Params
 from tianguis.plans.common import in_scope, valid_payments
 from tianguis.sources.model import Marketplace
 
-#: Tasks that share the products of one category when labels are attached per product.
-LABEL_SALTS = 64
-
 
 # ---------------------------------------------------------------- buyer side
 def paid_by_buyers(mk: Marketplace, p: Params, *order_cols: str) -> DataFrame:
@@ -122,36 +120,27 @@ def state_balance(mk: Marketplace, p: Params) -> DataFrame:
 CATEGORY_SUMS = ("units", "sp", "np", "sf", "nf")
 
 
-def _product_base(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per product sold in delivered orders (and further columns of the orders): sums, and
-    the name of its category."""
-    per_product = (_delivered_items(mk, p, "product_id", "order_item_id", "price", "freight_value", by=by)
-                   .groupBy("product_id", *by)
-                   .agg(F.count("order_item_id").alias("units"),
-                        F.sum("price").alias("sp"), F.count("price").alias("np"),
-                        F.sum("freight_value").alias("sf"), F.count("freight_value").alias("nf")))
-    prod = mk.products.select("product_id", "product_category_name")
-    return per_product.join(prod, "product_id", "inner")
+def _per_product(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums per product sold in delivered orders (and further columns of the orders)."""
+    return (_delivered_items(mk, p, "product_id", "order_item_id", "price", "freight_value", by=by)
+            .groupBy("product_id", *by)
+            .agg(F.count("order_item_id").alias("units"),
+                 F.sum("price").alias("sp"), F.count("price").alias("np"),
+                 F.sum("freight_value").alias("sf"), F.count("freight_value").alias("nf")))
 
 
-def _labelled(df: DataFrame, mk: Marketplace, spread: str | None = None) -> DataFrame:
+def _labelled(df: DataFrame, mk: Marketplace) -> DataFrame:
     """``df`` with the label of its category: the translated name, or the fixed
-    'no category' label when the category is NULL or has no translation. With
-    ``spread``, a key of many rows, each category is dealt to LABEL_SALTS tasks, and
-    the translations (one row per category) are repeated for them."""
+    'no category' label when the category is NULL or has no translation."""
     tr = mk.translation.select("product_category_name", "product_category_name_english")
-    on = ["product_category_name"]
-    if spread:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(LABEL_SALTS)).cast("int"))
-        tr = tr.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
-        on = [*on, "_salt"]
     label = F.coalesce(F.col("product_category_name_english"), F.lit(L.NO_CATEGORY))
-    return df.join(tr, on, "left").withColumn("categoria", label)
+    return df.join(tr, "product_category_name", "left").withColumn("categoria", label)
 
 
 def category_sums(mk: Marketplace, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     """Products summed per category name (and further columns of the orders)."""
-    return (_product_base(mk, p, by).groupBy("product_category_name", *by)
+    prod = mk.products.select("product_id", "product_category_name")
+    return (_per_product(mk, p, by).join(prod, "product_id", "inner").groupBy("product_category_name", *by)
             .agg(*[F.sum(c).alias(c) for c in CATEGORY_SUMS]))
 
 
@@ -200,13 +189,27 @@ def category_quadrants(mk: Marketplace, p: Params) -> DataFrame:
     return top_k(g, [F.col("revenue").desc_nulls_last(), F.col("categoria").asc()], p.top_categories_quadrants)
 
 
+def best_per_kind(sold: DataFrame, mk: Marketplace, k: int) -> DataFrame:
+    """Of the products of one kind (the same category names, each as often) the k of largest
+    revenue, one row per category name. Labels repeat the sums of one kind's products alike, so the k
+    largest labelled products are among these. Each task keeps k products per kind before any exchange
+    by kind, however many products a category has."""
+    names = mk.products.groupBy("product_id").agg(F.collect_list(F.struct("product_category_name")).alias("_names"))
+    kind = F.to_json(F.sort_array("_names"))  # a plain string also where names are collated
+    order = W.partitionBy("_kind").orderBy(F.col("sp").desc_nulls_last(), F.col("product_id").asc())
+    best = (sold.join(names, "product_id", "inner").withColumn("_kind", kind)
+            .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k))
+    return best.select("product_id", "units", "sp", "np", F.inline("_names"))
+
+
 def top_products(mk: Marketplace, p: Params) -> DataFrame:
-    g = (_labelled(_product_base(mk, p), mk, "product_id").groupBy("product_id", "categoria")
-         .agg(F.sum("units").alias("unidades_vendidas"), F.sum("sp").alias("sp"), F.sum("np").alias("np"))
-         .select("product_id", "categoria", "unidades_vendidas",
-                 round_half_up("sp", 2).alias("revenue"),
-                 round_half_up(safe_div("sp", "np"), 2).alias("precio_promedio")))
-    return top_k(g, [F.col("revenue").desc_nulls_last(), F.col("product_id").asc()], p.top_products)
+    """Only candidates meet the category labels: k products per kind. Ties by product, then label."""
+    k = p.top_products
+    g = (_labelled(best_per_kind(_per_product(mk, p), mk, k), mk).groupBy("product_id", "categoria")
+         .agg(F.sum("units").alias("unidades_vendidas"), F.sum("sp").alias("sp"), F.sum("np").alias("np")))
+    t = top_k(g, [F.col("sp").desc_nulls_last(), F.col("product_id").asc(), F.col("categoria").asc()], k)
+    return t.select("product_id", "categoria", "unidades_vendidas", round_half_up("sp", 2).alias("revenue"),
+                    round_half_up(safe_div("sp", "np"), 2).alias("precio_promedio"))
 
 
 def category_mart(mk: Marketplace, p: Params) -> DataFrame:
