@@ -42,4 +42,6 @@ def save_bucketed(spark: SparkSession, mk: Marketplace, base_dir: str, buckets:
 
 
 def load_bucketed(spark: SparkSession, names: dict[str, str]) -> Marketplace:
-    return Marketplace(**{field: spark.read.table(table) for field, table in names.items()})
+    mk = Marketplace(**{field: spark.read.table(table) for field, table in names.items()})
+    mk.bucketed = True
+    return mk
