@@ -10,7 +10,8 @@ from tianguis.plans import extras, sellers
 from tianguis.sources.model import TABLES, Marketplace
 
 P = Params(scorecard_min_orders=1, scorecard_mart_min_orders=1)
-PLANS = (sellers.seller_segments, extras.top_seller_share)
+PLANS = (sellers.seller_segments, sellers.seller_scorecard, sellers.top_sellers, sellers.bottom_sellers,
+         sellers.seller_scorecard_mart, extras.top_seller_share)
 
 
 def _parts(spark, plan, mk, p):
