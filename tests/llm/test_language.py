@@ -82,3 +82,18 @@ def test_the_bar_lies_below_right_answers(spark):
     low = [r.score for r in identify(docs.filter("doc_id = 99"), learned).collect()][0]
     assert least_confidence(docs, learned) == min(low, CHANCE / DIMENSIONS ** 0.5)
     assert least_confidence(docs.limit(0), learned) == CHANCE / DIMENSIONS ** 0.5
+
+
+def test_the_bar_is_measured_on_all_labelled_documents(spark):
+    """Among 24,000 right answers the bar is the 24th smallest score, not that of some of them."""
+    train = [(1, "the cat and the dog sat on the mat", "en"), (2, "der hund und die katze sind im haus", "de")]
+    learned = profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    digits = F.translate(F.col("id").cast("string"), "0123456789", "thecandogs")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat and "), digits, F.lit(" "), F.reverse(digits)).alias("text"))
+    told = identify(docs, learned)
+    docs = docs.join(told.select("doc_id", F.col("lang_pred").alias("lang")), "doc_id")
+    scores = sorted(r.score for r in told.collect())
+    assert 0 < scores[0] < scores[23] < scores[30]
+    assert least_confidence(docs, learned, chance=DIMENSIONS ** 0.5) == scores[23]
+    chance = (scores[0] + scores[23]) / 2 * DIMENSIONS ** 0.5
+    assert least_confidence(docs, learned, chance=chance) == chance / DIMENSIONS ** 0.5

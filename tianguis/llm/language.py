@@ -16,6 +16,7 @@ each and count each in training.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tianguis.llm.common import table, worker_cache
+from tianguis.llm.common import cut, table, worker_cache
+from tianguis.operators.stats import value_at
 
 DIMENSIONS = 1024
 #: Symbols: 0 between words, 1 to 26 for a to z, the others by code point for all other letters: those of the Latin, Greek
@@ -143,15 +145,14 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
 #: Standard deviations of a cosine by chance (1 / sqrt(DIMENSIONS)) that an answer must exceed. A text that
 #: has nothing to do with any of four languages does so about one time in twenty.
 CHANCE = 2.25
-#: Of the labelled documents with a right answer at most this share may fall below the bar...
+#: Of the labelled documents with a right answer at most this share may fall below the bar.
 RIGHT_BELOW = 0.001
-#: ... measured on about so many of them.
-CONFIDENCE_ROWS = 20_000
 
 
-def least_confidence(docs: DataFrame, learned: dict[str, np.ndarray], chance: float = CHANCE, rows: int = CONFIDENCE_ROWS) -> float:
+def least_confidence(docs: DataFrame, learned: dict[str, np.ndarray], chance: float = CHANCE) -> float:
     """The cosine that an answer must reach: what chance reaches, or less where labelled documents
-    (lang, text) with right answers lie below it. So profiles learned from little reject little."""
+    (lang, text) with right answers lie below it. So profiles learned from little reject little.
+    All labelled documents are judged; what the driver gets is two counts and one score."""
     judge = Judge(learned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,12 +161,12 @@ def least_confidence(docs: DataFrame, learned: dict[str, np.ndarray], chance: fl
             right = np.array(lang) == b["lang"].to_numpy()
             yield pd.DataFrame({"score": np.array(score)[right]})
 
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, rows / max(labelled.count(), 1))
-    some = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    low = some.select("lang", "text").mapInPandas(run, "score double").agg(F.expr(f"percentile_disc({RIGHT_BELOW}) WITHIN GROUP (ORDER BY score)")).first()[0]
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    scores = cut(labelled.mapInPandas(run, "score double"), "scores")
     bar = chance / DIMENSIONS ** 0.5
-    return bar if low is None else min(bar, low)
+    below = scores.filter(F.col("score") < bar)
+    rank = math.ceil(scores.count() * RIGHT_BELOW)
+    return value_at(below, "score", rank) if 0 < rank <= below.count() else bar
 
 
 def determined(docs: DataFrame, learned: dict[str, np.ndarray], least: float = CHANCE / DIMENSIONS ** 0.5, wanted: tuple[str, ...] | None = None) -> DataFrame:

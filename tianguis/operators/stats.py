@@ -24,6 +24,8 @@ The result is exact: no approximation, no sampling.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,12 @@ def _sketched_row(df: DataFrame, col: str, k: int) -> DataFrame:
     return whole.select("n", "total", "mn", "mx", F.kll_sketch_get_quantile_double(known, F.lit(0.5)).alias("median"))
 
 
+def value_at(df: DataFrame, col: str, rank: int) -> Any:
+    """The value at the ascending ``rank`` (from 1) of ``col``, NULLs left out; None without one."""
+    row = _values_at(_histogram(df, col), F.lit(rank), F.lit(rank)).first()
+    return row["v"] if row else None
+
+
 def exact_median(df: DataFrame, col: str) -> DataFrame:
     """One row ``median`` = PERCENTILE_CONT(0.5); NULL on empty input."""
     return _median_row(df, col).select("median")
